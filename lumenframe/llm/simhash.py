@@ -64,15 +64,17 @@ def fingerprint(raw: bytes, how: SimHash = SimHash()) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, how: SimHash = SimHash()) -> DataFrame:
-    """``doc_id, fp`` per row, in one narrow pass."""
+def fingerprints(docs: DataFrame, how: SimHash = SimHash(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns and ``fp`` per row, in one narrow pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [fingerprint((t.as_py() or "").encode(), how) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], names=["doc_id", "fp"])
+            made = [fingerprint((t.as_py() or "").encode(), how) for t in batch.column(len(keep))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.int64())], names=[*keep, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    own = docs.select(*keep, "text")
+    kept = ", ".join(f"`{k}` {own.schema[k].dataType.simpleString()}" for k in keep)
+    return own.mapInArrow(run, f"{kept}, fp long")
 
 
 def tables(blocks: int, radius: int) -> list[int]:
@@ -246,17 +248,36 @@ def near_links(fps: DataFrame, how: SimHash = SimHash()) -> DataFrame:
     return dealt.select("g", "side", "fp").mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def near_duplicates(docs: DataFrame, how: SimHash = SimHash()) -> DataFrame:
-    """``doc_id, fp, component_id`` per row of ``docs``."""
-    each = stored(fingerprints(docs, how), "fingerprints")
-    fps = stored(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+def classified(each: DataFrame, how: SimHash) -> DataFrame:
+    """``fp, component_id`` per distinct fingerprint of ``fp, id``."""
+    fps = stored(each.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
     roots = components(near_links(fps.select("fp"), how))
     labelled = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stored(labelled.join(least, "root").select("fp", "component_id"), "classes")
+    return stored(labelled.join(least, "root").select("fp", "component_id"), "classes")
+
+
+def near_duplicates(docs: DataFrame, how: SimHash = SimHash()) -> DataFrame:
+    """``doc_id, fp, component_id`` per row of ``docs``."""
+    each = stored(fingerprints(docs, how), "fingerprints")
+    classes = classified(each.select("fp", F.col("doc_id").alias("id")), how)
     return each.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, how: SimHash = SimHash()) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component those with its least doc_id.
+
+    Classes are joined by a number given to each row of a stored copy, so rows with
+    equal or no doc_id neither multiply nor vanish: components without any doc_id
+    keep all their rows, and of other components rows without doc_id go.
+    """
+    own = stored(docs.select(F.monotonically_increasing_id().alias("__row"), *[F.col(f"`{c}`") for c in docs.columns]), "numbered")
+    each = stored(fingerprints(own, how, ("__row", "doc_id")), "fingerprints")
+    classes = classified(each.select("fp", F.col("doc_id").alias("id")), how)
+    gone = each.join(classes, "fp").where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("__row")
+    return own.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def hex_digits(fp):
     """A signed long as 16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
