@@ -137,10 +137,9 @@ def judge(df: DataFrame, rule: CompressionBands = CompressionBands(), keep: tupl
 def passing(df: DataFrame, rule: CompressionBands = CompressionBands()) -> DataFrame:
     """The rows of ``df`` that the rules keep, with the columns of ``df``.
 
-    The verdict is computed beside each row, so no join is needed.
+    The verdict is computed beside each row, so no join is needed. Columns travel
+    under numbers, which no verdict's name can clash with.
     """
-    held = df.withColumn("__copy", F.col("text")).withColumnRenamed("text", "__own_text")
-    held = held.withColumnRenamed("__copy", "text")
-    names = tuple(c for c in held.columns if c != "text")
-    kept = judge(held, rule, names).where("kept")
-    return kept.select(*[F.col("__own_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in df.columns])
+    own = df.select(F.col("text"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns)])
+    kept = judge(own, rule, tuple(f"c{k}" for k in range(len(df.columns)))).where("kept")
+    return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(df.columns)])
