@@ -88,8 +88,9 @@ def tables(blocks: int, radius: int) -> list[int]:
 
 
 def blocks_for(n: int, radius: int) -> int:
-    """Fewest blocks that leave an even shard of ``n`` fingerprints under 16."""
-    for blocks in range(radius + 1, 2 * radius + 1):
+    """Fewest blocks that leave an even shard of ``n`` fingerprints under 16, and
+    two more than errors at least: small and middling inputs take the same tables."""
+    for blocks in range(radius + 2, 2 * radius + 1):
         if n < 16 << (64 * (blocks - radius) // blocks):
             return blocks
     return 2 * radius + 1

@@ -54,7 +54,7 @@ def test_tables_cover_every_pair_within_the_radius():
         for _ in range(300):
             flip = sum(1 << b for b in rng.sample(range(64), 4))
             assert any(flip & (m % (1 << 64)) == 0 for m in masks)
-    assert [blocks_for(n, 4) for n in (10, 10**6, 10**9)] == [5, 6, 7]
+    assert [blocks_for(n, 4) for n in (10, 10**6, 10**9)] == [6, 6, 7]
 
 
 def test_forest_finds_what_brute_force_finds():
@@ -79,7 +79,7 @@ def partition(labels):
 def test_links_with_crowded_shards(spark):
     fps = clustered(4, 400)
     df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
-    for how in (SimHash(tree_size=16), SimHash(blocks=6)):
+    for how in (SimHash(tree_size=16), SimHash(blocks=5)):
         label = {f: f for f in fps}
 
         def find(x):
