@@ -28,18 +28,27 @@ class Uneven(Exception):
 
 
 class Words(dict):
-    """Ids of words that follow one space; fills itself and never outgrows ``room``."""
+    """Ids of words that follow one space; fills itself and never outgrows ``room``.
 
-    def __init__(self, encode, room: int):
+    A word before a comma or stop is its own ids and the mark's, so that its letters
+    are merged once."""
+
+    def __init__(self, enc: Encoder, room: int):
         super().__init__()
-        self.encode_cut, self.room = encode, room
+        self.enc, self.room = enc, room
 
     def __missing__(self, word: str) -> bytes:
-        if not word or word[0].isspace() or word[-1].isspace():
+        if word.isalpha():
+            ids = self.enc.merged(" " + word)
+        elif word and word[-1] in ",." and word[:-1].isalpha():
+            ids = self[word[:-1]] + self.enc.piece(word[-1])
+        elif not word or word[0].isspace() or word[-1].isspace():
             raise Uneven
+        else:
+            ids = self.enc.cut(" " + word)
         if len(self) >= self.room:
             self.clear()
-        ids = self[word] = self.encode_cut(" " + word)
+        self[word] = ids
         return ids
 
 
@@ -55,7 +64,7 @@ class Encoder:
 
     def __init__(self, path: str, room: int = 700_000):
         self.path, self.room = path, room
-        self.words = Words(self._cut, room)
+        self.words = Words(self, room)
         self.pieces: dict[str, bytes] = {}
         if path.endswith(".model"):
             import sentencepiece
@@ -92,40 +101,39 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _piece(self, piece: str) -> bytes:
+    def merged(self, piece: str) -> bytes:
+        """Ids of one piece of the pattern, by the library's merge model."""
+        spelt = piece.encode().decode("latin-1").translate(self.alphabet)
+        found = array("I", [t.id for t in self.tokenizer.model.tokenize(spelt)])
+        if sys.byteorder == "big":
+            found.byteswap()
+        return found.tobytes()
+
+    def piece(self, piece: str) -> bytes:
         known = self.pieces
         ids = known.get(piece)
         if ids is None:
-            if len(known) >= self.room * 5 // 7:
+            if len(known) >= self.room // 4:
                 known.clear()
-            spelt = piece.encode().decode("latin-1").translate(self.alphabet)
-            found = array("I", [t.id for t in self.tokenizer.model.tokenize(spelt)])
-            if sys.byteorder == "big":
-                found.byteswap()
-            ids = known[piece] = found.tobytes()
+            ids = known[piece] = self.merged(piece)
         return ids
 
-    def _cut(self, cut: str) -> bytes:
+    def cut(self, cut: str) -> bytes:
         """Ids of one cut, with its leading space if it has one."""
-        body = cut[1:]
-        if body.isalpha() and cut[0] == " ":
-            return self._piece(cut)
-        if body[:-1].isalpha() and cut[0] == " " and cut[-1] in ",.":
-            return self._piece(cut[:-1]) + self._piece(cut[-1])
         if any(a in cut for a in self.added):
             return self._whole([cut])[0]
-        return b"".join(map(self._piece, self.split(cut)))
+        return b"".join(map(self.piece, self.split(cut)))
 
     def _text(self, text: str) -> bytes:
         if not text:
             return b""
         first, *rest = text.split(" ")
         if not rest:
-            return self._cut(text)
+            return self.cut(text)
         if not first or first[-1].isspace():
             return self._whole([text])[0]
         try:
-            return self._cut(first) + b"".join(map(self.words.__getitem__, rest))
+            return self.cut(first) + b"".join(map(self.words.__getitem__, rest))
         except Uneven:
             return self._whole([text])[0]
 
