@@ -97,12 +97,13 @@ def shrunk(level: DataFrame, key: str, parent: str, prior: DataFrame, how: Reput
         F.sum(F.col("n") * F.col("n")).alias("nn"),
         F.sum((F.col("good") * F.col("good") / F.col("n")).cast("decimal(28,10)")).cast("double").alias("gg"),
     )
-    p = F.col("G") / F.col("N")
-    between = (F.col("gg") - F.col("G") * p) / (F.col("k") - 1)
-    mean_size = (F.col("N") - F.col("nn") / F.col("N")) / (F.col("k") - 1)
-    excess = (between / (p * (1 - p)) - 1) / (mean_size - 1)
+    p = F.try_divide("G", "N")
+    # Divisions give null where a level has one group or one outcome only.
+    between = F.try_divide(F.col("gg") - F.col("G") * p, F.col("k") - 1)
+    mean_size = F.try_divide(F.col("N") - F.try_divide("nn", "N"), F.col("k") - 1)
+    excess = F.try_divide(F.try_divide(between, p * (1 - p)) - 1, mean_size - 1)
     usable = (F.col("k") > 1) & (p > 0) & (p < 1) & (mean_size > 1) & (excess > 0)
-    strength = F.when(usable, F.least(F.greatest(1 / excess - 1, F.lit(how.least_strength)), F.lit(how.most_strength))).otherwise(F.lit(how.most_strength))
+    strength = F.when(usable, F.least(F.greatest(F.try_divide(F.lit(1.0), excess) - 1, F.lit(how.least_strength)), F.lit(how.most_strength))).otherwise(F.lit(how.most_strength))
     one = sums.select(strength.alias("strength"))  # one row
     joined = level.join(F.broadcast(one)).join(prior.select(F.col("key").alias(parent), F.col("share").alias("above")), parent)
     share = (F.col("good") + F.col("strength") * F.col("above")) / (F.col("n") + F.col("strength"))
