@@ -13,13 +13,19 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import sys
 from array import array
 from collections.abc import Sequence
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 
+ID_OF = attrgetter("id")
+#: Letters, and some numbers that are told apart afterwards.
+LETTERS = re.compile(r"[^\W\d_]+").match
+
 #: The library's byte-level pattern, a fixed value.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -30,8 +36,8 @@ class Uneven(Exception):
 class Words(dict):
     """Ids of words that follow one space; fills itself and never outgrows ``room``.
 
-    A word before a comma or stop is its own ids and the mark's, so that its letters
-    are merged once."""
+    Letters end where anything else begins, so a word that starts with letters is
+    those letters' ids and the rest's, and its letters are merged once."""
 
     def __init__(self, enc: Encoder, room: int):
         super().__init__()
@@ -40,10 +46,10 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         if word.isalpha():
             ids = self.enc.merged(" " + word)
-        elif word and word[-1] in ",." and word[:-1].isalpha():
-            ids = self[word[:-1]] + self.enc.piece(word[-1])
         elif not word or word[0].isspace() or word[-1].isspace():
             raise Uneven
+        elif (stem := LETTERS(word)) and stem[0].isalpha():
+            ids = self[stem[0]] + self.enc.rest(word[stem.end() :])
         else:
             ids = self.enc.cut(" " + word)
         if len(self) >= self.room:
@@ -66,6 +72,7 @@ class Encoder:
         self.path, self.room = path, room
         self.words = Words(self, room)
         self.pieces: dict[str, bytes] = {}
+        self.rests: dict[str, bytes] = {}
         if path.endswith(".model"):
             import sentencepiece
 
@@ -94,7 +101,9 @@ class Encoder:
             import regex
 
             self.split = regex.compile(PIECES).findall
+            self.tokenize = self.tokenizer.model.tokenize
             self.alphabet = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
+            self.space = " ".translate(self.alphabet)
             self.added = [t["content"] for t in spec["added_tokens"]]
 
     def _whole(self, texts: Sequence[str]) -> list[bytes]:
@@ -103,8 +112,11 @@ class Encoder:
 
     def merged(self, piece: str) -> bytes:
         """Ids of one piece of the pattern, by the library's merge model."""
-        spelt = piece.encode().decode("latin-1").translate(self.alphabet)
-        found = array("I", [t.id for t in self.tokenizer.model.tokenize(spelt)])
+        if piece.isascii() and piece.isprintable():  # these stand for themselves but the space
+            spelt = piece.replace(" ", self.space)
+        else:
+            spelt = piece.encode().decode("latin-1").translate(self.alphabet)
+        found = array("I", map(ID_OF, self.tokenize(spelt)))
         if sys.byteorder == "big":
             found.byteswap()
         return found.tobytes()
@@ -124,6 +136,16 @@ class Encoder:
             return self._whole([cut])[0]
         return b"".join(map(self.piece, self.split(cut)))
 
+    def rest(self, rest: str) -> bytes:
+        """Ids of what follows the letters that a cut starts with."""
+        known = self.rests
+        ids = known.get(rest)
+        if ids is None:
+            if len(known) >= self.room // 4:
+                known.clear()
+            ids = known[rest] = self.cut(rest)
+        return ids
+
     def _text(self, text: str) -> bytes:
         if not text:
             return b""
