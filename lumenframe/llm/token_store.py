@@ -2,11 +2,12 @@
 
 A rolling hash over a window of ids cuts each document's stream at places that
 its content alone decides, so equal passages give equal chunks wherever they
-stand. The store holds three Parquet tables in one folder:
+stand. The store holds three tables in one folder:
 
-* ``chunks``: each distinct chunk once, ``digest, n_ids, data``; data is zstandard of
-  little-endian ids, 2 bytes wide if all fit;
-* ``recipes``: per document in ascending doc_id order ``part, doc_id, start,
+* ``objects/kind=chunk``: each distinct chunk once, ``key`` (its digest), ``home`` (the
+  first document that has it), ``shared`` (others may have it too), ``data``, zstandard
+  of little-endian ids, 2 bytes wide if all fit;
+* ``recipes``: per document in ascending doc_id order ``part, row, doc_id, within,
   n_tokens, chunks (digests), root`` where root is the Merkle root of its chunks;
 * ``manifest``: per part ``part, n_docs, n_tokens, start, root`` where root is the
   Merkle root of its documents' roots.
@@ -21,14 +22,16 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import fresh_path, own_columns, shuffle_width, stored
+from lumenframe.llm.common import fresh_path, own_columns, shuffle_width
 from lumenframe.llm.encoding import encoder
 
 
@@ -81,18 +84,24 @@ def cuts(ids: np.ndarray, how: Chunking = Chunking()) -> list[int]:
     return out
 
 
+@lru_cache(maxsize=1)
+def engines() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """A process's compressor and decompressor."""
+    return zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
 def packed(ids: np.ndarray) -> bytes:
     """One chunk's bytes in the store: a width byte and the compressed byte planes."""
     narrow = len(ids) == 0 or int(ids.max()) < 1 << 16
     flat = np.ascontiguousarray(ids.astype("<u2" if narrow else "<u4"))
     width = flat.dtype.itemsize
     planes = flat.view(np.uint8).reshape(-1, width).T.tobytes()
-    return bytes([width]) + zstandard.ZstdCompressor(level=3).compress(planes)
+    return bytes([width]) + engines()[0].compress(planes)
 
 
 def unpacked(data: bytes) -> np.ndarray:
     width = data[0]
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(width, -1)
+    planes = np.frombuffer(engines()[1].decompress(data[1:]), np.uint8).reshape(width, -1)
     return np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{width}").astype("<u4")
 
 
@@ -109,29 +118,43 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def chunked(docs: DataFrame, tokenizer: str, end_id: int, how: Chunking) -> DataFrame:
-    """``doc_id, n_tokens, digests, n_ids, data, root`` per document, in one narrow pass."""
-    schema = (
-        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, digests array<binary>, "
-        "n_ids array<int>, data array<binary>, root binary"
-    )
+def emitted(docs: DataFrame, tokenizer: str, end_id: int, how: Chunking, remembered: int = 1 << 19) -> DataFrame:
+    """A row per document and one per chunk, told apart by ``kind``, in one narrow pass.
+
+    ``row`` numbers documents. A task sends a chunk's data once, a row without data
+    when it meets the chunk again, and nothing after that, so a chunk that most
+    documents share costs two rows a task. It remembers ``remembered`` digests and
+    then starts anew, which only sends some chunks again.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"kind string, key binary, row long, data binary, doc_id {kind}, n_tokens long, chunks array<binary>, root binary"
+    names = ["kind", "key", "row", "data", "doc_id", "n_tokens", "chunks", "root"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), end_id.to_bytes(4, "little")
+        row = TaskContext.get().partitionId() << 33
+        met: dict[bytes, bool] = {}
         for whole in batches:
+            kinds = [pa.string(), pa.binary(), pa.int64(), pa.binary(), whole.column(0).type, pa.int64(), pa.list_(pa.binary()), pa.binary()]
             for at in range(0, whole.num_rows, 500):
+                rows: list[tuple] = []
                 batch = whole.slice(at, 500)
-                rows = []
-                for text in batch.column(1):
+                for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                     ids = np.frombuffer(enc.encode([text.as_py()])[0] + end, "<u4")
                     ends = cuts(ids, how)
                     parts = [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
                     keys = [digest(p) for p in parts]
-                    rows.append((len(ids), keys, [len(p) for p in parts], [packed(p) for p in parts], merkle(keys)))
-                kinds = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.binary()]
-                made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                names = ["doc_id", "n_tokens", "digests", "n_ids", "data", "root"]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=names)
+                    rows.append(("document", row.to_bytes(8, "big"), row, None, doc_id.as_py(), len(ids), keys, merkle(keys)))
+                    for key, part in dict(zip(keys, parts, strict=True)).items():
+                        again = met.get(key)
+                        if again:
+                            continue
+                        met[key] = again is not None
+                        rows.append(("chunk", key, row, packed(part) if again is None else None, None, None, None, None))
+                    if len(met) >= remembered:
+                        met.clear()
+                    row += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return docs.mapInArrow(run, schema)
 
@@ -141,35 +164,35 @@ def write_store(
 ) -> str:
     """Encode ``docs`` and write the store's three tables under ``path``.
 
-    Chunks are grouped by digest with one copy kept before the shuffle. Recipes
-    are dealt by ranges of doc_id; a document's start is its part's start, from
-    the manifest (one row a part), plus the running sum within the part.
+    Chunks meet by digest in one shuffle, after each task has sent its own once;
+    documents travel beside them, so texts are encoded once and nothing else is
+    stored. Recipes are dealt by ranges of doc_id; a document's start is its part's
+    start, from the manifest (one row a part), plus the running sum within the part.
     """
     spark = docs.sparkSession
-    encoded = stored(chunked(own_columns(docs, "doc_id", "text"), tokenizer, end_id, how), "encoded")
-    each = encoded.select(F.explode(F.arrays_zip("digests", "n_ids", "data")).alias("c"))
-    each = each.select(F.col("c.digests").alias("digest"), F.col("c.n_ids").alias("n_ids"), F.col("c.data").alias("data"))
-    once = each.groupBy("digest").agg(F.first("n_ids").alias("n_ids"), F.first("data").alias("data"))
-    once.write.parquet(f"{path}/chunks")
+    sent = emitted(own_columns(docs, "doc_id", "text"), tokenizer, end_id, how)
+    first = [F.first(c, ignorenulls=True).alias(c) for c in ("data", "doc_id", "n_tokens", "chunks", "root")]
+    met = sent.repartition(shuffle_width(spark), "kind", "key").groupBy("kind", "key")
+    met = met.agg(F.min("row").alias("home"), (F.count("*") > 1).alias("shared"), *first)
+    met.write.partitionBy("kind").parquet(f"{path}/objects")
+    encoded = spark.read.schema(met.schema).parquet(f"{path}/objects").where("kind = 'document'").withColumnRenamed("home", "row")
 
     width = shuffle_width(spark)
-    recipes = encoded.select("doc_id", "n_tokens", F.col("digests").alias("chunks"), "root")
+    recipes = encoded.select("row", "doc_id", "n_tokens", "chunks", "root")
     ranged = recipes.repartitionByRange(width, "doc_id").sortWithinPartitions("doc_id", "root")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         part, total = TaskContext.get().partitionId(), 0
         for batch in batches:
-            n = np.array(batch.column(1), np.int64)
+            n = np.array(batch.column(2), np.int64)
             before = total + np.cumsum(n) - n
             total += int(n.sum())
-            columns = [pa.array(np.full(len(n), part, np.int32)), batch.column(0), pa.array(before), *batch.columns[1:]]
-            yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "within", "n_tokens", "chunks", "root"])
+            columns = [pa.array(np.full(len(n), part, np.int32)), *batch.columns[:2], pa.array(before), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "row", "doc_id", "within", "n_tokens", "chunks", "root"])
 
     numbered = ranged.mapInArrow(
-        number, f"part int, doc_id {kind}, within long, n_tokens long, chunks array<binary>, root binary"
+        number, f"part int, row long, doc_id {kind}, within long, n_tokens long, chunks array<binary>, root binary"
     )
     numbered.write.parquet(f"{path}/recipes")
 
@@ -210,58 +233,58 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     recipes = spark.read.parquet(f"{path}/recipes")
     starts = spark.read.parquet(f"{path}/manifest").select("part", F.col("start").alias("part_start"))
     recipes = recipes.join(F.broadcast(starts), "part")  # one row a part
-    recipes = recipes.select("part", "doc_id", (F.col("part_start") + F.col("within")).alias("start"), "n_tokens", "chunks", "root")
-    chunks = spark.read.parquet(f"{path}/chunks").select("digest", "data")
-    wanted = recipes.select(
-        "doc_id", "start", "n_tokens", "root", F.posexplode("chunks").alias("seq", "digest")
-    )
-    found = wanted.join(chunks, "digest", "left")
-    # ``start`` alone tells documents apart: each has one id at least.
-    dealt = found.repartition(shuffle_width(spark), "start").sortWithinPartitions("start", "seq")
+    start = (F.col("part_start") + F.col("within")).alias("start")
+    recipes = recipes.select("row", "doc_id", start, "n_tokens", "chunks", "root")
+    objects = spark.read.schema("key binary, home long, shared boolean, data binary, kind string").parquet(f"{path}/objects")
+    chunks = objects.where("kind = 'chunk'").drop("kind")
+    own = chunks.select(F.col("home").alias("row"), "key", "data")
+    wanted = recipes.select("row", F.explode(F.array_distinct("chunks")).alias("key"))
+    borrowed = wanted.join(chunks.where("shared"), "key").where("row <> home").select("row", "key", "data")
+    parts = own.unionByName(borrowed).withColumn("seq", F.lit(1))
+    together = recipes.withColumn("seq", F.lit(0)).unionByName(parts, allowMissingColumns=True)
+    dealt = together.repartition(shuffle_width(spark), "row").sortWithinPartitions("row", "seq")
     kind = recipes.schema["doc_id"].dataType.simpleString()
+    order = ["seq", "doc_id", "start", "n_tokens", "chunks", "root", "key", "data"]
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "n_tokens", "ids", "verified"]
-        kinds = [None, pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
         held: list = []
-        parts: list[np.ndarray] = []
-        keys: list[bytes] = []
-        sound = True
+        found: dict[bytes, np.ndarray] = {}
         rows: list[tuple] = []
+        doc_kind = pa.int64()
 
         def close() -> None:
-            doc_id, start, n, root = held
-            ids = np.concatenate(parts)
-            rows.append((doc_id, start, n, ids.tobytes(), sound and len(ids) == n and merkle(keys) == root))
-
-        def flush(doc_kind: pa.DataType) -> pa.RecordBatch:
-            columns = zip(*rows, strict=True)
-            made = [pa.array(c, k or doc_kind) for c, k in zip(columns, kinds, strict=True)]
+            if not held:
+                return
+            doc_id, start, n, keys, root = held
+            none = np.zeros(0, "<u4")
+            ids = np.concatenate([found.get(k, none) for k in keys])
+            sound = all(k in found for k in keys) and len(ids) == n and merkle(keys) == root
+            rows.append((doc_id, start, n, ids.tobytes(), sound))
+
+        def flush() -> pa.RecordBatch:
+            kinds = [doc_kind, pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+            made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
             rows.clear()
             return pa.RecordBatch.from_arrays(made, names=names)
 
-        doc_kind = pa.int64()
-        for batch in batches:
-            doc_kind = batch.column("doc_id").type
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "start", "n_tokens", "root", "digest", "data")]
-            for doc_id, start, n, root, key, data in zip(*columns, strict=True):
-                if not held or held[1] != start:
-                    if held:
+        for whole in batches:
+            doc_kind = whole.column(1).type
+            for at in range(0, whole.num_rows, 1000):
+                columns = [c.to_pylist() for c in whole.slice(at, 1000).columns]
+                for seq, doc_id, start, n, keys, root, key, data in zip(*columns, strict=True):
+                    if seq == 0:
                         close()
-                    held, parts, keys, sound = [doc_id, start, n, root], [], [], True
-                ids = unpacked(data) if data is not None else np.zeros(0, "<u4")
-                sound = sound and data is not None and digest(ids) == key
-                parts.append(ids)
-                keys.append(key)
-                if len(rows) >= 500:
-                    yield flush(doc_kind)
-        if held:
-            close()
+                        held, found = [doc_id, start, n, keys, root], {}
+                    elif digest(ids := unpacked(data)) == key:
+                        found[key] = ids
+                    if len(rows) >= 500:
+                        yield flush()
+        close()
         if rows:
-            yield flush(doc_kind)
+            yield flush()
 
-    ordered = dealt.select("doc_id", "start", "n_tokens", "root", "digest", "data")
-    return ordered.mapInArrow(rebuild, f"doc_id {kind}, start long, n_tokens long, ids binary, verified boolean")
+    return dealt.select(*order).mapInArrow(rebuild, f"doc_id {kind}, start long, n_tokens long, ids binary, verified boolean")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:

@@ -125,23 +125,39 @@ def test_store_round_trip(spark, tmp_path):
         ids = np.array([*library(texts_of[r.doc_id]), 2], "<u4")
         assert (r.start, r.n_tokens, zlib.crc32(r.ids)) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
-    chunks = spark.read.parquet(f"{path}/chunks")
-    assert chunks.count() == chunks.select("digest").distinct().count()
+    chunks = spark.read.parquet(f"{path}/objects").where("kind = 'chunk'")
+    assert chunks.count() == chunks.select("key").distinct().count()
     manifest = spark.read.parquet(f"{path}/manifest").collect()
     assert sum(m.n_tokens for m in manifest) == at and sum(m.n_docs for m in manifest) == len(rows)
 
 
 def test_store_finds_damage(spark, tmp_path):
     path = token_store.write_store(frame(spark, rows_of(6, 12)), str(tmp_path / "store"), default_tokenizer())
-    chunks = spark.read.parquet(f"{path}/chunks").collect()
-    bad = [(c.digest, c.n_ids, chunks[0].data if k == 1 else c.data) for k, c in enumerate(chunks)]
+    objects = spark.read.parquet(f"{path}/objects").where("kind = 'chunk'")
+    rows = objects.drop("kind").collect()
+    bad = [(*r[:3], rows[0].data if k == 1 else r.data, *r[4:]) for k, r in enumerate(rows)]
     other = str(tmp_path / "other")
     for name in ("recipes", "manifest"):
         spark.read.parquet(f"{path}/{name}").write.parquet(f"{other}/{name}")
-    spark.createDataFrame(bad, "digest binary, n_ids int, data binary").write.parquet(f"{other}/chunks")
+    spark.createDataFrame(bad, objects.drop("kind").schema).write.parquet(f"{other}/objects/kind=chunk")
     assert all(r.verified for r in token_store.read_documents(spark, path).collect())
     assert not all(r.verified for r in token_store.read_documents(spark, other).collect())
 
 
+def test_store_shares_chunks(spark, tmp_path):
+    base = [t or "" for _, t, *_ in rows_of(9, 30)]
+    long = " ".join(base)
+    texts = [long, base[3], long, long + " end", "begin " + long, long + " " + long, None, "", long] * 3
+    path = str(tmp_path / "store")
+    docs = spark.createDataFrame([(k // 2, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    got = token_store.round_trip(docs, default_tokenizer(), path).collect()
+    want = [(k // 2, np.array([*library(t), 2], "<u4").tobytes()) for k, t in enumerate(texts)]
+    assert sorted((r.doc_id, bytes(r.ids)) for r in got) == sorted(want)
+    ends = sorted((r.start, r.start + r.n_tokens) for r in got)
+    assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
+    chunks = spark.read.parquet(f"{path}/objects").where("kind = 'chunk'")
+    assert chunks.count() == chunks.select("key").distinct().count()
+
+
 def test_empty_store(spark, tmp_path):
     assert token_store.round_trip(frame(spark, []), default_tokenizer(), str(tmp_path / "s")).collect() == []
