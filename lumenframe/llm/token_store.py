@@ -54,20 +54,33 @@ def mixed(ids: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@lru_cache(maxsize=1)
+def mixed_small() -> np.ndarray:
+    """``mixed`` of every 16-bit id."""
+    return mixed(np.arange(1 << 16, dtype=np.uint64))
+
+
+@lru_cache(maxsize=1)
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``size`` powers of the hash's base and of its inverse."""
+    base, inverse = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
+    grow, shrink = np.full(size, base, np.uint64), np.full(size, inverse, np.uint64)
+    grow[0] = shrink[0] = 1
+    return np.cumprod(grow), np.cumprod(shrink)
+
+
 def cuts(ids: np.ndarray, how: Chunking = Chunking()) -> list[int]:
     """End positions of the chunks of one document, the last being its length."""
-    n = len(ids)
+    n, w = len(ids), how.window
     if n <= how.least:
         return [n]
-    base, inverse = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
-    steps = np.arange(n, dtype=np.uint64)
-    grow, shrink = np.full(n, base, np.uint64), np.full(n, inverse, np.uint64)
-    grow[0] = shrink[0] = 1
-    grow, shrink = np.cumprod(grow), np.cumprod(shrink)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(ids) * grow)])
-    ends = steps[how.window - 1 :].astype(np.int64)
-    rolling = (sums[ends + 1] - sums[ends + 1 - how.window]) * shrink[ends + 1 - how.window]
-    hits = ends[(mixed(rolling) >> np.uint64(64 - how.mask_bits)) == 0] + 1
+    # Short documents share one series; a longer one has its own of its length.
+    grow, shrink = powers(1 << 16) if n <= 1 << 16 else powers.__wrapped__(n)
+    values = mixed_small()[ids] if int(ids.max()) < 1 << 16 else mixed(ids)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * grow[:n], out=sums[1:])
+    rolling = (sums[w:] - sums[:-w]) * shrink[: max(0, n + 1 - w)]
+    hits = np.flatnonzero(mixed(rolling) < np.uint64(1 << (64 - how.mask_bits))) + w
     out, last = [], 0
     for hit in hits.tolist():
         while hit - last > how.most:
