@@ -1,5 +1,6 @@
 import random
 import re
+import string
 
 from lumenframe.llm.quality import judge, passing
 
@@ -51,3 +52,36 @@ def test_passing_keeps_columns_and_rows(spark):
     assert out.columns == df.columns
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(good, 1, None, "r"), (good, 1, False, "r")], key=str)
     assert passing(df.limit(0)).collect() == [] and judge(df.limit(0)).collect() == []
+
+
+def spaced(rng, letters, size):
+    """Random letters of exactly ``size`` bytes in more than 50 words."""
+    longest = min(9, size // 60)
+    out = ""
+    while len(out) < size:
+        out += "".join(rng.choices(letters, k=rng.randint(min(4, longest), longest))) + " "
+    return out[: size - 1] + "x"
+
+
+def test_noise_of_each_length_class(spark):
+    rng = random.Random(4)
+    sizes = (390, 490, 640, 700, 990, 1_200, 1_500, 2_100, 2_500, 3_900, 5_000, 8_000, 15_000, 30_000, 60_000, 100_000)
+    base64, lower, hexes = string.ascii_letters + string.digits + "+/", string.ascii_lowercase, string.hexdigits[:16]
+    texts = [spaced(rng, base64, n) for n in sizes for _ in range(3)]
+    texts += [spaced(rng, string.ascii_letters, n) for n in sizes if n > 1_000]
+    texts += [spaced(rng, lower, n) for n in sizes if n > 4_000] + [spaced(rng, hexes, n) for n in sizes if n > 9_000]
+    half = spaced(rng, base64, 20_000)
+    texts.append(prose(rng, 3_000) + " " + half)  # in places only
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = judge(df).collect()
+    assert not any(r.base_failed for r in got) and [r.doc_id for r in got if r.kept] == []
+
+
+def test_wide_scripts_have_their_own_bands(spark):
+    rng = random.Random(5)
+    syllables = ["".join(rng.choices("абвгдежзиклмнопрстуя", k=rng.randint(1, 3))) for _ in range(500)]
+    words = ["".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(1_500)]
+    texts = [" ".join(rng.choices(words, [1 / (k + 9) for k in range(1_500)], k=n)) for n in (60, 150, 300, 900)]
+    noise = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) + (" " if k % 9 == 8 else "") for k in range(600))
+    df = spark.createDataFrame(list(enumerate([*texts, noise])), "doc_id long, text string")
+    assert [r.kept for r in judge(df).orderBy("doc_id").collect()] == [True] * 4 + [False]
