@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import decontamination, packing, quality, simhash, substring
+from lumenframe.llm import decontamination, packing, quality, similar, substring
 from lumenframe.llm.common import fresh_path, table
 from lumenframe.llm.encoding import default_tokenizer
 
@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return simhash.representatives(docs)
+    """Of texts connected by a 5-word similarity of 0.8 or more the smallest id stays."""
+    return similar.representatives(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

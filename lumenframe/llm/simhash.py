@@ -43,20 +43,25 @@ class SimHash:
     tree_size: int = 4096
 
 
-def fingerprint(raw: bytes, how: SimHash = SimHash()) -> int:
-    """Signed 64-bit fingerprint: bits set in over half of the shingles' XXH64."""
+def shingle_hashes(raw: bytes, size: int, seed: int) -> list[int]:
+    """XXH64 of every ``size`` words of the lower-cased text, or of a shorter text as it is."""
     words = raw.lower().split()
     if not words:
-        return 0
+        return []
     flat, hash_ = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= how.shingle:
-        hashes = [hash_(flat, how.seed)]
-    else:
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(size + 1) - 1
-        begins = (ends - size).tolist()
-        seed = how.seed
-        hashes = [hash_(flat[a:b], seed) for a, b in zip(begins, ends[how.shingle - 1 :].tolist(), strict=False)]
+    if len(words) <= size:
+        return [hash_(flat, seed)]
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    begins = (ends - lengths).tolist()
+    return [hash_(flat[a:b], seed) for a, b in zip(begins, ends[size - 1 :].tolist(), strict=False)]
+
+
+def fingerprint(raw: bytes, how: SimHash = SimHash()) -> int:
+    """Signed 64-bit fingerprint: bits set in over half of the shingles' XXH64."""
+    hashes = shingle_hashes(raw, how.shingle, how.seed)
+    if not hashes:
+        return 0
     packed = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
     counts = np.zeros(64, np.int64)
     for at in range(0, len(packed), 1 << 15):
@@ -264,20 +269,6 @@ def near_duplicates(docs: DataFrame, how: SimHash = SimHash()) -> DataFrame:
     return each.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, how: SimHash = SimHash()) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component those with its least doc_id.
-
-    Classes are joined by a number given to each row of a stored copy, so rows with
-    equal or no doc_id neither multiply nor vanish: components without any doc_id
-    keep all their rows, and of other components rows without doc_id go.
-    """
-    own = stored(docs.select(F.monotonically_increasing_id().alias("__row"), *[F.col(f"`{c}`") for c in docs.columns]), "numbered")
-    each = stored(fingerprints(own, how, ("__row", "doc_id")), "fingerprints")
-    classes = classified(each.select("fp", F.col("doc_id").alias("id")), how)
-    gone = each.join(classes, "fp").where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("__row")
-    return own.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
 def hex_digits(fp):
     """A signed long as 16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
