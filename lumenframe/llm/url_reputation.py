@@ -5,7 +5,9 @@ suffix. Each level's good share is shrunk to its parent's through a beta prior,
 from the whole table down to suffix, domain and host; a level's prior strength is
 estimated from how much its groups differ beyond binomial chance (a moment
 estimate of their intraclass correlation). A url is allowed if the posterior mean
-of its host less ``z`` posterior deviations reaches ``least``.
+of its host less ``z`` posterior deviations reaches ``least``. A host without labels
+has the share of its nearest labelled ancestor as mean, and the levels between them
+widen its deviation.
 
 All steps are DataFrame functions. Counts are summed before they are shuffled;
 reputations have one row a host, and the join back lets adaptive skew handling
@@ -89,9 +91,8 @@ def longest_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return chosen
 
 
-def shrunk(level: DataFrame, key: str, parent: str, prior: DataFrame, how: Reputation) -> DataFrame:
-    """``key, share, strength`` of the level's groups: their posterior share under
-    the parent's share, and the prior strength used. ``level``: key, parent, n, good."""
+def strength(level: DataFrame, how: Reputation) -> DataFrame:
+    """One row ``strength``: the prior strength of the level's groups ``n, good``."""
     sums = level.agg(
         F.sum("n").alias("N"), F.sum("good").alias("G"), F.count("*").alias("k"),
         F.sum(F.col("n") * F.col("n")).alias("nn"),
@@ -103,29 +104,73 @@ def shrunk(level: DataFrame, key: str, parent: str, prior: DataFrame, how: Reput
     mean_size = F.try_divide(F.col("N") - F.try_divide("nn", "N"), F.col("k") - 1)
     excess = F.try_divide(F.try_divide(between, p * (1 - p)) - 1, mean_size - 1)
     usable = (F.col("k") > 1) & (p > 0) & (p < 1) & (mean_size > 1) & (excess > 0)
-    strength = F.when(usable, F.least(F.greatest(F.try_divide(F.lit(1.0), excess) - 1, F.lit(how.least_strength)), F.lit(how.most_strength))).otherwise(F.lit(how.most_strength))
-    one = sums.select(strength.alias("strength"))  # one row
+    found = F.when(usable, F.least(F.greatest(F.try_divide(F.lit(1.0), excess) - 1, F.lit(how.least_strength)), F.lit(how.most_strength))).otherwise(F.lit(how.most_strength))
+    return sums.select(found.alias("strength"))
+
+
+def shrunk(level: DataFrame, key: str, parent: str, prior: DataFrame, one: DataFrame) -> DataFrame:
+    """``key, share, strength`` of the level's groups: their posterior share under
+    the parent's share, and the prior strength used (of the one row ``one``).
+    ``level``: key, parent, n, good."""
     joined = level.join(F.broadcast(one)).join(prior.select(F.col("key").alias(parent), F.col("share").alias("above")), parent)
     share = (F.col("good") + F.col("strength") * F.col("above")) / (F.col("n") + F.col("strength"))
     return joined.select(F.col(key).alias("key"), share.alias("share"), "strength", "above", "n", "good")
 
 
-def reputations(pages: DataFrame, labels: DataFrame, how: Reputation = Reputation()) -> DataFrame:
-    """``host, posterior_mean, posterior_bound, n`` per labelled host. ``pages`` has
-    page_id and url, ``labels`` page_id and good (0 or 1)."""
+@dataclass(frozen=True)
+class Levels:
+    """Per level the shrunk groups, the one row of strengths, and the share of all."""
+
+    suffixes: DataFrame
+    domains: DataFrame
+    hosts: DataFrame
+    one: DataFrame
+
+
+def levels(pages: DataFrame, labels: DataFrame, how: Reputation) -> Levels:
     outcomes = pages.select("page_id", host(F.col("url")).alias("host")).join(labels.select("page_id", "good").where("good is not null"), "page_id")
     hosts = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("good"))
-    hosts = hosts.withColumns({"domain": domain(F.col("host")), "suffix": suffix(F.col("host")), "all": F.lit(1)})
+    hosts = hosts.withColumns({"domain": domain(F.col("host")), "suffix": suffix(F.col("host"))})
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("all", F.lit(1))
     whole = suffixes.groupBy("all").agg((F.sum("good") / F.sum("n")).alias("share")).select(F.col("all").alias("key"), "share")
-    by_suffix = shrunk(suffixes, "suffix", "all", whole, how)
-    by_domain = shrunk(domains, "domain", "suffix", by_suffix, how)
-    by_host = shrunk(hosts.drop("all"), "host", "domain", by_domain, how)
+    q_suffix, q_domain, q_host = (strength(x, how) for x in (suffixes, domains, hosts))
+    by_suffix = shrunk(suffixes, "suffix", "all", whole, q_suffix)
+    by_domain = shrunk(domains, "domain", "suffix", by_suffix, q_domain)
+    by_host = shrunk(hosts, "host", "domain", by_domain, q_host)
+    overall = whole.agg(F.coalesce(F.max("share"), F.lit(how.base_share)).alias("overall"))
+    one = overall.join(q_suffix.toDF("q_suffix")).join(q_domain.toDF("q_domain")).join(q_host.toDF("q_host"))
+    return Levels(by_suffix, by_domain, by_host, one)
+
+
+def reputations(pages: DataFrame, labels: DataFrame, how: Reputation = Reputation()) -> DataFrame:
+    """``host, posterior_mean, posterior_bound, n`` per labelled host. ``pages`` has
+    page_id and url, ``labels`` page_id and good (0 or 1)."""
+    return known(levels(pages, labels, how), how)
+
+
+def known(of: Levels, how: Reputation) -> DataFrame:
     a = F.col("good") + F.col("strength") * F.col("above")
     b = F.col("n") - F.col("good") + F.col("strength") * (1 - F.col("above"))
-    known = by_host.select(F.col("key").alias("host"), "n", a.alias("a"), b.alias("b"))
-    return known.select("host", "n", mean("a", "b").alias("posterior_mean"), bound("a", "b", how.z).alias("posterior_bound"))
+    held = of.hosts.select(F.col("key").alias("host"), "n", a.alias("a"), b.alias("b"))
+    return held.select("host", "n", mean("a", "b").alias("posterior_mean"), bound("a", "b", how.z).alias("posterior_bound"))
+
+
+def inherited(hosts: DataFrame, of: Levels, how: Reputation) -> DataFrame:
+    """``host, posterior_mean, posterior_bound`` of hosts without labels.
+
+    Each unlabelled level below the ancestor varies about its parent with its own
+    strength q. Variances add up, so that the host's beta has the strength whose
+    q / (q + 1) is the product of theirs."""
+    split = hosts.select("host", domain(F.col("host")).alias("domain"), suffix(F.col("host")).alias("suffix"))
+    split = split.join(of.domains.select(F.col("key").alias("domain"), F.col("share").alias("by_domain")), "domain", "left")
+    split = split.join(of.suffixes.select(F.col("key").alias("suffix"), F.col("share").alias("by_suffix")), "suffix", "left").join(F.broadcast(of.one))
+    kept = lambda q: F.col(q) / (F.col(q) + 1)
+    below_domain, below_suffix = kept("q_host"), kept("q_host") * kept("q_domain")
+    stays = F.when(F.col("by_domain").isNotNull(), below_domain).when(F.col("by_suffix").isNotNull(), below_suffix).otherwise(below_suffix * kept("q_suffix"))
+    share, q = F.coalesce("by_domain", "by_suffix", "overall"), stays / (1 - stays)
+    held = split.select("host", (q * share).alias("a"), (q * (1 - share)).alias("b"))
+    return held.select("host", mean("a", "b").alias("posterior_mean"), bound("a", "b", how.z).alias("posterior_bound"))
 
 
 def mean(a: str, b: str) -> Column:
@@ -140,14 +185,14 @@ def bound(a: str, b: str, z: float) -> Column:
 def judge_urls(pages: DataFrame, labels: DataFrame, how: Reputation = Reputation()) -> DataFrame:
     """``page_id, host, path, rule, verdict, posterior_bound`` per row of ``pages``.
 
-    A host without labels has no posterior of its own and is judged by the share of
-    all labelled pages (``base_share`` if there are none)."""
+    A host without labels is judged by the bound that it inherits."""
     url = F.col("url")
     own = pages.select("page_id", host(url).alias("host"), path(url).alias("path"))
-    known = reputations(pages, labels, how).select("host", "posterior_bound")
-    share = labels.where("good is not null").agg(F.coalesce(F.avg("good"), F.lit(how.base_share)).alias("overall"))  # one row
-    judged = own.join(known, "host", "left").join(F.broadcast(share))
+    of = levels(pages, labels, how)
+    labelled = known(of, how).select("host", "posterior_bound")
+    others = own.select("host").distinct().join(labelled, "host", "left_anti")
+    bounds = labelled.unionByName(inherited(others, of, how).select("host", "posterior_bound"))
+    judged = own.join(bounds, "host", "left")
     chosen = longest_rule(F.col("host"), F.col("path"), how.rules)
-    value = F.coalesce("posterior_bound", "overall")
-    learned = F.when(value >= how.least, "allow").otherwise("block")
+    learned = F.when(F.col("posterior_bound") >= how.least, "allow").otherwise("block")
     return judged.select("page_id", "host", "path", chosen["rule"].alias("rule"), F.coalesce(chosen["verdict"], learned).alias("verdict"), "posterior_bound")

@@ -60,6 +60,28 @@ def test_host_rules_and_shrinkage(spark):
     assert known["new.example.com"].posterior_mean < 1 and known["new.example.com"].posterior_bound < known["good.example.com"].posterior_bound
 
 
+def test_hosts_without_labels_inherit(spark):
+    def judged(groups, new, base=1000):
+        urls = [(f"http://{h}/fr/{k}", g) for h, n, good in groups for k, g in enumerate([1] * good + [0] * (n - good))]
+        pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(urls)] + [(base * 10 + k, f"http://{h}/fr/") for k, h in enumerate(new)], "page_id long, url string")
+        labels = spark.createDataFrame([(k, g) for k, (_, g) in enumerate(urls)], "page_id long, good int")
+        return {r.host: r for r in url_reputation.judge_urls(pages, labels).collect()}
+
+    # Most pages are good, but all of bad.com's are bad.
+    got = judged([("a.good.com", 500, 500), ("b.good.com", 300, 299), ("a.bad.com", 60, 0), ("b.bad.com", 60, 0), ("x.fair.org", 200, 190)], ["new.bad.com", "new.good.com", "a.new.com", "a.new.zz"])
+    assert [got[h].verdict for h in ("new.bad.com", "new.good.com")] == ["block", "allow"]
+    assert got["new.bad.com"].posterior_bound < 0.1
+    # The further the labelled ancestor, the wider.
+    assert got["new.good.com"].posterior_bound > got["a.new.com"].posterior_bound and got["a.new.zz"].verdict == "block"
+    # Most pages are bad, but all of good.com's are good.
+    got = judged([("a.good.com", 100, 100), ("b.good.com", 100, 100), ("a.bad.com", 300, 3), ("b.bad.com", 300, 2)], ["new.good.com", "new.bad.com"])
+    assert (got["new.good.com"].verdict, got["new.bad.com"].verdict) == ("allow", "block")
+    # One strength everywhere: the share of the domain, and of one host's deviation.
+    got = judged([("a.one.com", 20, 19)], ["b.one.com"])
+    m, q = 0.95, 200
+    assert abs(got["b.one.com"].posterior_bound - (m - 1.645 * (m * (1 - m) / (q + 1)) ** 0.5)) < 1e-9
+
+
 def test_held_out_pages():
     rng, model, good = random.Random(1234), trained(), 0
     for _ in range(150):
