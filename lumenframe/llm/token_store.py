@@ -172,6 +172,31 @@ def emitted(docs: DataFrame, tokenizer: str, end_id: int, how: Chunking, remembe
     return docs.mapInArrow(run, schema)
 
 
+def part_roots(recipes: DataFrame, width: int) -> DataFrame:
+    """``part, n_docs, n_tokens, root`` of each part, from the roots of its recipes."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, list] = {}
+        for batch in batches:
+            for part, n, root in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                t = totals.setdefault(part, [0, 0, []])
+                t[0], t[1] = t[0] + 1, t[1] + n
+                t[2].append(root)
+        rows = [(k, n, tokens, merkle(roots)) for k, (n, tokens, roots) in totals.items()]
+        if rows:
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(made, names=["part", "n_docs", "n_tokens", "root"])
+
+    return (
+        recipes.select("part", "n_tokens", "root", "within", "doc_id")
+        .repartition(width, "part")
+        .sortWithinPartitions("part", "within", "doc_id", "root")
+        .select("part", "n_tokens", "root")
+        .mapInArrow(summed, "part int, n_docs long, n_tokens long, root binary")
+    )
+
+
 def write_store(
     docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, how: Chunking = Chunking()
 ) -> str:
@@ -209,42 +234,43 @@ def write_store(
     )
     numbered.write.parquet(f"{path}/recipes")
 
-    written = spark.read.parquet(f"{path}/recipes")
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, list] = {}
-        for batch in batches:
-            for part, n, root in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                t = totals.setdefault(part, [0, 0, []])
-                t[0], t[1] = t[0] + 1, t[1] + n
-                t[2].append(root)
-        rows = [(k, n, tokens, merkle(roots)) for k, (n, tokens, roots) in totals.items()]
-        if rows:
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(made, names=["part", "n_docs", "n_tokens", "root"])
-
-    roots = (
-        written.select("part", "n_tokens", "root", "within", "doc_id")
-        .repartition(width, "part")
-        .sortWithinPartitions("part", "within", "doc_id", "root")
-        .select("part", "n_tokens", "root")
-        .mapInArrow(summed, "part int, n_docs long, n_tokens long, root binary")
-    )
+    roots = part_roots(spark.read.parquet(f"{path}/recipes"), width)
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     manifest = roots.withColumn("start", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
     manifest.coalesce(1).write.parquet(f"{path}/manifest")
     return path
 
 
+class Altered(ValueError):
+    """The recipes aren't those of the manifest."""
+
+
+def check_parts(recipes: DataFrame, manifest: DataFrame) -> None:
+    """Raise ``Altered`` unless each part has the manifest's root and counts.
+
+    The driver sees the number of parts that differ and one of them.
+    """
+    names = ("n_docs", "n_tokens", "root")
+    found = part_roots(recipes, shuffle_width(recipes.sparkSession))
+    both = manifest.select("part", *[F.col(n).alias(f"own_{n}") for n in names]).join(found, "part", "full")
+    same = [F.col(n).eqNullSafe(F.col(f"own_{n}")) for n in names]
+    differs = both.where(~(same[0] & same[1] & same[2]))
+    n, part = differs.agg(F.count("*"), F.min("part")).first()
+    if n:
+        raise Altered(f"{n} parts differ from the manifest, the first is {part}")
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids, verified`` per document, from the files alone.
 
     ``ids`` are little-endian unsigned 32-bit. Each chunk is held against its
-    digest and each document against its Merkle root and length.
+    digest, each document against its Merkle root and length, and the recipes of
+    each part against the manifest before anything is read; a difference there raises.
     """
     recipes = spark.read.parquet(f"{path}/recipes")
-    starts = spark.read.parquet(f"{path}/manifest").select("part", F.col("start").alias("part_start"))
+    manifest = spark.read.parquet(f"{path}/manifest")
+    check_parts(recipes, manifest)
+    starts = manifest.select("part", F.col("start").alias("part_start"))
     recipes = recipes.join(F.broadcast(starts), "part")  # one row a part
     start = (F.col("part_start") + F.col("within")).alias("start")
     recipes = recipes.select("row", "doc_id", start, "n_tokens", "chunks", "root")

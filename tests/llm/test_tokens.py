@@ -144,6 +144,24 @@ def test_store_finds_damage(spark, tmp_path):
     assert not all(r.verified for r in token_store.read_documents(spark, other).collect())
 
 
+def test_reading_holds_recipes_against_the_manifest(spark, tmp_path):
+    import shutil
+
+    path = token_store.write_store(frame(spark, rows_of(8, 12)), str(tmp_path / "store"), default_tokenizer())
+    recipes = spark.read.parquet(f"{path}/recipes")
+    rows = recipes.collect()
+    at = next(k for k, r in enumerate(rows) if r.chunks != rows[0].chunks)
+    replaced = [*rows[:at], (*rows[at][:4], *rows[0][4:]), *rows[at + 1 :]]  # sound in itself
+    for k, bad in enumerate((rows[:at] + rows[at + 1 :], rows[:at] + rows[at:][:1] * 2 + rows[at + 1 :], replaced)):
+        other = str(tmp_path / f"other{k}")
+        for name in ("objects", "manifest"):
+            shutil.copytree(f"{path}/{name}", f"{other}/{name}")
+        spark.createDataFrame(bad, recipes.schema).write.parquet(f"{other}/recipes")
+        with pytest.raises(token_store.Altered):
+            token_store.read_documents(spark, other)
+    assert token_store.read_documents(spark, path).count() == len(rows)
+
+
 def test_store_shares_chunks(spark, tmp_path):
     base = [t or "" for _, t, *_ in rows_of(9, 30)]
     long = " ".join(base)
