@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>", re.S)
+#: A comment, a declaration, or a tag. Quotes count after ``=`` only, as in browsers.
+TOKEN = re.compile(
+    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>", re.S
+)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORDS = re.compile(r"[a-z]+")
 
-#: Elements whose content is never text of the page.
-SILENT = frozenset("script style noscript template iframe svg math textarea select title head object canvas".split())
+#: Elements whose content isn't markup: it ends at the first closing tag of their own name.
+RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes".split())
+#: Elements of markup that is never text of the page; they may stand within their like.
+HIDDEN = frozenset("template svg math select object canvas video audio datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
@@ -44,12 +51,37 @@ class Node:
     children: list[int] = field(default_factory=list)
 
 
+class Closers:
+    """Where the closing tags of a name stand in a page; each name is searched for once."""
+
+    def __init__(self, page: str):
+        self.page, self.found = page, {}
+
+    def after(self, tag: str, at: int) -> re.Match | None:
+        if tag not in self.found:
+            self.found[tag] = list(re.finditer(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", self.page, re.I))
+        k = bisect.bisect_left(self.found[tag], at, key=re.Match.start)
+        return self.found[tag][k] if k < len(self.found[tag]) else None
+
+
 def parse(page: str) -> list[Node]:
-    """Block elements in page order under a root; text segments are ``#text`` nodes."""
+    """Block elements in page order under a root; text segments are ``#text`` nodes.
+
+    The content of a raw element is skipped unread up to its own closing tag; an
+    unclosed script or style takes the rest of the page, as in browsers, and any
+    other unclosed silent element only loses its tag. ``head`` is no element here:
+    what may stand in it is silent anyway, so its end tag may be left out.
+    """
     nodes = [Node("body", -1, 0)]
     stack = [0]
+    open_tags: Counter[str] = Counter()
     pieces: list[str] = []
-    in_link, link_chars, silent, at = 0, 0, "", 0
+    in_link, link_chars, at, pos = 0, 0, 0, 0
+    # Beyond the last > there are no tags; an unclosed comment takes the rest.
+    limit = page.rfind(">") + 1
+    comment = page.find("<!--", limit)
+    page = page if comment < 0 else page[:comment]
+    closers = Closers(page)
 
     def flush() -> None:
         nonlocal link_chars
@@ -66,24 +98,49 @@ def parse(page: str) -> list[Node]:
         nodes[own].children.append(k)
         return k
 
-    for m in TOKEN.finditer(page):
-        if silent:
-            if not (m[1] and m[2].lower() == silent):
-                continue
-            silent, at = "", m.end()
-            continue
+    def close(k: int) -> None:
+        """Closes the stack's element k and what is open within."""
+        for x in stack[k:]:
+            open_tags[nodes[x].tag] -= 1
+        del stack[k:]
+
+    def after_hidden(tag: str, at: int) -> int | None:
+        """Where a hidden element that was opened just before ``at`` has ended."""
+        if closers.after(tag, at) is None:
+            return None
+        depth = 1
+        while m := TOKEN.search(page, at, limit):
+            at, name = m.end(), (m[2] or "").lower()
+            if name in RAW and not m[1]:
+                end = closers.after(name, at)
+                at = end.end() if end else at
+            elif name == tag and not m[3].endswith("/"):
+                depth += -1 if m[1] else 1
+                if not depth:
+                    return at
+        return closers.found[tag][-1].end()  # more were opened than closed
+
+    while m := TOKEN.search(page, pos, limit):
         if m.start() > at:
             piece = page[at : m.start()]
             pieces.append(piece)
             if in_link:
                 link_chars += len(piece)
-        at = m.end()
+        at = pos = m.end()
         if m[2] is None:
             continue
         tag, closing = m[2].lower(), m[1]
-        if tag in SILENT:
-            if not closing and not m[3].endswith("/") and re.compile(f"</{re.escape(tag)}", re.I).search(page, at):
-                silent = tag
+        if tag in RAW:
+            if not closing:
+                end = closers.after(tag, at)
+                if end:
+                    at = pos = end.end()
+                elif tag in ("script", "style") and not m[3].endswith("/"):
+                    at = pos = len(page)
+            continue
+        if tag in HIDDEN:
+            if not closing and not m[3].endswith("/"):
+                at = pos = after_hidden(tag, at) or at
             continue
         if tag in VOID:
             if tag in ("br", "hr", "img", "input"):
@@ -95,33 +152,34 @@ def parse(page: str) -> list[Node]:
             if tag == "a":
                 in_link = 0 if closing else 1
             continue
-        flush()
-        in_link = 0 if tag != "p" or not closing else in_link
-        if tag in ("html", "body"):
+        if tag in ("head", "html", "body"):
+            flush()
             if tag == "body" and not closing and m[3]:
                 nodes[0].attrs = m[3]
             continue
+        flush()
+        in_link = 0 if tag != "p" or not closing else in_link
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    del stack[k:]
-                    break
+            if open_tags[tag]:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag == tag))
             continue
         if nodes[stack[-1]].tag == "p":
-            stack.pop()
-        fence = FENCES.get(tag, set())
-        for k in range(len(stack) - 1, 0, -1):
-            open_tag = nodes[stack[k]].tag
-            if open_tag in CLOSES.get(tag, ()):
-                del stack[k:]
-                if tag not in ("tr",):
+            close(len(stack) - 1)
+        ends, fence = CLOSES.get(tag, ()), FENCES.get(tag, ())
+        if any(open_tags[x] for x in ends):
+            for k in range(len(stack) - 1, 0, -1):
+                open_tag = nodes[stack[k]].tag
+                if open_tag in ends:
+                    close(k)
+                    if tag != "tr":
+                        break
+                elif open_tag in fence:
                     break
-            elif open_tag in fence or tag not in CLOSES:
-                break
         k = add(tag, m[3])
         if not m[3].endswith("/"):
             stack.append(k)
-    if not silent and at < len(page):
+            open_tags[tag] += 1
+    if at < len(page):
         pieces.append(page[at:])
     flush()
     return nodes

@@ -98,8 +98,12 @@ def main_blocks(rng: random.Random) -> list[str]:
     out = [f"<h1>{words(rng, rng.randint(2, 9))}</h1>"] if rng.random() < 0.9 else []
     for _ in range(rng.choice([1, 2, 3, 5, 8, 14])):
         roll, text = rng.random(), words(rng, rng.choice([1, 2, 5, 12, 40, 90, 200]))
-        if roll < 0.62:
+        if roll < 0.54:
             out.append(f"<p>{text}</p>")
+        elif roll < 0.59:
+            out.append(f"<p>{text}\n")
+        elif roll < 0.62:
+            out.append(f"<p class=\"{rng.choice(['lead', 'first', 'text'])}\"><em>{words(rng, 3)}</em> {text}</p>")
         elif roll < 0.72:
             out.append(f"<p><b>{text}<br>")
         elif roll < 0.78:
@@ -146,9 +150,23 @@ def training_page(rng: random.Random) -> str:
         inner = f'<div class="{rng.choice(["wrap", "page", "container", "row"])}">{inner}{boilerplate(rng) if rng.random() < 0.5 else ""}</div>'
     before = "".join(boilerplate(rng, rng.choice(["nav", "menu", "header", "ad", "notice", "form", "plain_links", None])) for _ in range(rng.randint(0, 4)))
     after = "".join(boilerplate(rng, rng.choice(["footer", "footer", "comments", "related", "aside", None])) for _ in range(rng.randint(0, 4)))
-    head = f"<head><title>{words(rng, 5)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>"
     tail = "</body></html>" if rng.random() < 0.9 else ""
-    return f"<!DOCTYPE html><html>{head}<body>{before}<!-- x -->{inner}{after}{tail}"
+    return f"{page_head(rng)}{before}{rng.choice(['<!-- x -->', '', script(rng)])}{inner}{script(rng)}{after}{tail}"
+
+
+def script(rng: random.Random) -> str:
+    """Nothing, or an element whose content isn't markup."""
+    code = ["for(i=0;i<n;i++)f(i)", "var t='</p>';", "var a='<!--', b=\"<article>\"", "a&&b||c<d"]
+    return rng.choice(["", "", f"<script>{rng.choice(code)}</script>", "<style>p>a:before{content:'<b'}</style>", "<noscript><img src=x></noscript>"])
+
+
+def page_head(rng: random.Random) -> str:
+    """What stands before a page's body, with its optional tags or without them."""
+    title = f"<title>{words(rng, 5)}</title>"
+    meta = rng.choice(["", '<meta charset="utf-8">', "<meta name=viewport content='width=device-width'><link rel=stylesheet href=/s.css>"])
+    inner = meta + title + "".join(script(rng) for _ in range(2))
+    begin, end = rng.choice([("<!DOCTYPE html><html><head>", "</head><body>"), ("<html lang=en><head>", "<body class=home>"), ("<!doctype html>", ""), ("", "<body>"), ("<html><head>", "</head>")])
+    return begin + inner + end
 
 
 def labels(nodes: list[Node]) -> np.ndarray:
