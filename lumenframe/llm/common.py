@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,29 +11,56 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, the word separators of most operators here.
 BLANKS = b" \t\n\x0b\x0c\r"
+SIZE = re.compile(r"(-?\d+)([kmg]?b?)")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark only (the path may be in a remote store)."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (single-machine tests) a temporary folder is set.
+    Only where it is unset on a single machine (tests) a temporary folder is set;
+    on a cluster that folder would differ from executor to executor, so this raises.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if not where:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        jvm_dir = context._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             return jvm_dir.get()
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         where = tempfile.mkdtemp(prefix="lumenframe-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(where)
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(where)
     return where
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+#: Bytes of one Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are bounded by bytes, not by rows
+    alone: 10,000 long texts would not fit a worker. A smaller bound stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    held = SIZE.fullmatch(str(conf.get(key)).strip().lower())
+    size = int(held[1]) << {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30}[held[2]] if held else 0
+    if size <= 0 or size > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder, for a table that cuts lineage."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"

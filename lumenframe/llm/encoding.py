@@ -25,6 +25,8 @@ import numpy as np
 ID_OF = attrgetter("id")
 #: Letters, and some numbers that are told apart afterwards.
 LETTERS = re.compile(r"[^\W\d_]+").match
+#: Longer pieces aren't kept, so that a number of entries bounds the bytes.
+KEPT_CHARS = 48
 
 #: The library's byte-level pattern, a fixed value.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -36,12 +38,19 @@ class Uneven(Exception):
 class Words(dict):
     """Ids of words that follow one space; fills itself and never outgrows ``room``.
 
+    A word is kept when it is met again: words that stand once would push out the
+    others. ``seen`` has a bit's byte for each hash met, and starts anew when a third
+    of it is set; a word taken for another one's repeat is merely kept early.
+
     Letters end where anything else begins, so a word that starts with letters is
     those letters' ids and the rest's, and its letters are merged once."""
 
+    SLOTS = 1 << 21
+
     def __init__(self, enc: Encoder, room: int):
         super().__init__()
         self.enc, self.room = enc, room
+        self.seen, self.fresh = bytearray(self.SLOTS), 0
 
     def __missing__(self, word: str) -> bytes:
         if word.isalpha():
@@ -52,9 +61,16 @@ class Words(dict):
             ids = self[stem[0]] + self.enc.rest(word[stem.end() :])
         else:
             ids = self.enc.cut(" " + word)
-        if len(self) >= self.room:
-            self.clear()
-        self[word] = ids
+        slot = hash(word) % self.SLOTS
+        if not self.seen[slot]:
+            if self.fresh >= self.SLOTS // 3:
+                self.seen, self.fresh = bytearray(self.SLOTS), 0
+            self.seen[slot] = 1
+            self.fresh += 1
+        elif len(word) <= KEPT_CHARS:
+            if len(self) >= self.room:
+                self.clear()
+            self[word] = ids
         return ids
 
 
@@ -66,9 +82,12 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids; holds at most ``room`` words (some 200 bytes each)."""
+    """Encodes texts to little-endian unsigned 32-bit ids.
 
-    def __init__(self, path: str, room: int = 700_000):
+    Holds at most ``room`` words and a quarter as many pieces and rests each, some
+    150 bytes an entry and 600 at most: with the default about 50 MB."""
+
+    def __init__(self, path: str, room: int = 250_000):
         self.path, self.room = path, room
         self.words = Words(self, room)
         self.pieces: dict[str, bytes] = {}
@@ -125,9 +144,8 @@ class Encoder:
         known = self.pieces
         ids = known.get(piece)
         if ids is None:
-            if len(known) >= self.room // 4:
-                known.clear()
-            ids = known[piece] = self.merged(piece)
+            ids = self.merged(piece)
+            self._keep(known, piece, ids)
         return ids
 
     def cut(self, cut: str) -> bytes:
@@ -141,10 +159,15 @@ class Encoder:
         known = self.rests
         ids = known.get(rest)
         if ids is None:
+            ids = self.cut(rest)
+            self._keep(known, rest, ids)
+        return ids
+
+    def _keep(self, known: dict[str, bytes], piece: str, ids: bytes) -> None:
+        if len(piece) <= KEPT_CHARS:
             if len(known) >= self.room // 4:
                 known.clear()
-            ids = known[rest] = self.cut(rest)
-        return ids
+            known[piece] = ids
 
     def _text(self, text: str) -> bytes:
         if not text:
@@ -170,19 +193,27 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and tokenizer file."""
-    return Encoder(path)
+def encoder(tokenizer: str) -> Encoder:
+    """One encoder per worker process and tokenizer."""
+    return Encoder(located(tokenizer))
+
+
+def located(tokenizer: str) -> str:
+    """The file of a tokenizer on the machine that asks: a path stays as it is, a
+    bare name is looked up among the installed public tokenizers."""
+    if os.path.dirname(tokenizer):
+        return tokenizer
+    import public_tokenizers
+
+    return public_tokenizers.path(tokenizer)
 
 
 @lru_cache(maxsize=8)
-def version(path: str) -> str:
+def version(tokenizer: str) -> str:
     """Digest of the tokenizer file: counts under another version never match."""
-    with open(path, "rb") as f:
+    with open(located(tokenizer), "rb") as f:
         return hashlib.sha256(f.read()).hexdigest()
 
 
 def default_tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return "byte_bpe_50k.json"

@@ -5,8 +5,8 @@ normalised content and the digest of the tokenizer file. A run joins digests to
 stored counts, encodes each distinct missing text once, appends those counts as
 one more batch of the cache, and joins them back.
 
-Defined results: a null text counts as the empty text; repeated rows each get
-their count; an empty table gives an empty result and appends an empty batch;
+Defined results: a null text counts as the empty text; a text of any length is
+encoded whole in one worker; repeated rows each get their count; an empty table gives an empty result and appends an empty batch;
 extra columns are not read.
 """
 
@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import fresh_path
+from lumenframe.llm.common import bounded, fresh_path
 from lumenframe.llm.encoding import encoder, version
 
 CACHE_SCHEMA = "content binary, version string, n_tokens long"
@@ -78,24 +78,37 @@ def encoded_lengths(texts: DataFrame, tokenizer: str) -> DataFrame:
     return texts.select("content", "text").mapInArrow(run, "content binary, n_tokens long")
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str | None = None) -> DataFrame:
-    """``doc_id, n_bytes, n_tokens`` of every row of ``docs``.
+def content_digest(text):
+    """The cache key of a text."""
+    return digest(normalised(text))
+
 
-    Texts move only when they are missing from the cache, once per distinct
-    digest: the grouping keeps one text a digest before the shuffle. The join
-    back moves digests and counts; a digest that many rows share is split by
-    adaptive skew-join handling, as nothing above it needs its rows together.
+def fill_cache(docs: DataFrame, tokenizer: str, cache_path: str) -> DataFrame:
+    """Encode the texts of ``docs`` that the cache lacks, append their counts and
+    return all counts ``content, n_tokens`` that are stored now.
+
+    Texts move once, to meet the cache and their copies by digest; the grouping
+    keeps one text a digest before that shuffle. A digest that many rows share is
+    thus one row a task.
     """
     spark = docs.sparkSession
-    cache = DigestCache(spark, cache_path or fresh_path(spark, "token-counts"))
-    tokenizer_version = version(tokenizer)
-    text = normalised(F.col("text"))
-    texts = docs.select(text.alias("text")).select(digest(F.col("text")).alias("content"), "text")
+    cache, tokenizer_version = DigestCache(spark, cache_path), version(tokenizer)
+    texts = bounded(docs).select(normalised(F.col("text")).alias("text")).select(digest(F.col("text")).alias("content"), "text")
+    distinct = texts.groupBy("content").agg(F.first("text").alias("text"))
     known = cache.counts(tokenizer_version)
     if known is not None:
-        texts = texts.join(known, "content", "left_anti")
-    misses = texts.groupBy("content").agg(F.first("text").alias("text"))
-    added = cache.append(encoded_lengths(misses, tokenizer), tokenizer_version)
-    counts = added if known is None else known.unionByName(added).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), digest(text).alias("content"))
+        distinct = distinct.join(known, "content", "left_anti")
+    added = cache.append(encoded_lengths(distinct, tokenizer), tokenizer_version)
+    return added if known is None else known.unionByName(added).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+
+
+def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str | None = None) -> DataFrame:
+    """``doc_id, n_bytes, n_tokens`` of every row of ``docs``.
+
+    The join back moves digests and counts; a digest that many rows share is split
+    by adaptive skew-join handling, as nothing above it needs its rows together.
+    """
+    counts = fill_cache(docs, tokenizer, cache_path or fresh_path(docs.sparkSession, "token-counts"))
+    n_bytes = F.octet_length(normalised(F.col("text"))).cast("long").alias("n_bytes")
+    rows = docs.select("doc_id", n_bytes, content_digest(F.col("text")).alias("content"))
     return rows.join(counts, "content", "left").select("doc_id", "n_bytes", "n_tokens")

@@ -20,6 +20,7 @@ gives empty tables; extra columns are not read.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import fresh_path, own_columns, shuffle_width
+from lumenframe.llm.common import bounded, fresh_path, own_columns, shuffle_width
 from lumenframe.llm.encoding import encoder
 
 
@@ -60,40 +61,67 @@ def mixed_small() -> np.ndarray:
     return mixed(np.arange(1 << 16, dtype=np.uint64))
 
 
-@lru_cache(maxsize=1)
-def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``size`` powers of the hash's base and of its inverse."""
-    base, inverse = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
-    grow, shrink = np.full(size, base, np.uint64), np.full(size, inverse, np.uint64)
-    grow[0] = shrink[0] = 1
-    return np.cumprod(grow), np.cumprod(shrink)
+#: Documents of about so many ids are cut and hashed in one go.
+SLICE_IDS = 1 << 18
+
+#: Odd base of the rolling hash, modulo 2^64.
+BASE = 0xD6E8FEB86659FD93
+
+
+def rolled(values: np.ndarray, window: int) -> np.ndarray:
+    """Polynomial hash of every ``window`` values, by doubling: the hash of 2m values is
+    that of the first m plus BASE^m times that of the next m."""
+    n = len(values) - window + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, done, power, m = None, 0, values, 1
+    while True:
+        if window & m:
+            if out is None:
+                out = power
+            else:
+                size = len(values) - done - m + 1
+                out = out[:size] + power[done : done + size] * np.uint64(pow(BASE, done, 1 << 64))
+            done += m
+        if 2 * m > window:
+            return out[:n]
+        size = len(values) - 2 * m + 1
+        power = power[:size] + power[m : m + size] * np.uint64(pow(BASE, m, 1 << 64))
+        m *= 2
 
 
 def cuts(ids: np.ndarray, how: Chunking = Chunking()) -> list[int]:
     """End positions of the chunks of one document, the last being its length."""
-    n, w = len(ids), how.window
-    if n <= how.least:
-        return [n]
-    # Short documents share one series; a longer one has its own of its length.
-    grow, shrink = powers(1 << 16) if n <= 1 << 16 else powers.__wrapped__(n)
-    values = mixed_small()[ids] if int(ids.max()) < 1 << 16 else mixed(ids)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * grow[:n], out=sums[1:])
-    rolling = (sums[w:] - sums[:-w]) * shrink[: max(0, n + 1 - w)]
-    hits = np.flatnonzero(mixed(rolling) < np.uint64(1 << (64 - how.mask_bits))) + w
-    out, last = [], 0
-    for hit in hits.tolist():
-        while hit - last > how.most:
-            last += how.most
-            out.append(last)
-        if hit - last >= how.least:
-            out.append(hit)
-            last = hit
-    while n - last > how.most:
-        last += how.most
-        out.append(last)
-    if last < n:
-        out.append(n)
+    return cuts_of(ids, [len(ids)], how)[0]
+
+
+def cuts_of(ids: np.ndarray, lengths: list[int], how: Chunking = Chunking()) -> list[list[int]]:
+    """The same, of documents whose ids stand one after another: all are hashed in
+    one go, and windows over a document's edge are left out."""
+    values = mixed_small()[ids] if len(ids) and int(ids.max()) < 1 << 16 else mixed(ids)
+    hits = np.flatnonzero(mixed(rolled(values, how.window)) < np.uint64(1 << (64 - how.mask_bits))) + how.window
+    ends = np.cumsum(lengths)
+    edges = np.searchsorted(hits, [0, *ends.tolist()], side="right").tolist()
+    out, begin = [], 0
+    for k, n in enumerate(lengths):
+        own, last = [], 0
+        if n > how.least:
+            for hit in (hits[edges[k] : edges[k + 1]] - begin).tolist():
+                if hit < how.window:
+                    continue
+                while hit - last > how.most:
+                    last += how.most
+                    own.append(last)
+                if hit - last >= how.least:
+                    own.append(hit)
+                    last = hit
+            while n - last > how.most:
+                last += how.most
+                own.append(last)
+        if last < n:
+            own.append(n)
+        out.append(own)
+        begin += n
     return out
 
 
@@ -103,13 +131,21 @@ def engines() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
     return zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
 
+class Planes:
+    """The bytes of some ids by significance, from which chunks are compressed."""
+
+    def __init__(self, ids: np.ndarray):
+        self.width = 2 if len(ids) == 0 or int(ids.max()) < 1 << 16 else 4
+        flat = np.ascontiguousarray(ids, f"<u{self.width}").view(np.uint8).reshape(-1, self.width)
+        self.planes = [flat[:, k].tobytes() for k in range(self.width)]
+
+    def packed(self, begin: int, end: int) -> bytes:
+        """A chunk's bytes in the store: a width byte and the compressed byte planes."""
+        return bytes([self.width]) + engines()[0].compress(b"".join([p[begin:end] for p in self.planes]))
+
+
 def packed(ids: np.ndarray) -> bytes:
-    """One chunk's bytes in the store: a width byte and the compressed byte planes."""
-    narrow = len(ids) == 0 or int(ids.max()) < 1 << 16
-    flat = np.ascontiguousarray(ids.astype("<u2" if narrow else "<u4"))
-    width = flat.dtype.itemsize
-    planes = flat.view(np.uint8).reshape(-1, width).T.tobytes()
-    return bytes([width]) + engines()[0].compress(planes)
+    return Planes(ids).packed(0, len(ids))
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -119,7 +155,7 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def digest(ids: np.ndarray) -> bytes:
-    return hashlib.sha256(ids.astype("<u4").tobytes()).digest()[:20]
+    return hashlib.sha256(ids.astype("<u4", copy=False)).digest()[:20]
 
 
 def merkle(leaves: list[bytes]) -> bytes:
@@ -148,26 +184,52 @@ def emitted(docs: DataFrame, tokenizer: str, end_id: int, how: Chunking, remembe
         row = TaskContext.get().partitionId() << 33
         met: dict[bytes, bool] = {}
         for whole in batches:
-            kinds = [pa.string(), pa.binary(), pa.int64(), pa.binary(), whole.column(0).type, pa.int64(), pa.list_(pa.binary()), pa.binary()]
-            for at in range(0, whole.num_rows, 500):
-                rows: list[tuple] = []
-                batch = whole.slice(at, 500)
-                for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                    ids = np.frombuffer(enc.encode([text.as_py()])[0] + end, "<u4")
-                    ends = cuts(ids, how)
-                    parts = [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-                    keys = [digest(p) for p in parts]
-                    rows.append(("document", row.to_bytes(8, "big"), row, None, doc_id.as_py(), len(ids), keys, merkle(keys)))
-                    for key, part in dict(zip(keys, parts, strict=True)).items():
+            doc_kind, at = whole.column(0).type, 0
+            while at < whole.num_rows:
+                raws, size, first = [], 0, at
+                while at < whole.num_rows and size < SLICE_IDS:
+                    raws.append(enc.encode([whole.column(1)[at].as_py()])[0] + end)
+                    size += len(raws[-1]) // 4
+                    at += 1
+                batch, n_docs = whole.slice(first, at - first), len(raws)
+                raw = memoryview(b"".join(raws))
+                lengths = [len(r) // 4 for r in raws]
+                del raws
+                ids = np.frombuffer(raw, "<u4")
+                planes = Planes(ids)
+                begin, keys, counts, roots, sent = 0, [], [], [], []
+                for k, ends in enumerate(cuts_of(ids, lengths, how)):
+                    own, last, mine = [], begin, set()
+                    for e in ends:
+                        key = hashlib.sha256(raw[4 * last : 4 * (begin + e)]).digest()[:20]
+                        own.append(key)
                         again = met.get(key)
-                        if again:
-                            continue
-                        met[key] = again is not None
-                        rows.append(("chunk", key, row, packed(part) if again is None else None, None, None, None, None))
+                        if not again and key not in mine:
+                            mine.add(key)
+                            met[key] = again is not None
+                            sent.append((key, row + k, planes.packed(last, begin + e) if again is None else None))
+                        last = begin + e
+                    keys += own
+                    counts.append(len(own))
+                    roots.append(merkle(own))
+                    begin += lengths[k]
                     if len(met) >= remembered:
                         met.clear()
-                    row += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                numbers = range(row, row + n_docs)
+                row += n_docs
+                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([
+                    pa.repeat("document", n_docs), pa.array([x.to_bytes(8, "big") for x in numbers], pa.binary()), pa.array(numbers, pa.int64()),
+                    pa.nulls(n_docs, pa.binary()), batch.column(0), pa.array(lengths, pa.int64()),
+                    pa.ListArray.from_arrays(offsets, pa.array(keys, pa.binary())), pa.array(roots, pa.binary()),
+                ], names=names)
+                n = len(sent)
+                if n:
+                    own_keys, rows, data = zip(*sent, strict=True)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.repeat("chunk", n), pa.array(own_keys, pa.binary()), pa.array(rows, pa.int64()), pa.array(data, pa.binary()),
+                        pa.nulls(n, doc_kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.binary())), pa.nulls(n, pa.binary()),
+                    ], names=names)
 
     return docs.mapInArrow(run, schema)
 
@@ -208,7 +270,7 @@ def write_store(
     start, from the manifest (one row a part), plus the running sum within the part.
     """
     spark = docs.sparkSession
-    sent = emitted(own_columns(docs, "doc_id", "text"), tokenizer, end_id, how)
+    sent = emitted(own_columns(bounded(docs), "doc_id", "text"), tokenizer, end_id, how)
     first = [F.first(c, ignorenulls=True).alias(c) for c in ("data", "doc_id", "n_tokens", "chunks", "root")]
     met = sent.repartition(shuffle_width(spark), "kind", "key").groupBy("kind", "key")
     met = met.agg(F.min("row").alias("home"), (F.count("*") > 1).alias("shared"), *first)
@@ -260,10 +322,11 @@ def check_parts(recipes: DataFrame, manifest: DataFrame) -> None:
         raise Altered(f"{n} parts differ from the manifest, the first is {part}")
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids, verified`` per document, from the files alone.
+def read_documents(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32, verified, ids`` per document, from the files alone.
 
-    ``ids`` are little-endian unsigned 32-bit. Each chunk is held against its
+    ``ids`` are little-endian unsigned 32-bit; a caller that wants their checksum only
+    leaves them out by ``with_ids``. Each chunk is held against its
     digest, each document against its Merkle root and length, and the recipes of
     each part against the manifest before anything is read; a difference there raises.
     """
@@ -286,9 +349,9 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     order = ["seq", "doc_id", "start", "n_tokens", "chunks", "root", "key", "data"]
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", "n_tokens", "ids", "verified"]
+        names = ["doc_id", "start", "n_tokens", "ids_crc32", "verified"] + ["ids"] * with_ids
         held: list = []
-        found: dict[bytes, np.ndarray] = {}
+        found: dict[bytes, bytes] = {}
         rows: list[tuple] = []
         doc_kind = pa.int64()
 
@@ -296,13 +359,12 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
             if not held:
                 return
             doc_id, start, n, keys, root = held
-            none = np.zeros(0, "<u4")
-            ids = np.concatenate([found.get(k, none) for k in keys])
-            sound = all(k in found for k in keys) and len(ids) == n and merkle(keys) == root
-            rows.append((doc_id, start, n, ids.tobytes(), sound))
+            ids = b"".join([found[k] for k in keys if k in found])
+            sound = all(k in found for k in keys) and len(ids) == 4 * n and merkle(keys) == root
+            rows.append((doc_id, start, n, zlib.crc32(ids), sound, *((ids,) if with_ids else ())))
 
         def flush() -> pa.RecordBatch:
-            kinds = [doc_kind, pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+            kinds = [doc_kind, pa.int64(), pa.int64(), pa.int64(), pa.bool_()] + [pa.binary()] * with_ids
             made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
             rows.clear()
             return pa.RecordBatch.from_arrays(made, names=names)
@@ -315,7 +377,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                     if seq == 0:
                         close()
                         held, found = [doc_id, start, n, keys, root], {}
-                    elif digest(ids := unpacked(data)) == key:
+                    elif hashlib.sha256(ids := unpacked(data).tobytes()).digest()[:20] == key:
                         found[key] = ids
                     if len(rows) >= 500:
                         yield flush()
@@ -323,16 +385,14 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         if rows:
             yield flush()
 
-    return dealt.select(*order).mapInArrow(rebuild, f"doc_id {kind}, start long, n_tokens long, ids binary, verified boolean")
+    return dealt.select(*order).mapInArrow(rebuild, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, verified boolean" + ", ids binary" * with_ids)
 
 
-def round_trip(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, path: str | None = None, with_ids: bool = True) -> DataFrame:
     """Write ``docs`` to a store and read it back; a document that doesn't
     verify raises an error instead of giving wrong ids."""
     where = path or fresh_path(docs.sparkSession, "token-store")
-    back = read_documents(docs.sparkSession, write_store(docs, where, tokenizer))
-    return back.select(
-        "doc_id", "start", "n_tokens", F.when(F.col("verified"), F.col("ids")).otherwise(
-            F.raise_error(F.lit("a document differs from its Merkle root"))
-        ).alias("ids")
-    )
+    back = read_documents(docs.sparkSession, write_store(docs, where, tokenizer), with_ids)
+    error = F.raise_error(F.lit("a document differs from its Merkle root"))
+    checked = F.when(F.col("verified"), F.col("ids_crc32")).otherwise(error).alias("ids_crc32")
+    return back.select("doc_id", "start", "n_tokens", checked, *["ids"] * with_ids)
