@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.common import bounded, fresh_path, own_columns, shuffle_width
 from lumenframe.llm.encoding import encoder
+from lumenframe.llm.rolling import mixed, rolled
 
 
 @dataclass(frozen=True)
@@ -47,18 +48,15 @@ class Chunking:
     most: int = 4096
 
 
-def mixed(ids: np.ndarray) -> np.ndarray:
-    """A 64-bit mixing of each id (the splitmix64 finaliser)."""
-    x = ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def spread(ids: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each id."""
+    return mixed(ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
 
 
 @lru_cache(maxsize=1)
-def mixed_small() -> np.ndarray:
-    """``mixed`` of every 16-bit id."""
-    return mixed(np.arange(1 << 16, dtype=np.uint64))
+def spread_small() -> np.ndarray:
+    """``spread`` of every 16-bit id."""
+    return spread(np.arange(1 << 16, dtype=np.uint64))
 
 
 #: Documents of about so many ids are cut and hashed in one go.
@@ -68,28 +66,6 @@ SLICE_IDS = 1 << 18
 BASE = 0xD6E8FEB86659FD93
 
 
-def rolled(values: np.ndarray, window: int) -> np.ndarray:
-    """Polynomial hash of every ``window`` values, by doubling: the hash of 2m values is
-    that of the first m plus BASE^m times that of the next m."""
-    n = len(values) - window + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out, done, power, m = None, 0, values, 1
-    while True:
-        if window & m:
-            if out is None:
-                out = power
-            else:
-                size = len(values) - done - m + 1
-                out = out[:size] + power[done : done + size] * np.uint64(pow(BASE, done, 1 << 64))
-            done += m
-        if 2 * m > window:
-            return out[:n]
-        size = len(values) - 2 * m + 1
-        power = power[:size] + power[m : m + size] * np.uint64(pow(BASE, m, 1 << 64))
-        m *= 2
-
-
 def cuts(ids: np.ndarray, how: Chunking = Chunking()) -> list[int]:
     """End positions of the chunks of one document, the last being its length."""
     return cuts_of(ids, [len(ids)], how)[0]
@@ -98,8 +74,8 @@ def cuts(ids: np.ndarray, how: Chunking = Chunking()) -> list[int]:
 def cuts_of(ids: np.ndarray, lengths: list[int], how: Chunking = Chunking()) -> list[list[int]]:
     """The same, of documents whose ids stand one after another: all are hashed in
     one go, and windows over a document's edge are left out."""
-    values = mixed_small()[ids] if len(ids) and int(ids.max()) < 1 << 16 else mixed(ids)
-    hits = np.flatnonzero(mixed(rolled(values, how.window)) < np.uint64(1 << (64 - how.mask_bits))) + how.window
+    values = spread_small()[ids] if len(ids) and int(ids.max()) < 1 << 16 else spread(ids)
+    hits = np.flatnonzero(mixed(rolled(values, how.window, BASE)) < np.uint64(1 << (64 - how.mask_bits))) + how.window
     ends = np.cumsum(lengths)
     edges = np.searchsorted(hits, [0, *ends.tolist()], side="right").tolist()
     out, begin = [], 0
