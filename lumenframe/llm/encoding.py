@@ -3,8 +3,9 @@
 Invented or rare words make byte-pair merging the whole cost of tokenising. A
 text is cut only at single spaces between two non-blank characters: a byte-level
 pre-tokeniser starts a new piece at each such space, so the ids of a text are
-the ids of its cuts, one after another. Each distinct cut is encoded once per
-cache fill, by the library's merge model, and then looked up. Any other kind of
+the ids of its cuts, one after another. Each distinct cut of a slice of texts is
+looked up in a cache of words that have been met before, or else encoded by the
+library's merge model. Any other kind of
 tokenizer, and any text with other runs of blanks, goes to the library whole.
 """
 
@@ -16,64 +17,25 @@ import os
 import re
 import sys
 from array import array
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from operator import attrgetter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 ID_OF = attrgetter("id")
 #: Letters, and some numbers that are told apart afterwards.
 LETTERS = re.compile(r"[^\W\d_]+").match
 #: Longer pieces aren't kept, so that a number of entries bounds the bytes.
 KEPT_CHARS = 48
+#: Texts are cut and looked up in slices of about so many bytes.
+PART_BYTES = 8 << 20
 
 #: The library's byte-level pattern, a fixed value.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-class Uneven(Exception):
-    """A cut that has a blank at an edge: its text must be encoded whole."""
-
-
-class Words(dict):
-    """Ids of words that follow one space; fills itself and never outgrows ``room``.
-
-    A word is kept when it is met again: words that stand once would push out the
-    others. ``seen`` has a bit's byte for each hash met, and starts anew when a third
-    of it is set; a word taken for another one's repeat is merely kept early.
-
-    Letters end where anything else begins, so a word that starts with letters is
-    those letters' ids and the rest's, and its letters are merged once."""
-
-    SLOTS = 1 << 21
-
-    def __init__(self, enc: Encoder, room: int):
-        super().__init__()
-        self.enc, self.room = enc, room
-        self.seen, self.fresh = bytearray(self.SLOTS), 0
-
-    def __missing__(self, word: str) -> bytes:
-        if word.isalpha():
-            ids = self.enc.merged(" " + word)
-        elif not word or word[0].isspace() or word[-1].isspace():
-            raise Uneven
-        elif (stem := LETTERS(word)) and stem[0].isalpha():
-            ids = self[stem[0]] + self.enc.rest(word[stem.end() :])
-        else:
-            ids = self.enc.cut(" " + word)
-        slot = hash(word) % self.SLOTS
-        if not self.seen[slot]:
-            if self.fresh >= self.SLOTS // 3:
-                self.seen, self.fresh = bytearray(self.SLOTS), 0
-            self.seen[slot] = 1
-            self.fresh += 1
-        elif len(word) <= KEPT_CHARS:
-            if len(self) >= self.room:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
 def byte_alphabet() -> dict[int, str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -84,12 +46,12 @@ def byte_alphabet() -> dict[int, str]:
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
-    Holds at most ``room`` words and a quarter as many pieces and rests each, some
-    150 bytes an entry and 600 at most: with the default about 50 MB."""
+    Holds at most ``room`` words and half as many pieces and rests each, some
+    150 bytes an entry and 600 at most: with the default some 60 MB."""
 
     def __init__(self, path: str, room: int = 250_000):
         self.path, self.room = path, room
-        self.words = Words(self, room)
+        self.words: dict[str, bytes] = {}  # ids of words that follow one space
         self.pieces: dict[str, bytes] = {}
         self.rests: dict[str, bytes] = {}
         if path.endswith(".model"):
@@ -165,31 +127,111 @@ class Encoder:
 
     def _keep(self, known: dict[str, bytes], piece: str, ids: bytes) -> None:
         if len(piece) <= KEPT_CHARS:
-            if len(known) >= self.room // 4:
+            if len(known) >= self.room // 2:
                 known.clear()
             known[piece] = ids
 
-    def _text(self, text: str) -> bytes:
-        if not text:
-            return b""
-        first, *rest = text.split(" ")
-        if not rest:
-            return self.cut(text)
-        if not first or first[-1].isspace():
-            return self._whole([text])[0]
-        try:
-            return self.cut(first) + b"".join(map(self.words.__getitem__, rest))
-        except Uneven:
-            return self._whole([text])[0]
-
-    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
+    def _known(self, names: list[str], times: np.ndarray) -> list[bytes | None]:
+        """Ids of distinct words that follow one space; None for a word with a blank at
+        an edge, whose text must be encoded whole.
+
+        Letters end where anything else begins, so a word that starts with letters is
+        those letters' ids and the rest's. Words met several times are kept: those
+        that stand once would push out the others."""
+        words, space, tokenize, swap = self.words, self.space, self.tokenize, sys.byteorder == "big"
+        get, out, often = words.get, list(map(words.get, names)), (times > 1).tolist()
+        for k, ids in enumerate(out):
+            if ids is not None:
+                continue
+            word = names[k]
+            if word.isalpha():
+                if word.isascii() and not swap:  # ASCII letters are spelt as they are
+                    ids = array("I", map(ID_OF, tokenize(space + word))).tobytes()
+                else:
+                    ids = self.merged(" " + word)
+            elif not word or word[0].isspace() or word[-1].isspace():
+                continue
+            elif (stem := LETTERS(word)) and (letters := stem[0]).isalpha():
+                ids = (get(letters) or self.merged(" " + letters)) + self.rest(word[stem.end() :])
+            else:
+                ids = self.cut(" " + word)
+            out[k] = ids
+            if often[k] and len(word) <= KEPT_CHARS:
+                if len(words) >= self.room:
+                    words.clear()
+                words[word] = ids
+        return out
+
+    def _cut(self, texts: pa.Array) -> tuple[bytes, np.ndarray]:
+        """The ids of all texts one after another, and each text's number of them.
+
+        Words are told apart by Arrow, so each distinct word of ``texts`` is looked up
+        once. The first word of a text follows no space and stands for itself."""
+        split = pc.split_pattern(texts, " ")
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        begins = offsets[:-1]
+        coded = split.flatten().dictionary_encode()
+        names, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+        del split, coded
+        firsts = [names[k] for k in at[begins].tolist()]
+        known = self._known(names, np.bincount(at, minlength=len(names)))
+        at[begins] = len(names) + np.arange(len(firsts))
+        several = np.diff(offsets) > 1
+        lone = [not s or bool(w) and not w[-1].isspace() for w, s in zip(firsts, several.tolist(), strict=True)]
+        found = [*known, *(self.cut(w) if ok else None for w, ok in zip(firsts, lone, strict=True))]
+        uneven = np.fromiter((x is None for x in found), bool, len(found))
+        whole = np.flatnonzero(np.logical_or.reduceat(uneven[at], begins)) if uneven.any() else np.zeros(0, np.int64)
+        found = [x or b"" for x in found]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        blob, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        each = sizes[at]
+        for k in whole.tolist():
+            each[offsets[k] : offsets[k + 1]] = 0
+        counts = np.add.reduceat(each, begins)
+        used = np.flatnonzero(each)
+        many = each[used]
+        places = np.repeat(starts[at[used]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        flat = blob[places].tobytes()
+        if len(whole):
+            ends = 4 * np.cumsum(counts)
+            own = self._whole([texts[k].as_py() for k in whole.tolist()])
+            pieces, last = [], 0
+            for k, ids in zip(whole.tolist(), own, strict=True):
+                pieces += [flat[last : ends[k]], ids]
+                last = int(ends[k])
+                counts[k] = len(ids) // 4
+            flat = b"".join([*pieces, flat[last:]])
+        return flat, counts
+
+    def encode(self, texts: Sequence[str | None] | pa.Array) -> list[bytes]:
         """The ids of each text as bytes; null is the empty text."""
-        texts = [t or "" for t in texts]
-        if self.kind == "sentencepiece":
-            return [np.array(x, "<u4").tobytes() for x in self.model.encode(texts, num_threads=1)]
-        if self.kind == "whole":
-            return self._whole(texts)
-        return [self._text(t) for t in texts]
+        out: list[bytes] = []
+        for part in self._parts(texts):
+            if self.kind == "cut":
+                flat, counts = self._cut(part)
+                ends = (4 * np.cumsum(counts)).tolist()
+                out += [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            elif self.kind == "sentencepiece":
+                out += [np.array(x, "<u4").tobytes() for x in self.model.encode(part.to_pylist(), num_threads=1)]
+            else:
+                out += self._whole(part.to_pylist())
+        return out
+
+    def counts(self, texts: Sequence[str | None] | pa.Array) -> list[int]:
+        """The number of ids of each text."""
+        return [len(x) // 4 for x in self.encode(texts)]
+
+    def _parts(self, texts: Sequence[str | None] | pa.Array) -> Iterator[pa.Array]:
+        """``texts`` without nulls, in slices of some PART_BYTES; a longer text is a slice."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        column = pc.fill_null(column, "")
+        upto = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(column):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PART_BYTES, side="right")))
+            yield column.slice(at, end - at)
+            at = end
 
 
 @lru_cache(maxsize=2)

@@ -133,8 +133,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
 
         def bins() -> Iterator[list[Piece]]:
             for batch in batches:
-                for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                    yield from packer.add(doc_id.as_py(), enc.encode([text.as_py()])[0] + end)
+                for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
+                    yield from packer.add(doc_id, ids + end)
             yield from packer.finish()
 
         def flush() -> pa.RecordBatch:

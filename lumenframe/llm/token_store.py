@@ -160,11 +160,11 @@ def emitted(docs: DataFrame, tokenizer: str, end_id: int, how: Chunking, remembe
         row = TaskContext.get().partitionId() << 33
         met: dict[bytes, bool] = {}
         for whole in batches:
-            doc_kind, at = whole.column(0).type, 0
+            doc_kind, at, encoded = whole.column(0).type, 0, enc.encode(whole.column(1))
             while at < whole.num_rows:
                 raws, size, first = [], 0, at
                 while at < whole.num_rows and size < SLICE_IDS:
-                    raws.append(enc.encode([whole.column(1)[at].as_py()])[0] + end)
+                    raws.append(encoded[at] + end)
                     size += len(raws[-1]) // 4
                     at += 1
                 batch, n_docs = whole.slice(first, at - first), len(raws)
