@@ -2,7 +2,7 @@
 
 Each round is two grouped minima and two joins; both only replace edges by edges
 to smaller nodes, so the table never grows beyond its first size. Rounds are
-stored in the shared folder; the driver sees one count and one checksum a round.
+stored in the shared folder, each in place of the one before; the driver sees one count and one checksum a round.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import stored
+from lumenframe.llm.common import fresh_path, removed
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -31,11 +31,17 @@ def small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (longs ``a, b``) but the roots,
     where root is the least node that can be reached."""
-    edges = stored(edges.where("a <> b").distinct(), "edges")
-    mark = None
+    spark, schema = edges.sparkSession, "a long, b long"
+    now, mark = edges.where("a <> b").distinct(), None
+    last = None
     while True:
-        edges = stored(small_star(large_star(edges)), "stars")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == now:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = now
+        path = fresh_path(spark, "stars")
+        now.select("a", "b").write.parquet(path)
+        held = spark.read.schema(schema).parquet(path)
+        if last is not None:
+            removed(spark, last)  # the round before is read no more
+        last = path
+        found = held.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if mark == found:
+            return held.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        mark, now = found, small_star(large_star(held))

@@ -184,7 +184,8 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, how: Phrases = Phrase
     The verdicts' row numbers are those of this very scan, so only flagged numbers
     are joined back.
     """
-    own = stored(docs.select(F.monotonically_increasing_id().alias("__row"), *[F.col(f"`{c}`") for c in docs.columns]), "numbered")
-    judged = contamination(own.select(F.col("__row").alias("doc_id"), "text"), benchmark, how)
+    numbers = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    own = stored(docs.select(F.monotonically_increasing_id().alias("__row"), *numbers), "numbered")
+    judged = contamination(own.select(F.col("__row").alias("doc_id"), F.col(f"c{docs.columns.index('text')}").alias("text")), benchmark, how)
     bad = judged.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("__row"))
-    return own.join(bad, "__row", "left_anti").drop("__row")
+    return own.join(bad, "__row", "left_anti").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

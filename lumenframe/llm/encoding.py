@@ -31,7 +31,7 @@ LETTERS = re.compile(r"[^\W\d_]+").match
 #: Longer pieces aren't kept, so that a number of entries bounds the bytes.
 KEPT_CHARS = 48
 #: Texts are cut and looked up in slices of about so many bytes.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 
 #: The library's byte-level pattern, a fixed value.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -47,9 +47,9 @@ class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
     Holds at most ``room`` words and half as many pieces and rests each, some
-    150 bytes an entry and 600 at most: with the default some 60 MB."""
+    150 bytes an entry and 600 at most: with the default some 40 MB."""
 
-    def __init__(self, path: str, room: int = 250_000):
+    def __init__(self, path: str, room: int = 150_000):
         self.path, self.room = path, room
         self.words: dict[str, bytes] = {}  # ids of words that follow one space
         self.pieces: dict[str, bytes] = {}
@@ -172,7 +172,7 @@ class Encoder:
         offsets -= offsets[0]
         begins = offsets[:-1]
         coded = split.flatten().dictionary_encode()
-        names, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+        names, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int32)
         del split, coded
         firsts = [names[k] for k in at[begins].tolist()]
         known = self._known(names, np.bincount(at, minlength=len(names)))
@@ -183,16 +183,17 @@ class Encoder:
         uneven = np.fromiter((x is None for x in found), bool, len(found))
         whole = np.flatnonzero(np.logical_or.reduceat(uneven[at], begins)) if uneven.any() else np.zeros(0, np.int64)
         found = [x or b"" for x in found]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        blob, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        blob, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes, dtype=np.int32) - sizes
         each = sizes[at]
         for k in whole.tolist():
             each[offsets[k] : offsets[k + 1]] = 0
-        counts = np.add.reduceat(each, begins)
-        used = np.flatnonzero(each)
-        many = each[used]
-        places = np.repeat(starts[at[used]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        del found
+        counts = np.add.reduceat(each, begins, dtype=np.int64)
+        places = np.repeat(starts[at] - (np.cumsum(each, dtype=np.int32) - each), each)
+        places += np.arange(len(places), dtype=np.int32)
         flat = blob[places].tobytes()
+        del places, blob
         if len(whole):
             ends = 4 * np.cumsum(counts)
             own = self._whole([texts[k].as_py() for k in whole.tolist()])

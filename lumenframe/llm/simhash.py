@@ -3,17 +3,23 @@
 Distinct fingerprints are dealt to shards: 64 bits are cut into ``blocks`` parts,
 and two fingerprints within ``radius`` bits agree on at least ``blocks - radius``
 whole parts, so each choice of that many parts is a table and the bits of those
-parts are a shard's key. Each shard's fingerprints form a BK-tree, whose children
+parts are a shard's key. ``blocks`` is a fixed parameter, whatever the number of
+fingerprints: with 5 blocks a fingerprint has five rows and a shard one 12- or
+13-bit part in common, and the search is left to the shard's BK-tree. Its children
 are keyed by their integer Hamming distance to the parent; a query at distance d
-from a node follows only edges within [d - radius, d + radius]. A shard of more
-than ``tree_size`` fingerprints is dealt to several trees, each of which is sent
-to every part of the shard's queries. A worker turns its links into stars (one
-edge a fingerprint), so no group emits its pairs, and components are found from
-the stars.
+from a node follows only edges within [d - radius, d + radius], and no subtree that
+is connected with the query already.
+
+A shard of more than ``tree_size`` fingerprints is cut into p trees of about that
+size and its queries into p slices. Each tree is packed into one row and sent once to
+each slice of its own number or above, where trees are searched one after another.
+A worker turns its links into stars (one edge a fingerprint), so no group emits its
+pairs, and components are found from the stars.
 
 Defined results: a null or blank text has fingerprint zero and is linked like any
-other; repeated rows and rows without doc_id are kept, and a component's id is the
-least doc_id in it (null if none has one); an empty table gives no rows.
+other; a text of any length is hashed whole, one at a time; repeated rows and rows
+without doc_id are kept, and a component's id is the least doc_id in it (null if none
+has one); an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -34,13 +40,14 @@ from lumenframe.llm.components import components
 
 @dataclass(frozen=True)
 class SimHash:
-    """``blocks`` None: chosen so that a shard of even data has few fingerprints."""
+    """``blocks`` 5 suits up to some 100 million fingerprints, 6 (15 rows each, shards of
+    21 bits) more than that; every choice above ``radius`` finds the same links."""
 
     shingle: int = 4
     seed: int = 42
     radius: int = 4
-    blocks: int | None = None
-    tree_size: int = 4096
+    blocks: int = 5
+    tree_size: int = 1 << 16
 
 
 def shingle_hashes(raw: bytes, size: int, seed: int) -> list[int]:
@@ -92,14 +99,6 @@ def tables(blocks: int, radius: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def blocks_for(n: int, radius: int) -> int:
-    """Fewest blocks that leave an even shard of ``n`` fingerprints under 16."""
-    for blocks in range(radius + 1, 2 * radius + 1):
-        if n < 16 << (64 * (blocks - radius) // blocks):
-            return blocks
-    return 2 * radius + 1
-
-
 class BKForest:
     """BK-trees of many groups at once, level by level.
 
@@ -118,13 +117,14 @@ class BKForest:
         self.root_of = self.roots[np.cumsum(first) - 1] if n else self.roots
         moving = np.flatnonzero(~first)
         node = self.root_of[moving]
-        edges, children = [], []
+        edges, children, self.levels = [], [], []
         while len(moving):
             distance = np.bitwise_count(values[moving] ^ values[node]).astype(np.int64)
             key = node * 65 + distance
             named, at, which = np.unique(key, return_index=True, return_inverse=True)
             edges.append(named)
             children.append(moving[at])
+            self.levels.append((node[at], moving[at]))
             stays = np.zeros(len(moving), bool)
             stays[at] = True
             node, moving = moving[at][which][~stays], moving[~stays]
@@ -133,10 +133,24 @@ class BKForest:
         self.edges = key[order]
         self.children = (np.concatenate(children) if children else np.zeros(0, np.int64))[order]
 
-    def within(self, queries: np.ndarray, roots: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query number, value number) pairs within ``radius``, from each query's tree."""
+    def uniform(self, labels: np.ndarray) -> np.ndarray:
+        """Whether all values of the subtree under each value have one label."""
+        out = np.ones(len(self.values), bool)
+        for node, child in reversed(self.levels):
+            np.logical_and.at(out, node, out[child] & (labels[child] == labels[node]))
+        return out
+
+    def within(self, queries: np.ndarray, roots: np.ndarray, radius: int, labels: np.ndarray | None = None, mine: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query number, value number) pairs within ``radius``, from each query's tree.
+
+        With ``labels`` of the values and the queries (``mine``) subtrees of nothing but
+        the query's own label are left out."""
         query, node = np.arange(len(queries)), roots
+        uniform = None if labels is None else self.uniform(labels)
         while len(query):
+            if uniform is not None:
+                open_ = ~(uniform[node] & (labels[node] == mine[query]))
+                query, node = query[open_], node[open_]
             distance = np.bitwise_count(queries[query] ^ self.values[node]).astype(np.int64)
             near = distance <= radius
             yield query[near], node[near]
@@ -169,88 +183,123 @@ class Stars:
             self.parent = up
 
 
-def shard_links(group: np.ndarray, side: np.ndarray, values: np.ndarray, radius: int, slice_pairs: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges among the values of each group.
+#: Distances measured in one go; the first slice of a large tree is smaller, so that
+#: what it connects needn't be visited again.
+PAIRS = 1 << 21
 
-    Side 0 builds a group's tree. Side 1 asks; in a group without side 1 the
-    tree's own values ask.
-    """
-    order = np.lexsort((values, side, group))
-    group, side, values = group[order], side[order], values[order]
-    tree = np.flatnonzero(side == 0)
-    forest = BKForest(values[tree], group[tree])
-    names, first = np.unique(group[tree], return_index=True)
-    asked = np.unique(group[side == 1])
-    asks = np.flatnonzero((side == 1) | ~np.isin(group, asked))
-    where = np.searchsorted(names, group[asks])
-    found = where < len(names)
-    found[found] = names[where[found]] == group[asks][found]
-    asks, where = asks[found], where[found]
-    if not len(asks):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    roots, size = first[where], np.diff([*first, len(tree)])[where]
-    stars = Stars(len(values))
-    cut = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(size) // slice_pairs)) + 1, [len(asks)]])
-    for a, b in zip(cut, cut[1:], strict=False):
+
+def slices(size: np.ndarray, pairs: int) -> Iterator[tuple[int, int]]:
+    """Ranges of queries, whose trees have ``size`` values, of about ``pairs`` distances; the first ones are smaller."""
+    upto, at, now = np.cumsum(size), 0, max(1, pairs // 32)
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + now, side="right")))
+        yield at, end
+        at, now = end, min(2 * now, pairs)
+
+
+def linked(forest: BKForest, tree: np.ndarray, asks: np.ndarray, roots: np.ndarray, size: np.ndarray, values: np.ndarray, radius: int, pairs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges among ``values``, of which ``tree`` are in the forest and ``asks`` ask it."""
+    stars, large = Stars(len(values)), len(size) and int(size.max()) > 1 << 10
+    for a, b in slices(size, pairs):
         own = asks[a:b]
-        for query, node in forest.within(values[own], roots[a:b], radius):
+        known = (stars.parent[tree], stars.parent[own]) if large and a else (None, None)
+        for query, node in forest.within(values[own], roots[a:b], radius, *known):
             stars.link(own[query], tree[node])
     ends = np.flatnonzero(stars.parent != np.arange(len(values)))
     return values[ends].view(np.int64), values[stars.parent[ends]].view(np.int64)
 
 
+def shard_links(group: np.ndarray, values: np.ndarray, radius: int, pairs: int = PAIRS) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges among the values of each group, whose tree they all ask."""
+    order = np.lexsort((values, group))
+    group, values = group[order], values[order]
+    forest, every = BKForest(values, group), np.arange(len(values))
+    size = np.diff([*forest.roots, len(values)])[np.searchsorted(forest.roots, forest.root_of)]
+    return linked(forest, every, every, forest.root_of, size, values, radius, pairs)
+
+
+def slice_links(queries: np.ndarray, tree: np.ndarray, radius: int, pairs: int = PAIRS) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges among the values of one tree and the queries that ask it."""
+    forest = BKForest(tree, np.zeros(len(tree), np.int64))
+    asks = len(tree) + np.arange(len(queries))
+    asked = np.zeros(len(queries), np.int64)
+    return linked(forest, np.arange(len(tree)), asks, asked, asked + len(tree), np.concatenate([tree, queries]), radius, pairs)
+
+
+EDGES = "a long, b long"
+
+
+def edge_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def near_links(fps: DataFrame, how: SimHash = SimHash()) -> DataFrame:
     """Edges ``a, b`` that connect what links within the radius connect; ``fps`` is
     a stored table of distinct ``fp``."""
-    width = shuffle_width(fps.sparkSession)
-    blocks = how.blocks or blocks_for(fps.count(), how.radius)
-    keys = F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(tables(blocks, how.radius))])
+    width, radius = shuffle_width(fps.sparkSession), how.radius
+    masks = tables(how.blocks, radius)
+    keys = F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)])
     members = fps.select("fp", F.explode(keys).alias("s")).select("fp", "s.t", "s.key")
     sizes = members.groupBy("t", "key").count().where("count > 1")
-    size = F.lit(how.tree_size)
-    crowded = sizes.select("t", "key", F.ceil(F.col("count") / size).cast("int").alias("parts"))
-    held = members.join(crowded, ["t", "key"])
-    # A crowded shard: its p trees (side 0) each meet every later part (side 1).
-    part = F.pmod(F.xxhash64("fp", "t"), F.col("parts")).cast("int")
-    held = held.select("fp", "t", "key", "parts", part.alias("part"))
-    other = F.sequence(F.lit(0), F.col("parts") - 1)
-    met = held.select("fp", "t", "key", "part", F.explode(other).alias("other"))
-    pairs = met.select(
-        F.xxhash64("t", "key", F.least("part", "other"), F.greatest("part", "other")).alias("g"),
-        F.when(F.col("part") > F.col("other"), 1).otherwise(0).cast("int").alias("side"),
-        "fp", F.lit(how.radius).alias("r"),
-    )
-    dealt = pairs.repartition(width * 2, "g").sortWithinPartitions("g")
-    radius = how.radius
+    sizes = sizes.select("t", "key", F.ceil(F.col("count") / F.lit(how.tree_size)).cast("int").alias("parts"))
+    # There are at most 2^bits shards to a table, whatever the input.
+    if sum(2 ** (m % (1 << 64)).bit_count() for m in masks) <= 1 << 20:
+        sizes = F.broadcast(sizes)
+    held = members.join(sizes, ["t", "key"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+    small = held.where("parts = 1").select(F.xxhash64("t", "key").alias("g"), "fp")
+    small = small.repartition(width * 2, "g").sortWithinPartitions("g")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         rows = 0
 
-        def links(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            g, side, fp = (np.concatenate([p[k] for p in parts]) for k in range(3))
-            a, b = shard_links(g, side, fp.view(np.uint64), radius)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        def links() -> pa.RecordBatch:
+            g, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+            return edge_batch(*shard_links(g, fp.view(np.uint64), radius))
 
         for batch in batches:
-            part = tuple(np.array(batch.column(k)) for k in range(3))
-            if not len(part[0]):
+            g, fp = np.array(batch.column(0)), np.array(batch.column(1))
+            if not len(g):
                 continue
             if rows >= 1 << 17:  # cut where a group ends
-                cut = int(np.searchsorted(part[0], part[0][0], side="right")) if part[0][0] == held[-1][0][-1] else 0
-                held.append(tuple(x[:cut] for x in part))
-                if cut < len(part[0]):
-                    yield links(held)
-                    held, rows, part = [], 0, tuple(x[cut:] for x in part)
-                else:
-                    rows += cut
+                cut = int(np.searchsorted(g, held[-1][0][-1], side="right"))
+                if cut:
+                    held.append((g[:cut], fp[:cut]))
+                if cut == len(g):
                     continue
-            held.append(part)
-            rows += len(part[0])
+                yield links()
+                held, rows, g, fp = [], 0, g[cut:], fp[cut:]
+            held.append((g, fp))
+            rows += len(g)
         if held:
-            yield links(held)
-
-    return dealt.select("g", "side", "fp").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+            yield links()
+
+    part = F.pmod(F.xxhash64("fp", "t"), F.col("parts")).cast("int").alias("part")
+    crowded = held.where("parts > 1").select("t", "key", "parts", part, "fp")
+    trees = crowded.groupBy("t", "key", "parts", "part").agg(F.collect_list("fp").alias("tree"))
+    trees = trees.select("t", "key", F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("part"), "tree")
+    asked = crowded.select("t", "key", "part", "fp").unionByName(trees, allowMissingColumns=True)
+    asked = asked.select(F.xxhash64("t", "key", "part").alias("g"), "t", "key", "part", "fp", "tree")
+    asked = asked.repartition(width * 2, "g").sortWithinPartitions("g", "t", "key", "part", F.col("tree").isNotNull())
+
+    def search_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slice_, queries = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            own = np.stack([np.array(batch.column(k), np.int64) for k in range(3)], axis=1)
+            edges = [0, *(np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1).tolist(), len(own)]
+            for x, y in zip(edges, edges[1:], strict=False):
+                if x == y:
+                    continue
+                if tuple(own[x]) != slice_:
+                    slice_, queries = tuple(own[x]), np.zeros(0, np.uint64)
+                fps = batch.column(3).slice(x, y - x).drop_null()
+                queries = np.concatenate([queries, np.array(fps, np.int64).view(np.uint64)])
+                for tree in batch.column(4).slice(x, y - x).drop_null():
+                    yield edge_batch(*slice_links(queries, np.array(tree.values, np.int64).view(np.uint64), radius))
+
+    found = small.mapInArrow(search, EDGES).unionByName(asked.select("t", "key", "part", "fp", "tree").mapInArrow(search_slices, EDGES))
+    return found.where("a <> b").distinct()
 
 
 def classified(each: DataFrame, how: SimHash) -> DataFrame:

@@ -10,8 +10,9 @@ unless they are connected already. A group of more than ``group_bytes`` of text
 dealt to several parts, and every two parts meet.
 
 Defined results: a text without words is similar to its like only; a text of no
-more words than a shingle is one shingle; repeated rows and rows without doc_id are
-rows of their own.
+more words than a shingle is one shingle; a text of any length is hashed whole, one at
+a time; repeated rows and rows without doc_id are rows of their own; an empty table
+gives no rows; columns of any name are carried unread.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import stored
+from lumenframe.llm.common import bounded, stored
 from lumenframe.llm.components import components
 from lumenframe.llm.simhash import SimHash, fingerprint, near_links, shingle_hashes
 
@@ -166,8 +167,10 @@ def representatives(docs: DataFrame, how: Similar = Similar()) -> DataFrame:
     Rows with equal or no doc_id neither multiply nor vanish: classes without any
     doc_id keep all their rows, and of other classes rows without doc_id go.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    own = stored(docs.select(F.monotonically_increasing_id().alias("__row"), *columns), "numbered")
+    numbers = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    doc_id, text = (F.col(f"c{docs.columns.index(c)}").alias(c) for c in ("doc_id", "text"))
+    whole = stored(bounded(docs).select(F.monotonically_increasing_id().alias("__row"), *numbers), "numbered")
+    own = whole.select("__row", doc_id, text)
     each = stored(sketches(own, how), "sketches")
     firsts = stored(each.groupBy("digest").agg(F.min("__row").alias("node")), "distinct-texts")
     texts = each.join(firsts.select("node"), F.col("__row") == F.col("node")).select("node", "size", "fp", "keys")
@@ -179,4 +182,5 @@ def representatives(docs: DataFrame, how: Similar = Similar()) -> DataFrame:
     rows = stored(each.select("__row", "doc_id", "digest").join(named, "digest").select("__row", "doc_id", "root"), "classes")
     least = rows.groupBy("root").agg(F.min("doc_id").alias("least"))
     gone = rows.join(least, "root").where(~F.col("doc_id").eqNullSafe(F.col("least"))).select("__row")
-    return own.join(gone, "__row", "left_anti").select(*columns)
+    stays = whole.join(gone, "__row", "left_anti")
+    return stays.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

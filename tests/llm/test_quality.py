@@ -17,6 +17,45 @@ def brute(text):
     )
 
 
+def judged_by_definition(text):
+    """The verdict from the rule's own words: base rules, the whole ratio in the band of its
+    length and script, and at most 30 % of full 2,048-byte chunks outside theirs."""
+    import zstandard
+
+    from lumenframe.llm.quality import NARROW, WIDE
+
+    raw, (n, _, _, _, repeated) = (text or "").encode(), brute(text)
+    if n < 50 or 100 * repeated > 50 * n:
+        return False
+    ratio = lambda b: len(b) / len(zstandard.ZstdCompressor(level=3).compress(b))
+    wide = len(raw) >= 1.5 * len(text)
+    low, high = next((b.low, b.high) for b in (WIDE if wide else NARROW) if b.max_bytes is None or len(raw) <= b.max_bytes)
+    chunks = [ratio(raw[k : k + 2048]) for k in range(0, len(raw) - 2047, 2048)]
+    bad = [r for r in chunks if not (1.44 if wide else 1.58) <= r <= 4.0]
+    return low <= ratio(raw) <= high and 10 * len(bad) <= 3 * len(chunks)
+
+
+def test_verdicts_by_definition(spark):
+    rng = random.Random(11)
+    rows = []
+    for k in range(160):
+        n = rng.choice([55, 90, 200, 600, 1500, 6000])
+        kind, words = k % 4, None
+        if kind == 0:  # prose of a small vocabulary
+            vocab = ["".join(rng.choices("abcdefghiéß", k=rng.randint(1, 9))) for _ in range(rng.choice([30, 300, 3000]))]
+            words = [rng.choice(vocab) for _ in range(n)]
+        elif kind == 1:  # noise
+            words = ["".join(rng.choices(string.ascii_letters + string.digits, k=8)) for _ in range(n)]
+        elif kind == 2:  # another script
+            words = ["".join(chr(rng.randrange(0x430, 0x450)) for _ in range(rng.randint(1, 9))) for _ in range(n)]
+        else:  # prose with a noisy or repetitive stretch
+            words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(n)] + rng.choice([["x"], [str(rng.random())]]) * rng.choice([0, n // 4, n])
+        rows.append((k, " ".join(words)))
+    got = {r.doc_id: r.kept for r in judge(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = {k: judged_by_definition(t) for k, t in rows}
+    assert got == want and 20 < sum(want.values()) < 140
+
+
 def prose(rng, n):
     return " ".join("".join(rng.choices("abcdeéß", k=rng.randint(1, 9))) for _ in range(n))
 

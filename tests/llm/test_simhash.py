@@ -3,7 +3,7 @@ import random
 import numpy as np
 import xxhash
 
-from lumenframe.llm.simhash import BKForest, SimHash, blocks_for, fingerprint, hex_digits, near_duplicates, near_links, shard_links, tables
+from lumenframe.llm.simhash import BKForest, SimHash, fingerprint, hex_digits, near_duplicates, near_links, shard_links, slice_links, tables
 
 
 def brute_fingerprint(text):
@@ -54,7 +54,6 @@ def test_tables_cover_every_pair_within_the_radius():
         for _ in range(300):
             flip = sum(1 << b for b in rng.sample(range(64), 4))
             assert any(flip & (m % (1 << 64)) == 0 for m in masks)
-    assert [blocks_for(n, 4) for n in (10, 10**6, 10**9)] == [5, 6, 7]
 
 
 def test_forest_finds_what_brute_force_finds():
@@ -65,12 +64,38 @@ def test_forest_finds_what_brute_force_finds():
     assert got == want
 
 
-def test_shard_links_join_two_sides():
-    values = np.array([1, 3, 0xFFFF0000, 7], np.uint64)
-    a, b = shard_links(np.array([5, 5, 5, 6]), np.array([0, 1, 1, 1]), values, 4, slice_pairs=1)
+def test_links_of_a_slice():
+    tree, queries = np.array([1, 0xFFFF0000], np.uint64), np.array([3, 1 << 63], np.uint64)
+    a, b = slice_links(queries, tree, 4, pairs=1)
+    # 1 is the root of what it reaches: 3 by one bit, the top bit by two.
+    assert sorted(zip(a.view(np.uint64).tolist(), b.view(np.uint64).tolist())) == [(3, 1), (1 << 63, 1)]
+    a, b = shard_links(np.array([5, 5, 5, 6]), np.array([1, 3, 0xFFFF0000, 7], np.uint64), 4, pairs=1)
     assert [sorted(map(int, e)) for e in zip(a, b, strict=True)] == [[1, 3]]
 
 
+def test_connected_subtrees_are_left_out():
+    """A crowd around one value, large enough for labels: the links connect what brute force connects."""
+    rng = random.Random(9)
+    values = {0}
+    while len(values) < 1500:
+        v = rng.choice([0, 0, 0, rng.getrandbits(64)])
+        for _ in range(rng.randint(0, 4)):
+            v ^= 1 << rng.randrange(64)
+        values.add(v)
+    values = sorted(values)
+    a, b = shard_links(np.zeros(len(values), np.int64), np.array(values, np.uint64), 4)
+    label = {v: v for v in values}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for x, y in zip(a.view(np.uint64).tolist(), b.view(np.uint64).tolist()):
+        label[find(x)] = find(y)
+    assert partition([find(v) for v in values]) == partition(brute_classes(values))
+
+
 def partition(labels):
     first = {}
     return [first.setdefault(x, i) for i, x in enumerate(labels)]
