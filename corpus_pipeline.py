@@ -2,12 +2,15 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor
 kept, and returns the columns of documents; the last returns packed pieces.
+
+For every stage: a null or blank text has no words; a text of any length is read
+whole; rows with equal or no doc_id are rows of their own; an empty table gives an
+empty result; further columns, of any name, are carried unread.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lumenframe.llm import decontamination, packing, quality, similar, substring
 from lumenframe.llm.common import fresh_path, table
@@ -15,33 +18,32 @@ from lumenframe.llm.encoding import default_tokenizer
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression bands or base rules reject go."""
+    """Documents that the compression bands or base rules reject go (texts without words among them)."""
     return quality.passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts connected by a 5-word similarity of 0.8 or more the smallest id stays."""
+    """Of texts connected by a 5-word similarity of 0.8 or more the rows with the smallest
+    doc_id stay. Rows of that same doc_id all stay; rows without doc_id go where others
+    of their group have one, and all stay where none has."""
     return similar.representatives(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that stand earlier go from the texts; untouched texts stay as they are."""
-    judged = substring.remove_repeats(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    size = F.when(F.col("n_removed") > 0, F.char_length("kept").cast("long")).otherwise(F.col("n_chars"))
-    own = {"text": text, "n_chars": size}
-    return judged.select(*[own[c].alias(c) if c in own else F.col(f"`{c}`") for c in docs.columns])
+    """Passages that stand earlier (smaller doc_id, null first, then place) go from the
+    texts; untouched texts stay as they are. Rows of equal doc_id don't precede one another."""
+    return substring.without_repeats(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark windows cover by a twentieth or more go."""
+    """Documents that benchmark windows cover by a twentieth or more go; texts without
+    words stay, and an empty benchmark takes nothing."""
     return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kept documents' ids in sequences of 2048."""
-    pieces = packing.pack(docs, default_tokenizer())
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    """The kept documents' ids in sequences of 2048; a text without words gives its ids and the end id."""
+    return packing.pack(docs, default_tokenizer(), with_ids=False)
 
 
 STAGES = [
