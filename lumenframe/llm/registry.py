@@ -92,6 +92,7 @@ QUERIES = {
 }
 
 SQL_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+SQL_SUFFIXES = ", ".join(f"'{x}'" for x in url_reputation.Reputation().suffixes)
 SQL_TERMS = (
     r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
     r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -132,13 +133,18 @@ ORACLES = {
                      CAST(coalesce(it.n, 0) AS BIGINT) AS n_items, sha256(coalesce(it.ids, '')) AS items_sha256
               FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id))
         SELECT *, n_hit > 0 AND 20 * n_hit >= n_words AS contaminated FROM r""",
-    "op8_host_reputation": r"""
-        WITH p AS (SELECT page_id,
+    "op8_host_reputation": rf"""
+        WITH u AS (SELECT page_id,
                      translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                      regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
-        h AS (SELECT host, array_to_string(list_reverse(list_reverse(string_split(host, '.'))[1:2]), '.') AS domain, string_split(host, '.')[-1] AS suffix,
-                     CAST(count(*) AS DOUBLE) AS n, CAST(sum(quality) AS DOUBLE) AS g
-              FROM p JOIN labels ON page_id = doc_id WHERE quality IS NOT NULL GROUP BY ALL),
+        nm AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM u),
+        lb AS (SELECT *, string_split(name, '.') AS x, starts_with(name, '[') OR regexp_matches(name, '^[0-9]+([.][0-9]+){{3}}$') AS ip FROM nm),
+        tw AS (SELECT *, array_to_string(x[-2:], '.') AS two FROM lb),
+        p AS (SELECT page_id, host, path,
+                     CASE WHEN ip THEN name WHEN two IN ({SQL_SUFFIXES}) THEN array_to_string(x[-3:], '.') ELSE two END AS domain,
+                     CASE WHEN ip THEN 'address' WHEN two IN ({SQL_SUFFIXES}) THEN two ELSE x[-1] END AS suffix FROM tw),
+        h AS (SELECT host, domain, suffix, CAST(count(*) AS DOUBLE) AS n, CAST(sum(quality) AS DOUBLE) AS g
+              FROM (SELECT DISTINCT page_id, host, domain, suffix FROM p) JOIN labels ON page_id = doc_id WHERE quality IS NOT NULL GROUP BY ALL),
         d AS (SELECT domain, suffix, sum(n) AS n, sum(g) AS g FROM h GROUP BY ALL),
         s AS (SELECT suffix, sum(n) AS n, sum(g) AS g FROM d GROUP BY ALL),
         m AS (SELECT lvl, sum(n) AS bn, sum(g) AS bg, count(*) AS k, sum(n * n) AS nn, sum(g * g / n) AS gg
@@ -147,18 +153,25 @@ ORACLES = {
         w AS (SELECT lvl, p, k, size, (between_ / nullif(p * (1 - p), 0) - 1) / nullif(size - 1, 0) AS excess FROM v),
         st AS (SELECT lvl, CASE WHEN k > 1 AND p > 0 AND p < 1 AND size > 1 AND excess > 0
                                 THEN least(greatest(1 / excess - 1, 2.0), 200.0) ELSE 200.0 END AS q FROM w),
-        a AS (SELECT sum(g) / sum(n) AS share FROM s),
-        s2 AS (SELECT suffix, (g + q * a.share) / (n + q) AS share FROM s, a, st WHERE lvl = 's'),
-        d2 AS (SELECT d.domain, d.suffix, (d.g + q * s2.share) / (d.n + q) AS share FROM d JOIN s2 USING (suffix), st WHERE lvl = 'd'),
-        h2 AS (SELECT host, h.g + q * d2.share AS x, h.n - h.g + q * (1 - d2.share) AS y FROM h JOIN d2 USING (domain), st WHERE lvl = 'h'),
-        b AS (SELECT host, x / (x + y) - 1.645 * sqrt(x * y / ((x + y) * (x + y) * (x + y + 1))) AS bound FROM h2),
-        o AS (SELECT coalesce(avg(quality), 0.5) AS overall FROM labels),
+        q AS (SELECT coalesce(max(q) FILTER (lvl = 's'), 200.0) AS qs, coalesce(max(q) FILTER (lvl = 'd'), 200.0) AS qd,
+                     coalesce(max(q) FILTER (lvl = 'h'), 200.0) AS qh FROM st),
+        a AS (SELECT coalesce(sum(g) / sum(n), 0.5) AS share FROM s),
+        s2 AS (SELECT suffix, (g + qs * a.share) / (n + qs) AS share FROM s, a, q),
+        d2 AS (SELECT d.domain, d.suffix, (d.g + qd * s2.share) / (d.n + qd) AS share FROM d JOIN s2 USING (suffix), q),
+        h2 AS (SELECT host, h.g + qh * d2.share AS x, h.n - h.g + qh * (1 - d2.share) AS y FROM h JOIN d2 USING (domain), q),
+        n0 AS (SELECT DISTINCT host, domain, suffix FROM p ANTI JOIN h USING (host)),
+        n1 AS (SELECT host, coalesce(d2.share, s2.share, a.share) AS share,
+                      qh / (qh + 1) * CASE WHEN d2.share IS NULL THEN qd / (qd + 1) ELSE 1 END
+                      * CASE WHEN d2.share IS NULL AND s2.share IS NULL THEN qs / (qs + 1) ELSE 1 END AS stays
+               FROM n0 LEFT JOIN d2 ON n0.domain = d2.domain LEFT JOIN s2 ON n0.suffix = s2.suffix, a, q),
+        n2 AS (SELECT host, stays / (1 - stays) * share AS x, stays / (1 - stays) * (1 - share) AS y FROM n1),
+        b AS (SELECT host, x / (x + y) - 1.645 * sqrt(x * y / ((x + y) * (x + y) * (x + y + 1))) AS bound FROM (SELECT * FROM h2 UNION ALL SELECT * FROM n2)),
         r(verdict, rule) AS (VALUES ('block', 'com/en/'), ('allow', 'example.com/en/7'), ('allow', 'net/de/'), ('block', 'example.net/de/8'), ('block', 'org/es/')),
-        f AS (SELECT page_id, r.rule, r.verdict,
-                     row_number() OVER (PARTITION BY page_id ORDER BY length(r.rule) DESC, r.rule DESC) AS place
-              FROM p JOIN r ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1)))
+        f AS (SELECT page_id, host, path, r.rule, r.verdict,
+                     row_number() OVER (PARTITION BY host, path ORDER BY length(r.rule) DESC, r.rule DESC) AS place
+              FROM (SELECT DISTINCT host, path, min(page_id) AS page_id FROM p GROUP BY ALL)
+                   JOIN r ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1)))
                            AND starts_with(path, substr(rule, length(split_part(rule, '/', 1)) + 1)))
-        SELECT p.page_id, host, path, f.rule,
-               coalesce(f.verdict, CASE WHEN coalesce(bound, overall) >= 0.75 THEN 'allow' ELSE 'block' END) AS verdict
-        FROM p LEFT JOIN b USING (host) LEFT JOIN (SELECT * FROM f WHERE place = 1) f USING (page_id), o""",
+        SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, CASE WHEN bound >= 0.75 THEN 'allow' ELSE 'block' END) AS verdict
+        FROM p LEFT JOIN b USING (host) LEFT JOIN (SELECT * FROM f WHERE place = 1) f ON p.host = f.host AND p.path = f.path""",
 }

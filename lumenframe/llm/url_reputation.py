@@ -13,9 +13,16 @@ All steps are DataFrame functions. Counts are summed before they are shuffled;
 reputations have one row a host, and the join back lets adaptive skew handling
 split a host that holds many pages.
 
+The registered domain is the label before the suffix, with it. A suffix is the last
+label of a host, or one of the listed ``suffixes`` of several labels; user names and
+ports are left out, and an address is its own domain under the suffix ``ADDRESS``.
+
 Defined results: a null url, or one without ``://``, has empty host and path, and
-the host '' has a reputation like any other; labels without a page are ignored;
-repeated rows are judged each; with no labels all shares are ``base_share``.
+the host '' has a reputation like any other; a url of any length is read whole;
+labels without a page are ignored; each label counts once for each host of its
+page_id, however often the page is repeated; repeated rows are judged each; with no
+labels all shares are ``base_share``; an empty table gives no rows; extra columns are
+not read.
 """
 
 from __future__ import annotations
@@ -53,6 +60,13 @@ class Reputation:
         Rule("block", "example.net/de/8"),
         Rule("block", "org/es/"),
     )
+    #: Public suffixes of several labels that are in wide use (publicsuffix.org
+    #: has all of them; pass that list where it is at hand).
+    suffixes: tuple[str, ...] = (
+        "ac.jp", "ac.uk", "blogspot.com", "co.id", "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.br",
+        "com.cn", "com.co", "com.hk", "com.mx", "com.my", "com.pl", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "github.io", "go.jp", "gov.uk",
+        "ne.jp", "net.au", "or.jp", "org.au", "org.uk", "wordpress.com",
+    )
     z: float = 1.645
     least: float = 0.75
     base_share: float = 0.5
@@ -71,13 +85,30 @@ def path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), AUTHORITY, 2)
 
 
-def suffix(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+#: Suffix of hosts that are addresses.
+ADDRESS = "address"
+
+
+def name(host: Column) -> Column:
+    """A host without user name and port."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+
+
+def is_address(name: Column) -> Column:
+    return name.startswith("[") | name.rlike(r"^[0-9]+(\.[0-9]+){3}$")
+
+
+def suffix(host: Column, how: Reputation = Reputation()) -> Column:
+    own = name(host)
+    two = F.substring_index(own, ".", -2)
+    return F.when(is_address(own), ADDRESS).when(two.isin(list(how.suffixes)), two).otherwise(F.substring_index(own, ".", -1))
 
 
-def domain(host: Column) -> Column:
+def domain(host: Column, how: Reputation = Reputation()) -> Column:
     """The label below the suffix, with it."""
-    return F.substring_index(host, ".", -2)
+    own = name(host)
+    two = F.substring_index(own, ".", -2)
+    return F.when(is_address(own), own).when(two.isin(list(how.suffixes)), F.substring_index(own, ".", -3)).otherwise(two)
 
 
 def longest_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
@@ -128,9 +159,9 @@ class Levels:
 
 
 def levels(pages: DataFrame, labels: DataFrame, how: Reputation) -> Levels:
-    outcomes = pages.select("page_id", host(F.col("url")).alias("host")).join(labels.select("page_id", "good").where("good is not null"), "page_id")
+    outcomes = pages.select("page_id", host(F.col("url")).alias("host")).distinct().join(labels.select("page_id", "good").where("good is not null"), "page_id")
     hosts = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("good"))
-    hosts = hosts.withColumns({"domain": domain(F.col("host")), "suffix": suffix(F.col("host"))})
+    hosts = hosts.withColumns({"domain": domain(F.col("host"), how), "suffix": suffix(F.col("host"), how)})
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("all", F.lit(1))
     whole = suffixes.groupBy("all").agg((F.sum("good") / F.sum("n")).alias("share")).select(F.col("all").alias("key"), "share")
@@ -162,7 +193,7 @@ def inherited(hosts: DataFrame, of: Levels, how: Reputation) -> DataFrame:
     Each unlabelled level below the ancestor varies about its parent with its own
     strength q. Variances add up, so that the host's beta has the strength whose
     q / (q + 1) is the product of theirs."""
-    split = hosts.select("host", domain(F.col("host")).alias("domain"), suffix(F.col("host")).alias("suffix"))
+    split = hosts.select("host", domain(F.col("host"), how).alias("domain"), suffix(F.col("host"), how).alias("suffix"))
     split = split.join(of.domains.select(F.col("key").alias("domain"), F.col("share").alias("by_domain")), "domain", "left")
     split = split.join(of.suffixes.select(F.col("key").alias("suffix"), F.col("share").alias("by_suffix")), "suffix", "left").join(F.broadcast(of.one))
     kept = lambda q: F.col(q) / (F.col(q) + 1)

@@ -212,3 +212,33 @@ def test_extra_columns_of_pages(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>Words stand here, quite a few.</p></article>", "t", 5)], "page_id long, url string, html string, text string, n_chars int")
     got = html_text.extract(df).collect()
     assert got[0].asDict() == {"page_id": 1, "url": "u", "text": "Words stand here, quite a few.", "n_chars": 30}
+
+
+def test_registered_domains(spark):
+    from pyspark.sql import functions as F
+
+    want = {
+        "a.b.example.co.uk": ("example.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.example.com": ("example.com", "com"), "com": ("com", "com"), "": ("", ""),
+        "u:p@shop.example.com.au:8080": ("example.com.au", "com.au"), "10.0.0.1:80": ("10.0.0.1", "address"), "[::1]:80": ("[::1]", "address"), "1.2.3": ("2.3", "3"),
+        "me.github.io": ("me.github.io", "github.io"),
+    }
+    df = spark.createDataFrame([(h,) for h in want], "h string")
+    got = df.select("h", url_reputation.domain(F.col("h")).alias("d"), url_reputation.suffix(F.col("h")).alias("s")).collect()
+    assert {r.h: (r.d, r.s) for r in got} == want
+
+
+def test_repeated_and_empty_pages(spark):
+    schema = "page_id long, url string, rule string, verdict string"
+    rows = [(k, f"http://{'good' if k % 2 else 'bad'}.co.uk/x", None, "v") for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "page_id long, good int")
+    once = url_reputation.reputations(spark.createDataFrame(rows, schema), labels)
+    often = url_reputation.reputations(spark.createDataFrame(rows * 3, schema), labels)
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, often.collect()))
+    # good.co.uk and bad.co.uk are two domains, of the suffix co.uk.
+    shares = {r.host: r.posterior_mean for r in once.collect()}
+    assert shares["bad.co.uk"] < 0.2 < 0.8 < shares["good.co.uk"]
+    assert url_reputation.judge_urls(spark.createDataFrame(rows * 3, schema), labels).count() == 180
+    assert url_reputation.judge_urls(spark.createDataFrame([], schema), labels).collect() == []
+    long = "http://long.org/" + "x" * 2_000_000
+    got = url_reputation.judge_urls(spark.createDataFrame([(1, long, None, None), (None, None, None, None)], schema), labels.limit(0)).collect()
+    assert {(r.page_id, r.host, len(r.path)) for r in got} == {(1, "long.org", 2_000_001), (None, "", 0)}
