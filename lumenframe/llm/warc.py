@@ -5,7 +5,8 @@ normaliser inflates such a stream once, rewrites each record as its own gzip
 member and writes a sidecar index of offsets, so that any record can be read
 alone. Archives are rows ``path, content`` (the columns of Spark's binaryFile
 source, which can read existing ``.warc.gz`` files) and are stored as Parquet,
-because Spark has no sink for plain binary files; sidecars are one row a record.
+because Spark has no sink for plain binary files; the sidecar is a table of its own
+with a row a record, ``path, record_id, type, offset, size``, and reading seeks by it.
 
 Equal payloads of at least ``revisit_bytes`` are stored once: the record with the
 smallest id is the response, the others are revisits with its digest and id.
@@ -25,10 +26,10 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import fresh_path
+from lumenframe.llm.common import bounded, fresh_path
 
 VERSION, EOL = b"WARC/1.1", b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -71,7 +72,7 @@ class Damaged(ValueError):
     """An archive that isn't a sequence of whole records."""
 
 
-def inflated(content: bytes, step: int = 1 << 18) -> Iterator[bytes]:
+def inflated(content: bytes | pa.Buffer, step: int = 1 << 18) -> Iterator[bytes]:
     """The bytes of a gzip file, in pieces, over all its members."""
     view, engine = memoryview(content), zlib.decompressobj(31)
     for at in range(0, len(view), step):
@@ -83,7 +84,7 @@ def inflated(content: bytes, step: int = 1 << 18) -> Iterator[bytes]:
             if out:
                 yield out
             data = engine.unused_data
-    if content and not engine.eof:
+    if len(view) and not engine.eof:
         raise Damaged("the gzip stream ends early")
 
 
@@ -133,14 +134,18 @@ def member(data: bytes, level: int) -> bytes:
 def deduplicated(pages: DataFrame, how: Archives) -> DataFrame:
     """``page_id, url, payload, digest, refers_to`` per row."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    own = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"))
+    own = bounded(pages).select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"))
     own = own.withColumn("digest", F.sha2("payload", 256))
     large = F.octet_length("payload") >= how.revisit_bytes
-    first = own.where(large).groupBy("digest").agg(F.min("page_id").alias("first")).where("first is not null")
-    # Only digests and ids are joined before the payloads: a group of copies costs a row a task.
-    joined = own.join(first, "digest", "left")
-    later = large & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first")))
-    return joined.select("page_id", "url", "payload", "digest", F.when(later, F.col("first")).alias("refers_to"))
+    own = own.withColumn("large", large)
+    # Copies meet by digest without their payloads, partly grouped before the shuffle;
+    # payloads travel by page, so that no key holds a group of copies.
+    ids = own.where("large").select("digest", "page_id")
+    first = ids.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("first is not null and n > 1")
+    later = ids.distinct().join(first, "digest").where("page_id is null or page_id > first")
+    later = later.select(F.col("digest").alias("later_digest"), F.col("page_id").alias("later_id"), "first")
+    joined = own.join(later, F.col("page_id").eqNullSafe(F.col("later_id")) & (F.col("digest") == F.col("later_digest")), "left")
+    return joined.select("page_id", "url", "payload", "digest", F.col("first").alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, path: str, how: Archives = Archives()) -> str:
@@ -181,48 +186,48 @@ def write_archives(pages: DataFrame, path: str, how: Archives = Archives()) -> s
     return path
 
 
+STORED = "kind string, path string, content binary, record_id string, type string, offset long, size long"
+
+
 def normalise(archives: DataFrame, path: str, level: int = 6) -> str:
     """Rewrite archives ``path, content`` with a member per record.
 
-    Under ``path``: ``archives`` has ``path, content`` and the sidecar's columns
-    ``offsets, sizes, record_ids, types`` beside the archive they belong to, one
-    entry a record. One narrow pass; an archive is read once from its start.
+    Under ``path``, in one narrow pass that reads an archive once from its start:
+    ``kind=archive`` with ``path, content`` and the sidecar ``kind=index`` with a row a
+    record.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in STORED.split(", ")]
+        kinds = [pa.string(), pa.string(), pa.binary(), pa.string(), pa.string(), pa.int64(), pa.int64()]
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                out, at, offsets, sizes, ids, types = [], 0, [], [], [], []
-                for raw in records(inflated(content.as_py())):
+                own, out, at, rows = name.as_py(), [], 0, []
+                for raw in records(inflated(content.as_buffer())):
                     headers, _ = parsed(raw)
                     packed = member(raw, level)
                     out.append(packed)
-                    offsets.append(at)
-                    sizes.append(len(packed))
-                    ids.append(headers.get("warc-record-id", ""))
-                    types.append(headers.get("warc-type", ""))
+                    rows.append(("index", own, None, headers.get("warc-record-id", ""), headers.get("warc-type", ""), at, len(packed)))
                     at += len(packed)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([name.as_py()]), pa.array([b"".join(out)], pa.binary()), pa.array([offsets], pa.list_(pa.int64())),
-                        pa.array([sizes], pa.list_(pa.int64())), pa.array([ids], pa.list_(pa.string())), pa.array([types], pa.list_(pa.string())),
-                    ],
-                    names=["path", "content", "offsets", "sizes", "record_ids", "types"],
-                )
-
-    schema = "path string, content binary, offsets array<long>, sizes array<long>, record_ids array<string>, types array<string>"
-    archives.select("path", "content").mapInArrow(run, schema).write.parquet(f"{path}/archives")
+                rows.append(("archive", own, b"".join(out), None, None, None, None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    bounded(archives).select("path", "content").mapInArrow(run, STORED).write.partitionBy("kind").parquet(path)
     return path
 
 
-def offset_index(normalised: DataFrame) -> DataFrame:
-    """The sidecar as rows ``path, record_id, type, offset, size``, without archives' bytes."""
-    each = normalised.select("path", F.explode(F.arrays_zip("record_ids", "types", "offsets", "sizes")).alias("r"))
-    return each.select("path", F.col("r.record_ids").alias("record_id"), F.col("r.types").alias("type"), F.col("r.offsets").alias("offset"), F.col("r.sizes").alias("size"))
+def stored_archives(spark: SparkSession, path: str) -> DataFrame:
+    """``path, content`` of normalised archives."""
+    return spark.read.schema(STORED).parquet(path).where("kind = 'archive'").select("path", "content")
+
+
+def offset_index(spark: SparkSession, path: str) -> DataFrame:
+    """The sidecar ``path, record_id, type, offset, size``, without archives' bytes."""
+    return spark.read.schema(STORED).parquet(path).where("kind = 'index'").select("path", "record_id", "type", "offset", "size")
 
 
-def read_pages(normalised: DataFrame) -> DataFrame:
-    """``page_id, url, type, digest, refers_to, payload`` per page record, each
+def read_pages(archives: DataFrame, index: DataFrame) -> DataFrame:
+    """``page_id, url, type, digest, refers_to, payload`` per page record of ``index``, each
     read alone at its offset; a response's payload must match its digest."""
     names = ["page_id", "url", "type", "digest", "refers_to", "payload"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
@@ -233,11 +238,10 @@ def read_pages(normalised: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content, offsets, sizes, types in zip(*batch.columns, strict=True):
+            for content, seeks in zip(*batch.columns, strict=True):
                 data, rows = memoryview(content.as_buffer()), []
-                for at, size, kind in zip(offsets.as_py(), sizes.as_py(), types.as_py(), strict=True):
-                    if kind not in ("response", "revisit"):
-                        continue
+                for seek in seeks.as_py():
+                    at, size, kind = seek["offset"], seek["size"], seek["type"]
                     headers, block = parsed(zlib.decompress(data[at : at + size], 31))
                     digest = headers["warc-payload-digest"].removeprefix("sha256:")
                     payload = block.partition(EOL + EOL)[2] if kind == "response" else None
@@ -250,7 +254,10 @@ def read_pages(normalised: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    own = normalised.select("content", "offsets", "sizes", "types")
+    # An archive is of bounded bytes, so its entries are of a bounded number.
+    pages = index.where("type in ('response', 'revisit')")
+    seeks = pages.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("offset", "size", "type"))).alias("seeks"))
+    own = archives.join(seeks, "path").select("content", "seeks")
     return own.mapInArrow(run, "page_id long, url string, type string, digest string, refers_to long, payload binary")
 
 
@@ -261,7 +268,7 @@ def round_trip(pages: DataFrame, path: str | None = None, how: Archives = Archiv
     where = path or fresh_path(spark, "warc")
     write_archives(pages, f"{where}/streams", how)
     normalise(spark.read.parquet(f"{where}/streams"), f"{where}/records", how.level)
-    read = read_pages(spark.read.parquet(f"{where}/records/archives"))
+    read = read_pages(stored_archives(spark, f"{where}/records"), offset_index(spark, f"{where}/records"))
     short = read.select("page_id", "type", "digest", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"))
     short.write.parquet(f"{where}/read")
     short = spark.read.parquet(f"{where}/read")

@@ -23,17 +23,36 @@ def test_warc_round_trip_over_real_gzip(tmp_path, spark):
         want.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if later else "response", 3 if later else None))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     streams = spark.read.parquet(str(tmp_path / "w/streams")).collect()
-    fixed = {r.path: r for r in spark.read.parquet(str(tmp_path / "w/records/archives")).collect()}
+    fixed = {r.path: r for r in warc.stored_archives(spark, str(tmp_path / "w/records")).collect()}
+    index = warc.offset_index(spark, str(tmp_path / "w/records"))
     for s in streams:  # any gzip reader sees the same archive before and after
         r = fixed[s.path]
         assert gzip.decompress(bytes(s.content)) == gzip.decompress(bytes(r.content))
-        for at, size in zip(r.offsets, r.sizes):
-            assert gzip.decompress(bytes(r.content[at : at + size])).startswith(b"WARC/1.1")
-    index = warc.offset_index(spark.read.parquet(str(tmp_path / "w/records/archives")))
+    for e in index.collect():
+        raw = gzip.decompress(bytes(fixed[e.path].content[e.offset : e.offset + e.size]))
+        assert raw.startswith(b"WARC/1.1") and raw.count(b"WARC/1.1") == 1 and e.record_id.encode() in raw
     assert index.where("type <> 'warcinfo'").count() == len(rows)
     assert warc.round_trip(df.limit(0), str(tmp_path / "e")).collect() == []
 
 
+def test_a_real_archive_file(spark, tmp_path):
+    """A .warc.gz of one gzip stream, written by another program's rules, through Spark's binaryFile source."""
+    import gzip
+
+    raw = b""
+    for k, body in enumerate((b"<p>one</p>", b"two\r\n\r\nWARC/1.0\r\n", b"")):
+        block = b"HTTP/1.0 200 OK\r\nX: y\r\n\r\n" + body
+        digest = hashlib.sha256(body).hexdigest().encode()
+        raw += b"WARC/1.0\r\ncontent-length: %d\r\nWARC-Type: response\r\nWARC-Target-URI: http://e.org/%d\r\nWARC-Record-ID: <urn:page:%d>\r\nWARC-Payload-Digest: sha256:%s\r\n\r\n" % (len(block), k, k, digest) + block + b"\r\n\r\n"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/x.warc.gz").write_bytes(gzip.compress(raw))
+    files = spark.read.format("binaryFile").load(str(tmp_path / "in"))
+    out = warc.normalise(files, str(tmp_path / "out"))
+    got = warc.read_pages(warc.stored_archives(spark, out), warc.offset_index(spark, out)).collect()
+    assert {r.page_id: (r.url, bytes(r.payload)) for r in got} == {0: ("http://e.org/0", b"<p>one</p>"), 1: ("http://e.org/1", b"two\r\n\r\nWARC/1.0\r\n"), 2: ("http://e.org/2", b"")}
+    assert {e.size > 0 and e.path.endswith("x.warc.gz") for e in warc.offset_index(spark, out).collect()} == {True}
+
+
 def test_damaged_archives():
     import zlib
 
