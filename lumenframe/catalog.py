@@ -392,7 +392,7 @@ pixel_query(
 
 @query("mono_histogram", f"WITH {PIX} SELECT image_id, v, count(*) AS n FROM pix GROUP BY image_id, v")
 def mono_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = images(spark, sf_dir).select("image_id", F.posexplode(monochrome.histogram(F.col("px"))).alias("v", "n"))
+    own = images(spark, sf_dir).select("image_id", F.posexplode(monochrome.bands("px")["hist"]).alias("v", "n"))
     return own.where("n > 0").select("image_id", F.col("v").cast("long").alias("v"), F.col("n").cast("long").alias("n"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -39,6 +40,11 @@ class Geometry:
         return cls(value(w or alone), value(h), value(x), value(y), flags)
 
 
+def half_away(x: float) -> int:
+    """Rounds halves away from zero."""
+    return int(math.copysign(math.floor(abs(x) + 0.5), x))
+
+
 def nearest(x: float) -> int:
     """Rounds half up and saturates at 0."""
     return max(0, int(x + 0.5))
@@ -141,7 +147,7 @@ class Crop:
         g = Geometry.parse(text)
         if "%" in g.flags:
             raise NotImplementedError("cropping by percentages")
-        x, y = (0 if v is None else round(v) for v in (g.x, g.y))
+        x, y = (0 if v is None else half_away(v) for v in (g.x, g.y))
         if x < 0 or y < 0:
             raise NotImplementedError("negative crop offsets")
         return cls(*(None if v is None else nearest(v) for v in (g.width, g.height)), x, y)

@@ -9,9 +9,11 @@ from lumenframe.functions.identify import looked_up
 
 #: Formats by extension or prefix.
 FORMATS = {"png": "png", "jpg": "jpeg", "jpeg": "jpeg", "webp": "webp", "avif": "avif", "gif": "gif", "tif": "tiff", "tiff": "tiff", "bmp": "bmp", "pbm": "pnm", "pgm": "pnm", "ppm": "pnm", "pnm": "pnm", "pam": "pnm", "qoi": "qoi", "ff": "ff", "tga": "tga", "hdr": "hdr", "exr": "exr", "ico": "ico", "dds": "dds", "jxl": "jxl", "jp2": "jp2"}
-#: Filter names that stand for another kernel.
+#: Filter names that stand for another kernel.
 FILTER_ALIASES = {"Catrom": "CatmullRom", "Cosine": "Hann", "Jinc": "Lanczos3Jinc", "Lagrange": "Lagrange2", "Lanczos": "Lanczos3", "Lanczos2Sharp": "Lanczos2", "LanczosRadius": "Lanczos3", "LanczosSharp": "Lanczos3", "Mitchell": "MitchellNetravalli", "Parzen": "BSpline", "Point": "Nearest", "Quadratic": "Quadric", "Sinc": "Lanczos3", "SincFast": "Lanczos3", "Spline": "BSpline", "Triangle": "Bilinear"}
+#: All filter names.
 FILTERS = [*FILTER_ALIASES, "Bartlett", "Blackman", "Bohman", "Box", "Cubic", "Gaussian", "Hamming", "Hann", "Hermite", "Kaiser", "Lanczos2", "Robidoux", "RobidouxSharp", "Welch"]
+#: PNG row filters by the last digit of the quality.
 PNG_FILTERS = {0: "none", 1: "sub", 2: "up", 3: "avg", 4: "paeth", 5: "adaptive", 6: "adaptive", 7: "adaptive", 8: "adaptive", 9: "up"}
 
 
@@ -47,12 +49,19 @@ def suffixed(path: Column, number: Column) -> Column:
 
 
 def output_name(path: Column, group: list[str]) -> Column:
-    """Names of a sequence's outputs: numbered from 1 if there are several."""
+    """Names of a sequence's outputs: numbered from 1 if there are several.
+
+    For narrow rows; images themselves are numbered by their ``seq`` (``numbered``)."""
     rank = F.row_number().over(Window.partitionBy(*group).orderBy("seq"))
     many = F.count("*").over(Window.partitionBy(*group)) > 1
     return F.when(many & (path != "-"), suffixed(path, rank)).otherwise(path)
 
 
+def numbered(path: Column, seq: Column, many: bool) -> Column:
+    """The same where ``seq`` counts a sequence's images from 0: no row needs another."""
+    return F.when(path != "-", suffixed(path, seq + 1)).otherwise(path) if many else path
+
+
 def png_settings(quality: Column) -> dict[str, Column]:
     """Compression level ('fast' or a digit) and row filter by quality."""
     q = F.when(quality < 0, F.raise_error(F.lit("PNG quality cannot be negative")).cast("long")).otherwise(F.floor(quality))

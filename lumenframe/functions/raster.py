@@ -100,13 +100,36 @@ ORIENTATIONS: dict[int, Callable[[Column, Column, Column, Column], tuple[Column,
 }
 
 
+def unsigned(data: Column, at: Column, size: int, big: Column) -> Column:
+    """The number in ``size`` bytes of a binary column, from the 0-based place ``at``."""
+    byte = lambda k: F.conv(F.hex(F.substring(data, (at + 1 + k).cast("int"), F.lit(1))), 16, 10).cast("long")
+    high, low = (sum(byte(k) * 256 ** (size - 1 - k if order else k) for k in range(size)) for order in (True, False))
+    return F.when(big, high).otherwise(low)
+
+
+def orientation_place(exif: Column) -> Column:
+    """Where the value of tag 0x0112 stands in an EXIF block (0-based), or null. The
+    first directory is read entry by entry; only one short number counts."""
+    big = F.substring(exif, 1, 4) == F.lit(b"MM\x00\x2a")
+    known = big | (F.substring(exif, 1, 4) == F.lit(b"II\x2a\x00"))
+    first = F.least(unsigned(exif, F.lit(4), 4, big), F.octet_length(exif).cast("long"))
+    n = F.least(unsigned(exif, first, 2, big), F.floor((F.octet_length(exif) - first - 2) / 12))
+    places = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda k: first + 2 + 12 * k)
+    fits = lambda p: (unsigned(exif, p, 2, big) == 0x0112) & (unsigned(exif, p + 2, 2, big) == 3) & (unsigned(exif, p + 4, 4, big) == 1)
+    return F.when(known & (n > 0), F.get(F.filter(places, fits), F.lit(0)) + 8)
+
+
 def exif_orientation(exif: Column) -> Column:
-    """Tag 0x0112 of an EXIF block whose first directory holds it; 1 without one."""
-    digits = F.hex(exif)
-    big = F.regexp_extract(digits, "^4D4D002A(?:..)*?011200030000000100(0[1-8])", 1)
-    little = F.regexp_extract(digits, "^49492A00(?:..)*?1201030001000000(0[1-8])00", 1)
-    found = F.concat(big, little)
-    return F.when(found != "", found.cast("int")).otherwise(1)
+    """Orientation 1 to 8 of an EXIF block; 1 where it has none that is valid."""
+    value = unsigned(exif, orientation_place(exif), 2, F.substring(exif, 1, 2) == F.lit(b"MM"))
+    return F.when(value.between(1, 8), value.cast("int")).otherwise(1)
+
+
+def upright(exif: Column) -> Column:
+    """The block with orientation 1, all its other tags as they are."""
+    at = orientation_place(exif).cast("int")
+    one = F.when(F.substring(exif, 1, 2) == F.lit(b"MM"), F.lit(b"\x00\x01")).otherwise(F.lit(b"\x01\x00"))
+    return F.when(at.isNull(), exif).otherwise(F.concat(F.substring(exif, F.lit(1), at), one, F.substring(exif, at + 3, F.octet_length(exif))))
 
 
 def orient(df: DataFrame, orientation: Column) -> DataFrame:
@@ -125,10 +148,10 @@ def orient(df: DataFrame, orientation: Column) -> DataFrame:
 
 
 def auto_orient(df: DataFrame) -> DataFrame:
-    """Applies the EXIF orientation and takes the block away where it had one."""
+    """Applies the EXIF orientation and sets it to 1 in the block, which else stays as it is."""
     held = df.withColumn("__o", exif_orientation(F.col("exif")))
     out = orient(held, F.col("__o"))
-    return out.withColumn("exif", F.when(F.col("__o") > 1, None).otherwise(F.col("exif"))).drop("__o")
+    return out.withColumn("exif", F.when(F.col("__o") > 1, upright(F.col("exif"))).otherwise(F.col("exif"))).drop("__o")
 
 
 def negate(df: DataFrame) -> DataFrame:
@@ -177,10 +200,12 @@ def is_8bit() -> Column:
     return F.col("color_type").endswith("16") & F.forall("px", lambda v: v % 257 == 0)
 
 
-def narrow(df: DataFrame, precision: bool = False) -> DataFrame:
+def narrow(df: DataFrame, precision: bool | Column = False, wanted: bool | Column = True) -> DataFrame:
     """Drops what a lossless writer needn't store: opaque alpha, equal colours and,
-    if asked, the low byte of samples that repeat the high one."""
-    flags = df.withColumns({"__8": is_8bit() if precision else F.lit(False), "__g": is_gray(), "__o": is_opaque() & has_alpha()})
+    with ``precision``, the low byte of samples that repeat the high one; all of it
+    only where ``wanted``."""
+    deep, on = (x if isinstance(x, Column) else F.lit(x) for x in (precision, wanted))
+    flags = df.withColumns({"__8": on & deep & is_8bit(), "__g": on & is_gray(), "__o": on & is_opaque() & has_alpha()})
     c, alpha = channels(), has_alpha()
     keep = lambda i: ~((F.col("__g") & (c >= 3) & (i % c > 0) & (i % c < 3)) | (F.col("__o") & alpha & (i % c == c - 1)))
     px = F.filter("px", lambda v, i: keep(i))
@@ -192,6 +217,37 @@ def narrow(df: DataFrame, precision: bool = False) -> DataFrame:
     return replaced(flags, {"px": px, "color_type": kind}).drop("__8", "__g", "__o")
 
 
+def converted(df: DataFrame, kind: Column) -> DataFrame:
+    """The images as ``kind``: grey to colour by repeating, colour to grey by luma, missing
+    alpha opaque, 8 to 16 bits by v * 257 and back to the nearest. Each cell's samples
+    are made from the old cell's."""
+    old, c = channels(), looked_up(CHANNELS, kind).cast("int")
+    was_deep, deep = F.col("color_type").endswith("16"), kind.endswith("16")
+    top = peak()
+    at = lambda i, k: F.element_at("px", (i * old + k + 1).cast("int"))
+
+    def cell(i: Column) -> Column:
+        r, g, b = (at(i, F.lit(k)) if k == 0 else F.when(old >= 3, at(i, F.least(F.lit(k), old - 1))).otherwise(at(i, F.lit(0))) for k in range(3))
+        gray = F.when(old >= 3, luma(r, g, b)).otherwise(r)
+        alpha = F.when(has_alpha(), at(i, old - 1)).otherwise(top)
+        return F.when(c == 1, F.array(gray)).when(c == 2, F.array(gray, alpha)).when(c == 3, F.array(r, g, b)).otherwise(F.array(r, g, b, alpha))
+
+    cells = F.sequence(F.lit(0), F.floor(F.size("px") / old).cast("int") - 1)
+    px = F.when(F.size("px") > 0, F.flatten(F.transform(cells, cell))).otherwise(F.array().cast("array<int>"))
+    scaled = F.when(was_deep & ~deep, F.transform(px, lambda v: F.floor((v + 128) / 257).cast("int"))).when(~was_deep & deep, F.transform(px, lambda v: v * 257)).otherwise(px)
+    px = F.when(kind == F.col("color_type"), F.col("px")).otherwise(scaled)
+    return replaced(df, {"px": px, "color_type": kind})
+
+
+def rgb8_maybe_alpha(df: DataFrame, wanted: bool | Column = True) -> DataFrame:
+    """Rgba8 where some cell is transparent, else Rgb8; images of either kind, or that
+    aren't ``wanted`` so, stay as they are."""
+    kind, on = F.col("color_type"), wanted if isinstance(wanted, Column) else F.lit(wanted)
+    own = F.when(~on | kind.isin("Rgb8", "Rgba8"), kind).when(has_alpha() & ~is_opaque(), F.lit("Rgba8")).otherwise(F.lit("Rgb8"))
+    held = df.withColumn("__kind", own)
+    return converted(held, F.col("__kind")).drop("__kind")
+
+
 def default_filter(w: Column, h: Column, new_w: Column, new_h: Column, alpha_is_constant: Column) -> Column:
     larger = (w < new_w) | (h < new_h)
     return F.when(larger | ~alpha_is_constant, "MitchellNetravalli").otherwise("Lanczos3")

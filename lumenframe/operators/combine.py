@@ -21,7 +21,7 @@ def combine(df: DataFrame, group: str, model: str = "Rgb8", fallback: bool = Tru
     gray = grayscale(df)
     step = F.when(F.col("color_type").startswith("La"), 2).otherwise(1)
     flat = F.filter("px", lambda v, i: i % step == 0)
-    flat = F.when(gray["color_type"].endswith("16"), F.transform(flat, lambda v: F.floor(v / 257).cast("int"))).otherwise(flat)
+    flat = F.when(gray["color_type"].endswith("16"), F.transform(flat, lambda v: F.floor((v + 128) / 257).cast("int"))).otherwise(flat)
     own = gray.select(group, "seq", F.struct("seq", "image_id", "filename", "orig_color_type", "format", "width", "height", "exif", "icc", flat.alias("px")).alias("i"))
     sets = own.groupBy(group).agg(F.array_sort(F.collect_list("i")).alias("items"))
     n, room = F.size("items"), CHANNELS[model]

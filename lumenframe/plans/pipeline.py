@@ -7,10 +7,14 @@ text is an extra output, ordered by step and image.
 
 from __future__ import annotations
 
+import itertools
 import os
-from collections.abc import Callable, Iterable
+import re
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +34,10 @@ OPTIONS = {
     "resize": (1, "resize"), "sample": (1, "resize by nearest cells"), "scale": (1, "resize by areas"), "strip": (0, "drop EXIF and ICC"),
     "thumbnail": (1, "resize fast and drop EXIF"), "unsharp": (1, "sharpen"), "write": (1, "write the sequence so far"),
 }
-GRAY_METHODS = "Average Brightness Lightness Luminosity MS RMS Rec601Luma Rec601Luminance Rec709Luma Rec709Luminance".lower().split()
+#: Names of grey methods, in any case.
+GRAY_METHODS = ["average", "brightness", "lightness", "ms", "mean", "rms", "rec601luma", "rec601luminance", "rec709luma", "rec709luminance"]
+#: A decimal number as the command line takes it.
+NUMERAL = re.compile(r"[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf|infinity|nan)", re.A | re.I)
 
 
 class UsageError(ValueError):
@@ -161,7 +168,7 @@ def apply(plan: Plan, before: list[Op], option: str, text: str | None, plus: boo
             raise UsageError(f"unknown colorspace: {text}")
         return replace(now, colorspace=text.lower())
     if option == "quality":
-        return replace(now, quality=float(text.strip()))
+        return replace(now, quality=number(text))
     if option == "strip":
         return replace(now, strip_exif=True, strip_icc=True)
     if option in ("combine", "write"):
@@ -183,6 +190,12 @@ def apply(plan: Plan, before: list[Op], option: str, text: str | None, plus: boo
     return replace(now, strip_exif=True, strip_icc=False) if option == "thumbnail" else now
 
 
+def number(text: str) -> float:
+    if not NUMERAL.fullmatch(text.strip()):
+        raise UsageError(f"not a number: {text}")
+    return float(text)
+
+
 TWICE_IS_NOTHING = {"flip", "flop", "negate"}
 POINTWISE = {"negate", "grayscale"}
 
@@ -208,14 +221,32 @@ def optimised(steps: list[Step]) -> list[Step]:
 
 @dataclass
 class Result:
+    """``held`` are sequences that several outputs share; ``save`` lets go of them."""
+
     images: DataFrame
     texts: list[DataFrame]
     outputs: list[DataFrame]
+    held: list[DataFrame] = field(default_factory=list)
+
+
+def runs(steps: list[Step]) -> Iterator[list[Step]]:
+    """Neighbouring reads of the same kind together, all other steps alone."""
+    for _, same in itertools.groupby(enumerate(steps), key=lambda x: ("read", x[1].name.format, x[1].ops) if x[1].what == "read" else x[0]):
+        yield [step for _, step in same]
+
+
+def execute(spark: SparkSession, plan: Plan, rewrite: bool = True, read: Callable[[list[names.InputName], int], DataFrame] | None = None) -> Result:
+    """Lazy: images, identify texts (``step, seq, text``) and outputs (``step, seq, path, content``).
 
+    Inputs that stand together are one scan. A sequence that is written and then goes
+    on is kept, so that it is read and computed once."""
 
-def execute(spark: SparkSession, plan: Plan, rewrite: bool = True, read: Callable[[names.InputName], DataFrame] | None = None) -> Result:
-    """Lazy: images, identify texts (``step, seq, text``) and outputs (``step, path, content``)."""
-    read = read or (lambda n: files.blank(spark) if n.format == "null" else files.read_images(spark, [n.location], n.format))
+    def files_of(names_: list[names.InputName], first: int) -> DataFrame:
+        if names_[0].format == "null":
+            return reduce(DataFrame.unionByName, [files.blank(spark, first + k) for k in range(len(names_))])
+        return files.read_images(spark, [n.location for n in names_], names_[0].format, first)
+
+    read = read or files_of
     sequence: DataFrame | None = None
     count = 0
     result = Result(None, [], [])
@@ -224,52 +255,73 @@ def execute(spark: SparkSession, plan: Plan, rewrite: bool = True, read: Callabl
     def identified(df: DataFrame, template: str | None, step: int) -> None:
         result.texts.append(df.select(F.lit(step).alias("step"), "seq", identify.text(template).alias("text")))
 
-    for number, step in enumerate(optimised(plan.steps) if rewrite else plan.steps):
+    steps = list(runs(optimised(plan.steps) if rewrite else plan.steps))
+    for k, same in enumerate(steps):
+        step = same[0]
         if step.what == "read":
-            df = read(step.name).withColumn("seq", F.lit(count).cast("long"))
+            df = read([s.name for s in same], count)
             for op in step.ops:
                 if op.kind == "identify":
-                    identified(df, op.value, number)
+                    identified(df, op.value, k)
                 else:
                     df = op.run(df)
-            sequence, count = (df if sequence is None else sequence.unionByName(df)), count + 1
+            sequence, count = (df if sequence is None else sequence.unionByName(df)), count + len(same)
         elif step.what == "map":
             sequence = step.op.run(sequence)
         elif step.what == "combine":
             sequence = combine(sequence.withColumn("__one", F.lit(1)), "__one", step.model, step.fallback).drop("__one")
             count = 1
         elif step.what == "identify":
-            identified(sequence, step.template, number)
+            identified(sequence, step.template, k)
         elif step.target[1] != "null":
-            result.outputs.append(written(sequence, step.target, now, number))
+            if k + 1 < len(steps):
+                sequence = sequence.persist(StorageLevel.MEMORY_AND_DISK)
+                result.held.append(sequence)
+            result.outputs.append(written(sequence, step.target, now, k, count > 1))
     result.images = sequence
     return result
 
 
-def written(df: DataFrame, target: tuple[str, str | None], now: Settings, step: int) -> DataFrame:
+def written(df: DataFrame, target: tuple[str, str | None], now: Settings, step: int, many: bool) -> DataFrame:
+    """An image's format is the prefix's, else its name's, else its input's."""
     path, explicit = target
     ext = path.rpartition(".")[2].lower() if "." in path.rpartition("/")[2] else ""
     kind = explicit or output.FORMATS.get(ext)
-    if kind is None:
-        raise UsageError(f"no encoder for {ext.upper() or 'an output without extension'}")
-    rows = files.encoded(df, kind, now.quality, now.strip_exif, now.strip_icc)
-    own = rows.withColumns({"step": F.lit(step), "__path": F.lit(path)})
-    return own.select("step", "seq", output.output_name(F.col("__path"), ["step"]).alias("path"), "content")
+    chosen = kind or output.chosen_format(F.lit(None).cast("string"), F.lit(path), F.col("format"))
+    rows = files.encoded(df, chosen, now.quality, now.strip_exif, now.strip_icc)
+    return rows.select(F.lit(step).alias("step"), "seq", output.numbered(F.lit(path), F.col("seq"), many).alias("path"), "content")
+
+
+def write_files(rows: Iterable) -> None:
+    for row in rows:
+        with open(row.path, "wb") as f:
+            f.write(row.content)
+
 
+def save(result: Result, shared: bool | None = None) -> list[str]:
+    """Writes the outputs and returns their names, in order.
 
-def save(result: Result) -> list[str]:
-    """Writes outputs one image at a time on the driver (``-`` goes to stdout)."""
+    Where executors see the folder (``shared``; by default on a single machine) they
+    write their own images; else, and for ``-``, images pass through the driver one
+    by one."""
     import sys
 
     done = []
     for df in result.outputs:
-        for row in df.orderBy("seq").toLocalIterator():
-            if row.path == "-":
-                sys.stdout.buffer.write(row.content)
-            else:
-                with open(row.path, "wb") as f:
-                    f.write(row.content)
-            done.append(row.path)
+        here = df.sparkSession.sparkContext.master.startswith("local") if shared is None else shared
+        paths = [r.path for r in df.select("path", "seq").orderBy("seq").collect()]
+        if here and "-" not in paths:
+            df.select("path", "content").foreachPartition(write_files)
+        else:
+            for row in df.orderBy("seq").toLocalIterator():
+                if row.path == "-":
+                    sys.stdout.buffer.write(row.content)
+                    sys.stdout.buffer.flush()
+                else:
+                    write_files([row])
+        done += paths
+    for df in result.held:
+        df.unpersist()
     return done
 
 

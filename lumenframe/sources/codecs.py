@@ -1,41 +1,23 @@
-"""Image codecs in NumPy: PNG, PNM, farbfeld and BMP; others need a library."""
+"""Codecs by format name. All are NumPy; others can be added by ``register``."""
 
 from __future__ import annotations
 
-import struct
-import zlib
-from dataclasses import dataclass, field
+from collections.abc import Callable
 
 import numpy as np
 
-PNG_MARK = b"\x89PNG\r\n\x1a\n"
-#: PNG colour type to channels.
-PNG_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+from lumenframe.sources import gif, jpeg, png, simple, tiff
+from lumenframe.sources.image import CodecError, Decoded, Settings, eight, narrowed
 
-
-class CodecError(ValueError):
-    """Bytes that aren't a readable image, or a format without a codec here."""
-
-
-@dataclass
-class Decoded:
-    pixels: np.ndarray  # height, width, channels
-    bits: int
-    orig: str
-    exif: bytes | None = None
-    icc: bytes | None = None
-    extra: dict = field(default_factory=dict)
-
-    @property
-    def color_type(self) -> str:
-        return f"{ {1: 'L', 2: 'La', 3: 'Rgb', 4: 'Rgba'}[self.pixels.shape[2]] }{16 if self.bits == 16 else 8}"
+__all__ = ["CodecError", "Decoded", "Settings", "decode", "encode", "register", "sniff"]
 
 
 def sniff(data: bytes) -> str | None:
     """Format by first bytes."""
     marks = (
-        ("png", PNG_MARK), ("jpeg", b"\xff\xd8\xff"), ("gif", b"GIF8"), ("bmp", b"BM"), ("ff", b"farbfeld"), ("qoi", b"qoif"),
+        ("png", png.MARK), ("jpeg", b"\xff\xd8\xff"), ("gif", b"GIF8"), ("bmp", b"BM"), ("ff", b"farbfeld"), ("qoi", b"qoif"), ("ico", b"\0\0\1\0"),
         ("tiff", b"II*\x00"), ("tiff", b"MM\x00*"), ("dds", b"DDS "), ("exr", b"\x76\x2f\x31\x01"), ("hdr", b"#?RADIANCE"), ("jxl", b"\xff\x0a"),
+        ("jxl", b"\0\0\0\x0cJXL \r\n\x87\n"), ("jp2", b"\0\0\0\x0cjP  \r\n\x87\n"), ("pcx", b"\n\5\1"), ("sgi", b"\1\xda"),
     )
     for name, mark in marks:
         if data.startswith(mark):
@@ -44,176 +26,47 @@ def sniff(data: bytes) -> str | None:
         return "webp"
     if data[4:12] in (b"ftypavif", b"ftypavis"):
         return "avif"
-    return "pnm" if data[:1] == b"P" and data[1:2] in b"123456" and data[1:2] else None
-
-
-def unfiltered(raw: np.ndarray, height: int, stride: int, bpp: int) -> np.ndarray:
-    out = np.zeros((height, stride), np.uint8)
-    above = np.zeros(stride, np.int64)
-    for y in range(height):
-        kind, line = raw[y * (stride + 1)], raw[y * (stride + 1) + 1 : (y + 1) * (stride + 1)].astype(np.int64)
-        if kind == 1:
-            for k in range(bpp):
-                line[k::bpp] = np.cumsum(line[k::bpp])
-        elif kind == 2:
-            line = line + above
-        elif kind in (3, 4):
-            for x in range(stride):
-                a, b, c = (line[x - bpp] if x >= bpp else 0), above[x], (above[x - bpp] if x >= bpp else 0)
-                if kind == 3:
-                    guess = (a + b) // 2
-                else:
-                    p = a + b - c
-                    guess = min(((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c)))[2]
-                line[x] = (line[x] + guess) & 255
-        above = line & 255
-        out[y] = above
-    return out
-
-
-def decode_png(data: bytes) -> Decoded:
-    at, parts, head, palette, exif, icc, clear = 8, [], None, None, None, None, None
-    while at + 8 <= len(data):
-        n, kind = struct.unpack(">I4s", data[at : at + 8])
-        body = data[at + 8 : at + 8 + n]
-        at += 12 + n
-        if kind == b"IHDR":
-            head = struct.unpack(">IIBBBBB", body)
-        elif kind == b"PLTE":
-            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
-        elif kind == b"tRNS":
-            clear = body
-        elif kind == b"IDAT":
-            parts.append(body)
-        elif kind == b"eXIf":
-            exif = body
-        elif kind == b"iCCP":
-            icc = zlib.decompress(body[body.index(b"\0") + 2 :])
-    if head is None or head[6]:
-        raise CodecError("not a plain PNG")
-    w, h, bits, color = head[:4]
-    c = PNG_CHANNELS[color]
-    stride = (w * c * bits + 7) // 8
-    rows = unfiltered(np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8), h, stride, max(1, c * bits // 8))
-    if bits == 16:
-        px = rows.view(">u2").astype(np.int64).reshape(h, w, c)
-    elif bits == 8:
-        px = rows.astype(np.int64).reshape(h, w, c)
-    else:
-        px = np.unpackbits(rows, axis=1).reshape(h, -1, bits) @ (1 << np.arange(bits - 1, -1, -1))
-        px = px[:, : w * c].reshape(h, w, c).astype(np.int64)
-        px = px if color == 3 else px * (255 // ((1 << bits) - 1))
-    if color == 3:
-        table = palette.astype(np.int64)
-        if clear is not None:
-            alpha = np.full((len(table), 1), 255)
-            alpha[: len(clear), 0] = np.frombuffer(clear, np.uint8)
-            table = np.concatenate([table, alpha], axis=1)
-        px = table[px[..., 0]]
-    family = {0: "L", 2: "Rgb", 3: "Rgb", 4: "La", 6: "Rgba"}[color]
-    return Decoded(px, bits if color != 3 else 8, f"{family}{8 if color == 3 else bits}", exif, icc)
-
-
-def png_chunk(kind: bytes, body: bytes) -> bytes:
-    return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-
-
-def encode_png(px: np.ndarray, bits: int, level: int = 7, row_filter: str = "none", exif: bytes | None = None, icc: bytes | None = None) -> bytes:
-    """Row filters none, sub and up are written as such; others as up."""
-    h, w, c = px.shape
-    rows = np.ascontiguousarray(px.astype(">u2" if bits == 16 else np.uint8)).view(np.uint8).reshape(h, -1)
-    bpp = c * bits // 8
-    if row_filter == "none":
-        kind, lines = 0, rows
-    elif row_filter == "sub":
-        kind, lines = 1, rows - np.pad(rows, ((0, 0), (bpp, 0)))[:, : rows.shape[1]]
-    else:
-        kind, lines = 2, rows - np.pad(rows, ((1, 0), (0, 0)))[:h]
-    raw = np.concatenate([np.full((h, 1), kind, np.uint8), lines], axis=1).tobytes()
-    color = {1: 0, 2: 4, 3: 2, 4: 6}[c]
-    out = [PNG_MARK, png_chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, bits, color, 0, 0, 0))]
-    if icc:
-        out.append(png_chunk(b"iCCP", b"icc\0\0" + zlib.compress(icc)))
-    if exif:
-        out.append(png_chunk(b"eXIf", exif))
-    return b"".join([*out, png_chunk(b"IDAT", zlib.compress(raw, level)), png_chunk(b"IEND", b"")])
-
-
-def decode_pnm(data: bytes) -> Decoded:
-    fields, at = [], 2
-    while len(fields) < (2 if data[1:2] in b"14" else 3):
-        while data[at : at + 1].isspace() or data[at : at + 1] == b"#":
-            at = data.index(b"\n", at) + 1 if data[at : at + 1] == b"#" else at + 1
-        end = at
-        while data[end : end + 1].isdigit():
-            end += 1
-        fields.append(int(data[at:end]))
-        at = end
-    w, h = fields[:2]
-    c = 3 if data[1:2] in b"36" else 1
-    if data[1:2] == b"4":
-        bits = np.unpackbits(np.frombuffer(data[at + 1 :], np.uint8).reshape(h, -1), axis=1)[:, :w]
-        return Decoded((255 * (1 - bits.astype(np.int64))).reshape(h, w, 1), 8, "L1")
-    if data[1:2] == b"1":
-        return Decoded(255 * (1 - np.array([int(b) for b in data[at:].decode() if b in "01"], np.int64)).reshape(h, w, 1), 8, "L1")
-    most = fields[2]
-    if data[1:2] in b"56":
-        kind = np.dtype(">u2" if most > 255 else np.uint8)
-        px = np.frombuffer(data, kind, w * h * c, at + 1).astype(np.int64)
-    else:
-        px = np.array(data[at:].split(), np.int64)
-    deep = most > 255
-    px = (px * (65535 if deep else 255) + most // 2) // most
-    return Decoded(px.reshape(h, w, c), 16 if deep else 8, f"{'Rgb' if c == 3 else 'L'}{16 if deep else 8}")
-
-
-def encode_pnm(px: np.ndarray, bits: int) -> bytes:
-    h, w, c = px.shape
-    px = px[..., : 3 if c >= 3 else 1]
-    mark = b"P6" if px.shape[2] == 3 else b"P5"
-    return b"%s\n%d %d\n%d\n" % (mark, w, h, (1 << bits) - 1) + px.astype(">u2" if bits == 16 else np.uint8).tobytes()
-
-
-def widened(px: np.ndarray, bits: int) -> np.ndarray:
-    """RGBA in 16 bits."""
-    px = px if bits == 16 else px * 257
-    c = px.shape[2]
-    rgb = px[..., :3] if c >= 3 else np.repeat(px[..., :1], 3, axis=2)
-    alpha = px[..., -1:] if c in (2, 4) else np.full((*px.shape[:2], 1), 65535)
-    return np.concatenate([rgb, alpha], axis=2)
-
-
-def encode_ff(px: np.ndarray, bits: int) -> bytes:
-    h, w, _ = px.shape
-    return b"farbfeld" + struct.pack(">II", w, h) + widened(px, bits).astype(">u2").tobytes()
-
-
-def decode_ff(data: bytes) -> Decoded:
-    w, h = struct.unpack(">II", data[8:16])
-    return Decoded(np.frombuffer(data, ">u2", w * h * 4, 16).astype(np.int64).reshape(h, w, 4), 16, "Rgba16")
-
-
-def encode_bmp(px: np.ndarray, bits: int) -> bytes:
-    full = widened(px, bits) // 257
-    h, w, _ = full.shape
-    rows = np.zeros((h, (w * 3 + 3) // 4 * 4), np.uint8)
-    rows[:, : w * 3] = full[::-1, :, 2::-1].reshape(h, -1)
-    head = struct.pack("<2sIHHI", b"BM", 54 + rows.size, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, rows.size, 2835, 2835, 0, 0)
-    return head + rows.tobytes()
-
-
-def decode_bmp(data: bytes) -> Decoded:
-    start, w, h, bits = struct.unpack("<I", data[10:14])[0], *struct.unpack("<ii", data[18:26]), struct.unpack("<H", data[28:30])[0]
-    if bits not in (24, 32) or struct.unpack("<I", data[30:34])[0] not in (0, 3):
-        raise CodecError("only plain 24 and 32 bit BMP is read")
-    c, rows = bits // 8, abs(h)
-    stride = (w * c + 3) // 4 * 4
-    px = np.frombuffer(data, np.uint8, stride * rows, start).reshape(rows, stride)[:, : w * c].reshape(rows, w, c)[..., :3]
-    px = px[..., ::-1].astype(np.int64)
-    return Decoded(px[::-1].copy() if h > 0 else px, 8, "Rgb8")
-
-
-DECODERS = {"png": decode_png, "pnm": decode_pnm, "ff": decode_ff, "bmp": decode_bmp}
+    if data[:1] == b"P" and data[1:2] in b"123456" and data[1:2]:
+        return "pnm"
+    # A TGA has no mark at its start; its header must make sense instead.
+    tga = len(data) > 18 and data[1] in (0, 1) and data[2] in (1, 2, 3, 9, 10, 11) and data[16] in (8, 24, 32) and data[2] % 8 != 0
+    return "tga" if data[-18:-2] == b"TRUEVISION-XFILE" or tga else None
+
+
+DECODERS: dict[str, Callable[[bytes], Decoded]] = {
+    "png": png.decode, "jpeg": jpeg.decode, "gif": gif.decode, "tiff": tiff.decode, "pnm": simple.decode_pnm, "ff": simple.decode_ff,
+    "bmp": simple.decode_bmp, "qoi": simple.decode_qoi, "tga": simple.decode_tga, "pcx": simple.decode_pcx, "ico": simple.decode_ico,
+}
+
+
+def jpeg_quality(quality: float | None) -> int:
+    """92 by default; what lies outside 0 to 100 is 100."""
+    if quality is None:
+        return 92
+    whole = int(max(-1, min(101, quality))) if quality == quality else 0
+    return whole if 0 <= whole <= 100 else 100
+
+
+def write_jpeg(px: np.ndarray, bits: int, how: Settings) -> bytes:
+    return jpeg.encode(narrowed(px, bits), jpeg_quality(how.quality), how.exif, how.icc)
+
+
+ENCODERS: dict[str, Callable[[np.ndarray, int, Settings], bytes]] = {
+    "png": lambda px, bits, how: png.encode(px, bits, how.level, how.row_filter, how.exif, how.icc),
+    "jpeg": write_jpeg, "gif": lambda px, bits, how: gif.encode(eight(px, bits)), "tiff": lambda px, bits, how: tiff.encode(px, bits, how.icc),
+    "pnm": lambda px, bits, how: simple.encode_pnm(px, bits), "ff": lambda px, bits, how: simple.encode_ff(px, bits),
+    "bmp": lambda px, bits, how: simple.encode_bmp(px, bits), "qoi": lambda px, bits, how: simple.encode_qoi(px, bits),
+    "tga": lambda px, bits, how: simple.encode_tga(px, bits), "pcx": lambda px, bits, how: simple.encode_pcx(px, bits), "ico": lambda px, bits, how: simple.encode_ico(px, bits),
+}
+
+
+def register(name: str, decoder: Callable[[bytes], Decoded] | None = None, encoder: Callable[[np.ndarray, int, Settings], bytes] | None = None) -> None:
+    """Adds or replaces a codec, say of an optional library. Workers import this module
+    anew, so a codec for them is registered by a module that they import too."""
+    if decoder:
+        DECODERS[name] = decoder
+    if encoder:
+        ENCODERS[name] = encoder
 
 
 def decode(data: bytes, explicit: str | None = None) -> tuple[str, Decoded]:
@@ -223,10 +76,7 @@ def decode(data: bytes, explicit: str | None = None) -> tuple[str, Decoded]:
     return name, DECODERS[name](data)
 
 
-def encode(name: str, px: np.ndarray, bits: int, level: int = 7, row_filter: str = "none", exif: bytes | None = None, icc: bytes | None = None) -> bytes:
-    if name == "png":
-        return encode_png(px, bits, level, row_filter, exif, icc)
-    writers = {"pnm": encode_pnm, "ff": encode_ff, "bmp": encode_bmp}
-    if name not in writers:
+def encode(name: str, px: np.ndarray, bits: int, settings: Settings = Settings()) -> bytes:
+    if name not in ENCODERS:
         raise CodecError(f"no encoder for {name.upper()} here")
-    return writers[name](px, bits)
+    return ENCODERS[name](px, bits, settings)

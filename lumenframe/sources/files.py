@@ -2,23 +2,59 @@
 
 from __future__ import annotations
 
+import os
+import re
+import sys
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.functions.raster import CHANNELS, narrow
+from lumenframe.functions.output import png_settings
+from lumenframe.functions.raster import CHANNELS, narrow, rgb8_maybe_alpha
 from lumenframe.sources import codecs
 
 DECODED = "orig_color_type string, format string, width long, height long, color_type string, exif binary, icc binary, px array<int>"
+STDIN = "-"
+
+
+def literal_path(path: str) -> str:
+    """A path for Spark's readers in which no character is a wildcard."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
 
+def absolute(path: str) -> str:
+    return path if re.match(r"[a-zA-Z][\w+.-]+:/", path) else os.path.abspath(path)
 
-def read_images(spark: SparkSession, paths: list[str], explicit: str | None = None) -> DataFrame:
-    """The canonical schema from files; ``seq`` follows the names' order."""
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+
+def read_images(spark: SparkSession, paths: list[str], explicit: str | None = None, first: int = 0) -> DataFrame:
+    """The canonical schema from files, in one scan; ``seq`` counts from ``first`` in the
+    order of ``paths``, and ``filename`` is the name as given. A name that is given
+    twice is two images. ``-`` is standard input, read on the driver."""
+    names = [(first + k, p, absolute(p)) for k, p in enumerate(paths) if p != STDIN]
+    parts = []
+    if names:
+        wanted = spark.createDataFrame(names, "seq long, filename string, key string")
+        files = spark.read.format("binaryFile").load([literal_path(p) for p in dict.fromkeys(key for *_, key in names)])
+        key = F.regexp_replace("path", "^file:/+", "/")
+        parts.append(files.select(key.alias("key"), "content").join(F.broadcast(wanted), "key").select("seq", "filename", "content"))
+    data = None
+    for k, p in enumerate(paths):
+        if p == STDIN:
+            data = sys.stdin.buffer.read() if data is None else b""
+            parts.append(spark.createDataFrame([(first + k, STDIN, data)], "seq long, filename string, content binary"))
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    return decoded(every, explicit)
+
+
+def decoded(files: DataFrame, explicit: str | None = None) -> DataFrame:
+    """The canonical schema of ``seq, filename, content``."""
 
     @F.pandas_udf(DECODED)
-    def decoded(content: pd.Series) -> pd.DataFrame:
+    def image(content: pd.Series) -> pd.DataFrame:
         rows = []
         for data in content:
             name, d = codecs.decode(data, explicit)
@@ -26,36 +62,42 @@ def read_images(spark: SparkSession, paths: list[str], explicit: str | None = No
             rows.append((d.orig, name, w, h, d.color_type, d.exif, d.icc, d.pixels.ravel().astype(np.int32)))
         return pd.DataFrame(rows, columns=[x.split()[0] for x in DECODED.split(", ")])
 
-    rows = files.select(F.xxhash64("path").alias("image_id"), F.col("path").alias("filename"), decoded("content").alias("d"))
-    return rows.select("image_id", F.lit(0).cast("long").alias("seq"), "filename", "d.*")
+    rows = files.select("seq", "filename", image("content").alias("d"))
+    return rows.select(F.xxhash64("filename", "seq").alias("image_id"), "seq", "filename", "d.*")
 
 
-def blank(spark: SparkSession) -> DataFrame:
+def blank(spark: SparkSession, first: int = 0) -> DataFrame:
     """The ``null:`` source: one black cell without a format."""
     return spark.range(1).select(
-        F.lit(0).cast("long").alias("image_id"), F.lit(0).cast("long").alias("seq"), F.lit("null:").alias("filename"), F.lit("Rgb8").alias("orig_color_type"),
+        F.lit(0).cast("long").alias("image_id"), F.lit(first).cast("long").alias("seq"), F.lit("null:").alias("filename"), F.lit("Rgb8").alias("orig_color_type"),
         F.lit(None).cast("string").alias("format"), F.lit(1).cast("long").alias("width"), F.lit(1).cast("long").alias("height"), F.lit("Rgb8").alias("color_type"),
         F.lit(None).cast("binary").alias("exif"), F.lit(None).cast("binary").alias("icc"), F.array(*[F.lit(0)] * 3).alias("px"),
     )
 
 
-def encoded(df: DataFrame, target: str, quality: float | None = None, strip_exif: bool = False, strip_icc: bool = False) -> DataFrame:
-    """Adds ``content``, the file's bytes; writers that store what they get are given
-    losslessly narrowed pixels first (PNG's own writer narrows precision too)."""
-    ready = narrow(df, precision=target == "png")
-    if quality is not None and quality < 0 and target == "png":
-        raise ValueError("PNG quality cannot be negative")
-    units, tens = (None, 7) if quality is None else (int(quality) % 10, min(int(quality) // 10, 9))
-    level = 1 if units in (8, 9) else tens
-    row_filter = {0: "none", 1: "sub"}.get(units, "up")
+def encoded(df: DataFrame, target: str | Column, quality: float | None = None, strip_exif: bool = False, strip_icc: bool = False) -> DataFrame:
+    """Adds ``content``, the file's bytes, in the format ``target`` (of each row).
+
+    PNG is narrowed with its precision, WebP gets three or four 8-bit channels, TIFF and
+    GIF are given the pixels as they are, and all others losslessly narrowed ones."""
+    held = df.withColumn("__target", F.lit(target) if isinstance(target, str) else target)
+    kind = F.col("__target")
+    if quality is not None and quality < 0:
+        held = held.withColumn("__target", F.when(kind == "png", F.raise_error(F.lit("PNG quality cannot be negative")).cast("string")).otherwise(kind))
+    ready = narrow(held, precision=kind == "png", wanted=~kind.isin("tiff", "gif", "webp"))
+    if not isinstance(target, str) or target == "webp":
+        ready = rgb8_maybe_alpha(ready, kind == "webp")
+    png = png_settings(F.lit(None if quality is None else max(0.0, float(quality))).cast("double"))
 
     @F.pandas_udf("binary")
-    def written(px: pd.Series, w: pd.Series, h: pd.Series, kind: pd.Series, exif: pd.Series, icc: pd.Series) -> pd.Series:
+    def written(px: pd.Series, w: pd.Series, h: pd.Series, kind: pd.Series, exif: pd.Series, icc: pd.Series, target: pd.Series, level: pd.Series, row_filter: pd.Series) -> pd.Series:
         out = []
-        for values, x, y, k, e, i in zip(px, w, h, kind, exif, icc, strict=True):
+        for values, x, y, k, e, i, t, n, f in zip(px, w, h, kind, exif, icc, target, level, row_filter, strict=True):
             image = np.asarray(values, np.int64).reshape(int(y), int(x), CHANNELS[k])
-            out.append(codecs.encode(target, image, 16 if k.endswith("16") else 8, level, row_filter, e, i))
-        return pd.Series(out)
+            settings = codecs.Settings(1 if n == "fast" else int(n), f, quality, e, i)
+            out.append(codecs.encode(t, image, 16 if k.endswith("16") else 8, settings))
+        return pd.Series(out, dtype=object)
 
     kept = lambda c, gone: F.lit(None).cast("binary") if gone else F.col(c)
-    return ready.withColumn("content", written("px", "width", "height", "color_type", kept("exif", strip_exif), kept("icc", strip_icc)))
+    content = written("px", "width", "height", "color_type", kept("exif", strip_exif), kept("icc", strip_icc), "__target", png["level"], png["row_filter"])
+    return ready.withColumn("content", content).drop("__target")
