@@ -1,29 +1,31 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 All steps are DataFrame functions. The test set's vocabulary is counted over the
-whole corpus; each test window is then looked up from its rarest term. The index
-stores the positional postings of those terms, ``term, row, doc_id, pos, near``:
-``near`` holds the places around the posting, which are the other terms' postings
-shifted by their offsets, so that lists are intersected where they lie and no
-posting of a frequent term is ever moved. A phrase match is a run of equal terms
-through the posting as long as the test window; a proximity match is all of the
-window's terms within a distance, in any order.
+whole corpus; each distinct test window is then looked up from its rarest term. The
+index stores the positional postings of those terms, ``term, row, doc_id, pos, before,
+after``: the places around a posting, which are the other terms' postings shifted by
+their offsets, so that lists are intersected where they lie and no posting of a
+frequent term is ever moved. A phrase match is a window that fits around its rarest
+term; a proximity match is all of a window's terms within a distance, in any order.
 
 The corpus is read twice, both times narrow: counts are summed before the one
 shuffle of at most a row a term and task, and the index takes only postings of
-rarest terms. The test side is broadcast while it has at most ``broadcast_rows``
-rows, and joined by shuffle beyond that.
-
-Defined results: null or blank texts have no words and no hits; repeated rows are
-judged one by one (``row`` tells them apart); test items without words match
-nothing; items with equal item_id count once; empty tables give no hits.
+rarest terms. Equal windows are one, however many items share them; items are put to
+the matches afterwards. The test side is broadcast while its bytes are counted to be
+at most ``broadcast_bytes``, and joined by shuffle beyond that; then a document's
+words stay in its one row and only places travel.
+
+Defined results: null or blank texts have no words and no hits; a text of any length
+is read whole; repeated rows are judged one by one (``row`` tells them apart); test
+items without words match nothing; items with equal item_id count once; empty tables
+give no hits; extra columns are not read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import stored
@@ -40,7 +42,7 @@ class Phrases:
     """``window`` words are a test window; a shorter item is one window."""
 
     window: int = 13
-    broadcast_rows: int = 200_000
+    broadcast_bytes: int = 32 << 20
 
 
 def ascii_lower(word: Column) -> Column:
@@ -54,9 +56,15 @@ def word_list(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN), "")
 
 
+def fits(df: DataFrame, how: Phrases) -> bool:
+    """Whether the rows of a stored table are few enough bytes to be broadcast."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 32)).first()[0]
+    return (size or 0) <= how.broadcast_bytes
+
+
 def small(df: DataFrame, how: Phrases) -> DataFrame:
-    """``df`` marked for broadcast if it has few enough rows, else as it is."""
-    return F.broadcast(df) if df.limit(how.broadcast_rows + 1).count() <= how.broadcast_rows else df
+    """A stored table, marked for broadcast if it fits, else as it is."""
+    return F.broadcast(df) if fits(df, how) else df
 
 
 def test_words(benchmark: DataFrame) -> DataFrame:
@@ -73,37 +81,47 @@ def term_counts(docs: DataFrame, tests: DataFrame, how: Phrases) -> DataFrame:
     return stored(words.join(small(vocabulary, how), "term").groupBy("term").agg(F.count("*").alias("tf")), "term-counts")
 
 
-def rarest_terms(tests: DataFrame, counts: DataFrame, how: Phrases) -> DataFrame:
-    """``term, item, item_id, need, before, after``: a row for each place in an item
-    that is the rarest of some window. ``before`` runs backwards from the place,
-    ``after`` forwards, both within a window's reach. Windows with a term that the
-    corpus lacks are left out, as they stand nowhere in it."""
-    size = how.window
-    places = tests.select("item", "item_id", "words", F.posexplode("words").alias("pos", "term"))
-    known = places.join(counts, "term", "left").select("item", "pos", "term", F.coalesce("tf", F.lit(0)).alias("tf"))
+@dataclass(frozen=True)
+class Windows:
+    """``rare``: term, w, before, after of each distinct window, ``before`` running backwards
+    from its rarest term; ``items``: w, item_id."""
+
+    rare: DataFrame
+    items: DataFrame
+
+
+def rarest_terms(tests: DataFrame, counts: DataFrame, how: Phrases) -> Windows:
+    """The distinct windows of the test items from their rarest terms. Windows with a
+    term that the corpus lacks are left out, as they stand nowhere in it."""
     n = F.size("words")
-    windows = tests.select("item", F.explode(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)))).alias("begin"), F.least(n, F.lit(size)).alias("need"))
-    inside = windows.select("item", "begin", F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("need") - 1)).alias("pos"))
-    first = inside.join(known, ["item", "pos"]).groupBy("item", "begin").agg(F.min(F.struct("tf", "term", "pos")).alias("rare"))
-    chosen = first.where("rare.tf > 0").select("item", F.col("rare.pos").alias("pos")).distinct()
-    whole = chosen.join(tests, "item")
-    reach = size - 1
-    before = F.reverse(F.expr(f"slice(words, greatest(pos - {reach}, 0) + 1, least(pos, {reach}))"))
-    after = F.expr(f"slice(words, pos + 2, {reach})")
-    return stored(
-        whole.select(F.expr("words[pos]").alias("term"), "item", "item_id", F.least(n, F.lit(size)).alias("need"), before.alias("before"), after.alias("after")),
-        "rarest-terms",
-    )
+    begins = F.explode(F.sequence(F.lit(0), F.greatest(n - how.window, F.lit(0))))
+    each = tests.select("item_id", "words", begins.alias("begin")).select("item_id", F.expr(f"slice(words, begin + 1, {how.window})").alias("words"))
+    each = stored(each.distinct(), "item-windows")
+    found = each.select("words").distinct().select(F.monotonically_increasing_id().alias("w"), "words")
+    windows = stored(found, "windows")
+    known = windows.select("w", F.posexplode("words").alias("at", "term")).join(counts, "term", "left")
+    rare = known.groupBy("w").agg(F.min(F.struct(F.coalesce("tf", F.lit(0)).alias("tf"), "term", "at")).alias("rare")).where("rare.tf > 0")
+    whole = windows.join(rare, "w").select("w", "words", F.col("rare.term").alias("term"), F.col("rare.at").alias("at"))
+    before, after = F.reverse(F.expr("slice(words, 1, at)")), F.expr("slice(words, at + 2, size(words))")
+    chosen = stored(whole.select("term", "w", before.alias("before"), after.alias("after")), "rarest-terms")
+    return Windows(chosen, stored(each.join(windows, "words").select("w", "item_id"), "windows-of-items"))
 
 
 def positional_index(docs: DataFrame, terms: DataFrame, how: Phrases, reach: int) -> DataFrame:
     """The stored postings of ``terms`` (and of END, one a document, whose place is
     the document's number of words)."""
+    listed = stored(terms.select("term").distinct().unionByName(docs.sparkSession.range(1).select(F.lit(END).alias("term"))), "terms")
     own = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", word_list(F.col("text")).alias("words"))
-    each = own.select("row", "doc_id", "words", F.posexplode(F.array_append("words", F.lit(END))).alias("pos", "word"))
-    each = each.select("row", "doc_id", "words", "pos", ascii_lower(F.col("word")).alias("term"))
-    listed = terms.select("term").distinct().unionByName(docs.sparkSession.range(1).select(F.lit(END).alias("term")))
-    postings = each.join(small(listed, how), "term")
+    if fits(listed, how):
+        each = own.select("row", "doc_id", "words", F.posexplode(F.array_append("words", F.lit(END))).alias("pos", "word"))
+        postings = each.withColumn("term", ascii_lower(F.col("word"))).join(F.broadcast(listed), "term")
+    else:
+        # Only places travel to the terms; back at their document they find its words.
+        own = stored(own, "words")
+        each = own.select("row", F.posexplode(F.array_append("words", F.lit(END))).alias("pos", "word"))
+        places = each.select("row", "pos", ascii_lower(F.col("word")).alias("term")).join(listed, "term")
+        places = places.groupBy("row").agg(F.collect_list(F.struct("pos", "term")).alias("places"))
+        postings = own.join(places, "row").select("row", "doc_id", "words", F.inline("places"))
     before = F.expr(f"slice(words, greatest(pos - {reach}, 0) + 1, least(pos, {reach}))")
     after = F.expr(f"slice(words, pos + 2, {reach})")
     is_end = F.col("term") == END
@@ -114,22 +132,20 @@ def positional_index(docs: DataFrame, terms: DataFrame, how: Phrases, reach: int
     )
 
 
-def run_length(mine: Column, theirs: Column) -> Column:
-    """How many leading entries of two lists are equal."""
-    same = F.zip_with(mine, theirs, lambda a, b: F.coalesce(a == b, F.lit(False)))
-    differs = F.array_position(same, F.lit(False))
-    return F.when(differs == 0, F.size(same)).otherwise(differs.cast("int") - 1)
-
-
-def phrase_matches(index: DataFrame, tests: DataFrame, how: Phrases) -> DataFrame:
-    """``row, item_id, begin, end``: places of a document inside exact test windows."""
-    test = small(tests.select("term", "item_id", "need", F.col("before").alias("test_before"), F.col("after").alias("test_after")), how)
-    met = index.join(test, "term")
+def phrase_matches(index: DataFrame, windows: Windows, how: Phrases) -> DataFrame:
+    """``row, w, begin, end``: places of a document where a whole test window stands."""
+    test = windows.rare.select("term", "w", F.col("before").alias("left"), F.col("after").alias("right"))
+    met = index.where(F.col("term") != END).join(small(test, how), "term")
+    # Most postings fail at their neighbours, which are compared before whole sides.
+    next_ = (F.size("right") == 0) | F.coalesce(ascii_lower(F.get("after", F.lit(0))) == F.get("right", F.lit(0)), F.lit(False))
+    last = F.element_at("before", -1)
+    previous = (F.size("left") == 0) | F.coalesce(ascii_lower(F.when(F.size("before") > 0, last)) == F.get("left", F.lit(0)), F.lit(False))
     lowered = lambda c: F.transform(c, ascii_lower)
-    left = run_length(F.reverse(lowered(F.col("before"))), F.col("test_before"))
-    right = run_length(lowered(F.col("after")), F.col("test_after"))
-    runs = met.select("row", "item_id", "pos", "need", left.alias("left"), right.alias("right"))
-    return runs.where("1 + left + right >= need").select("row", "item_id", (F.col("pos") - F.col("left")).alias("begin"), (F.col("pos") + F.col("right") + 1).alias("end"))
+    behind = lowered(F.slice(F.reverse("before"), F.lit(1), F.size("left"))) == F.col("left")
+    ahead = lowered(F.slice("after", F.lit(1), F.size("right"))) == F.col("right")
+    hits = met.where(next_ & previous).where(behind & ahead)
+    begin = F.col("pos") - F.size("left")
+    return hits.select("row", "w", begin.alias("begin"), (F.col("pos") + F.size("right") + 1).alias("end"))
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, distance: int, how: Phrases = Phrases()) -> DataFrame:
@@ -143,9 +159,10 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, distance: int, how:
     counts = term_counts(docs, tests, how)
     rare = windows.select("w", F.explode("wanted").alias("term")).join(counts, "term").groupBy("w").agg(F.min(F.struct("tf", "term")).alias("rare"))
     wanted = windows.join(rare, "w").select(F.col("rare.term").alias("term"), "item_id", "wanted")
+    wanted = stored(wanted, "wanted")
     index = positional_index(docs, wanted, how, distance)
     near = F.concat(F.transform("before", ascii_lower), F.array("term"), F.transform("after", ascii_lower))
-    met = index.join(small(stored(wanted, "windows"), how), "term")
+    met = index.join(small(wanted, how), "term")
     return met.where(F.size(F.array_except("wanted", near)) == 0).select("doc_id", "item_id", "pos").distinct()
 
 
@@ -163,12 +180,13 @@ def covered(spans: Column) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame, how: Phrases = Phrases()) -> DataFrame:
     """``row, doc_id, n_words, n_hit, items`` per row of ``docs``; items are sorted ids."""
     tests = test_words(benchmark)
-    rare = rarest_terms(tests, term_counts(docs, tests, how), how)
-    index = positional_index(docs, rare, how, how.window - 1)
-    hits = phrase_matches(index, rare, how)
-    found = hits.groupBy("row").agg(F.collect_set(F.struct("begin", "end")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    windows = rarest_terms(tests, term_counts(docs, tests, how), how)
+    index = positional_index(docs, windows.rare, how, how.window - 1)
+    hits = stored(phrase_matches(index, windows, how), "hits")
+    spans = hits.groupBy("row").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    items = hits.select("row", "w").distinct().join(small(windows.items, how), "w").groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     every = index.where(F.col("term") == END).select("row", "doc_id", F.col("pos").cast("long").alias("n_words"))
-    return every.join(found, "row", "left").select(
+    return every.join(spans.join(items, "row"), "row", "left").select(
         "row", "doc_id", "n_words", F.coalesce(covered(F.col("spans")), F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )

@@ -97,7 +97,7 @@ def fill_cache(docs: DataFrame, tokenizer: str, cache_path: str) -> DataFrame:
     if known is not None:
         distinct = distinct.join(known, "content", "left_anti")
     added = cache.append(encoded_lengths(distinct, tokenizer), tokenizer_version)
-    return added if known is None else known.unionByName(added).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    return added if known is None else known.unionByName(added)  # no digest is in both
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str | None = None) -> DataFrame:

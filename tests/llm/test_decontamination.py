@@ -36,7 +36,7 @@ def test_against_brute_force(spark):
     docs = [(k, text(rng.randint(0, 60))) for k in range(50)] + [(1, "a b"), (None, text(30)), (70, None), (71, "")]
     d = spark.createDataFrame([(*r, "x", 1) for r in docs], "doc_id long, text string, term string, pos int").repartition(3)
     b = spark.createDataFrame(items, "item_id long, text string")
-    for how in (Phrases(4), Phrases(4, broadcast_rows=0), Phrases(13)):
+    for how in (Phrases(4), Phrases(4, broadcast_bytes=0), Phrases(13)):
         got = [(r.doc_id, r.n_words, r.n_hit, ",".join(r["items"])) for r in contamination(d, b, how).collect()]
         assert sorted(got, key=str) == sorted(brute(docs, items, how.window), key=str)
 
@@ -54,3 +54,39 @@ def test_proximity(spark):
     d = spark.createDataFrame([(1, "x beta y Alpha z"), (2, "alpha q q q q q beta")], "doc_id long, text string")
     b = spark.createDataFrame([(9, "alpha beta")], "item_id long, text string")
     assert {r.doc_id for r in proximity_matches(d, b, 3).collect()} == {1}
+
+
+def test_proximity_against_brute_force(spark):
+    rng = random.Random(3)
+    vocab = ["a", "b", "c", "d", "e", "f", "G"]
+    docs = [(k, " ".join(rng.choices(vocab, k=rng.randint(0, 40)))) for k in range(40)]
+    items = [(k, " ".join(rng.sample(vocab, rng.randint(1, 4)))) for k in range(8)]
+    counts = {}
+    for _, t in docs:
+        for w in words(t):
+            counts[w] = counts.get(w, 0) + 1
+    want = set()
+    for i, t in items:
+        asked = set(words(t))
+        if not all(w in counts for w in asked):
+            continue
+        rare = min(asked, key=lambda w: (counts[w], w))
+        for j, d in docs:
+            own = words(d)
+            for p, w in enumerate(own):
+                if w == rare and asked <= set(own[max(0, p - 3) : p + 4]):
+                    want.add((j, str(i), p))
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for how in (Phrases(), Phrases(broadcast_bytes=0)):
+        assert {(r.doc_id, r.item_id, r.pos) for r in proximity_matches(d, b, 3, how).collect()} == want
+
+
+def test_shared_windows_and_long_texts(spark):
+    """Many items of the same words are one window; a text of a million words is read whole."""
+    passage = " ".join(f"p{k}" for k in range(20))
+    docs = [(1, "x " * 1_000_000 + passage), (2, "x " * 50), (1, passage)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(k, passage) for k in range(300)] + [(900, "x")], "item_id long, text string")
+    got = sorted((r.n_words, r.n_hit, len(r["items"])) for r in contamination(d, b).collect())
+    assert got == [(20, 20, 300), (50, 50, 1), (1_000_020, 1_000_020, 301)]
