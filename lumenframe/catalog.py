@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from lumenframe.functions import geometry, identify, output, raster
 from lumenframe.functions.geometry import Crop, ResizeTarget
 from lumenframe.operators import kernels, monochrome
 from lumenframe.operators.combine import combine
+from lumenframe.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,10 +28,8 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grouped(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    """Images with the number of their set of n; incomplete sets are left out."""
-    own = images(spark, sf_dir).withColumn("grp", F.floor(F.col("image_id") / n))
-    whole = own.groupBy("grp").count().where(F.col("count") == n).select("grp")
-    return own.join(whole, "grp")
+    """Images with the number of their set of n; the last set may have fewer."""
+    return images(spark, sf_dir).withColumn("grp", F.floor(F.col("image_id") / n))
 
 
 def rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,10 +58,16 @@ PIX = """pix AS (SELECT vec_id AS image_id, i // 8 AS y, i % 8 AS x, 0 AS c,
 
 
 def pix_of(n: int) -> str:
-    """Sets of n images as one of n channels."""
+    """Sets of n images as one of three channels, or of four if a set has four; channels
+    that a set lacks are 0."""
     return f"""{PIX.replace("pix AS", "one AS")},
-    whole AS (SELECT vec_id // {n} AS g FROM embeddings GROUP BY 1 HAVING count(*) = {n}),
-    pix AS (SELECT g * {n} AS image_id, y, x, image_id - g * {n} AS c, v FROM one JOIN whole ON image_id // {n} = g)"""
+    sets AS (SELECT vec_id // {n} AS g, count(*) AS m FROM embeddings GROUP BY 1),
+    pix AS (SELECT g * {n} AS image_id, cy.y, cx.x, k AS c, coalesce(v, 0) AS v
+            FROM sets CROSS JOIN range(4) r(k) CROSS JOIN range(8) cy(y) CROSS JOIN range(8) cx(x)
+            LEFT JOIN one ON one.image_id = g * {n} + k AND k < {n} AND one.y = cy.y AND one.x = cx.x WHERE k < CASE WHEN m > 3 THEN 4 ELSE 3 END)"""
+
+
+RGB_OR_RGBA = "CASE WHEN max(c) = 3 THEN 'Rgba8' ELSE 'Rgb8' END"
 
 
 def listed(select: str, w: str = "8", h: str = "8", kind: str = "'L8'", source: str = PIX) -> str:
@@ -206,7 +212,7 @@ def geometry_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- gathers and pointwise ---------------------------------------------------
 
 pixel_query("negate", raster.negate, listed("SELECT image_id, y, x, c, 255 - v AS v FROM pix"))
-pixel_query("negate_rgba", raster.negate, listed("SELECT image_id, y, x, c, CASE WHEN c = 3 THEN v ELSE 255 - v END AS v FROM pix", kind="'Rgba8'", source=pix_of(4)), rgba)
+pixel_query("negate_rgba", raster.negate, listed("SELECT image_id, y, x, c, CASE WHEN c = 3 THEN v ELSE 255 - v END AS v FROM pix", kind=RGB_OR_RGBA, source=pix_of(4)), rgba)
 pixel_query("flip", raster.flip, listed("SELECT image_id, 7 - y AS y, x, c, v FROM pix"))
 pixel_query("flop", raster.flop, listed("SELECT image_id, y, 7 - x AS x, c, v FROM pix"))
 pixel_query("crop", lambda d: raster.crop(d, Crop.parse("5x4+2+3")), listed("SELECT image_id, y - 3 AS y, x - 2 AS x, c, v FROM pix WHERE x BETWEEN 2 AND 6 AND y BETWEEN 3 AND 6", "5", "4"))
@@ -223,7 +229,7 @@ pixel_query(
     "grayscale_rgba", raster.grayscale,
     listed(
         """SELECT image_id, y, x, 0 AS c, CAST(sum(v * CASE c WHEN 0 THEN 2126 WHEN 1 THEN 7152 ELSE 722 END) AS BIGINT) // 10000 AS v FROM pix WHERE c < 3 GROUP BY ALL
-        UNION ALL SELECT image_id, y, x, 1, v FROM pix WHERE c = 3""", kind="'La8'", source=pix_of(4)), rgba,
+        UNION ALL SELECT image_id, y, x, 1, v FROM pix WHERE c = 3""", kind="CASE WHEN max(c) = 1 THEN 'La8' ELSE 'L8' END", source=pix_of(4)), rgba,
 )
 
 
@@ -250,17 +256,32 @@ query(
 # --- combine ------------------------------------------------------------------
 
 pixel_query("combine_rgb", lambda d: d, listed("SELECT * FROM pix", kind="'Rgb8'", source=pix_of(3)), rgb)
-pixel_query("combine_rgba_fallback", lambda d: d, listed("SELECT * FROM pix", kind="'Rgba8'", source=pix_of(4)), rgba)
+pixel_query("combine_rgba_fallback", lambda d: d, listed("SELECT * FROM pix", kind=RGB_OR_RGBA, source=pix_of(4)), rgba)
 pixel_query("combine_gray", lambda d: combine(d.withColumn("grp", F.col("image_id")), "grp", "L8", False), listed("SELECT * FROM pix"))
 pixel_query(
     "combine_partial_channels", lambda d: combine(d, "grp", "Rgb8"),
-    listed("SELECT * FROM pix UNION ALL SELECT image_id, y, x, 2, 0 FROM pix WHERE c = 0", kind="'Rgb8'", source=pix_of(2)), lambda s, d: grouped(s, d, 2),
+    listed("SELECT * FROM pix", kind="'Rgb8'", source=pix_of(2)), lambda s, d: grouped(s, d, 2),
+)
+
+
+
+
+def unequal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of three of which the second is 5x4."""
+    own = grouped(spark, sf_dir, 3)
+    second = F.col("image_id") % 3 == 1
+    return own.where(~second).unionByName(raster.crop(own.where(second), Crop(5, 4)))
+
+
+pixel_query(
+    "combine_unequal", lambda d: combine(d, "grp", "Rgb8"),
+    listed("SELECT image_id, y, x, c, CASE WHEN c = 1 AND (x >= 5 OR y >= 4) THEN 0 ELSE v END AS v FROM pix", kind="'Rgb8'", source=pix_of(3)), unequal,
 )
 
 
 @query(
     "combine_metadata",
-    "SELECT min(vec_id) AS image_id, 'img/' || min(vec_id) || '.png' AS filename, 'png' AS format, 'L8' AS orig_color_type FROM embeddings GROUP BY vec_id // 3 HAVING count(*) = 3",
+    "SELECT min(vec_id) AS image_id, 'img/' || min(vec_id) || '.png' AS filename, 'png' AS format, 'L8' AS orig_color_type FROM embeddings GROUP BY vec_id // 3",
 )
 def combine_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rgb(spark, sf_dir).select("image_id", "filename", "format", "orig_color_type")
@@ -366,6 +387,56 @@ query(
            string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY y, x, c) AS px FROM res GROUP BY image_id, opaque, gray, eight""",
 )(lambda spark, sf_dir: shown(raster.narrow(wide(spark, sf_dir), precision=True)))
 
+query(
+    "narrow_keeps_precision",
+    f"""WITH {WIDE}, {FLAGS_SQL},
+    res AS (SELECT image_id, y, x, c, v, opaque, gray FROM pix JOIN f USING (image_id) JOIN gr USING (image_id) WHERE NOT (gray AND c IN (1, 2)) AND NOT (opaque AND c = 3))
+    SELECT image_id, CAST(8 AS BIGINT) AS width, CAST(8 AS BIGINT) AS height,
+           CASE WHEN gray AND opaque THEN 'L16' WHEN gray THEN 'La16' WHEN opaque THEN 'Rgb16' ELSE 'Rgba16' END AS color_type,
+           string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY y, x, c) AS px FROM res GROUP BY image_id, opaque, gray""",
+)(lambda spark, sf_dir: shown(raster.narrow(wide(spark, sf_dir))))
+query(
+    "rgb8_maybe_alpha",
+    f"""WITH {WIDE}, {FLAGS_SQL},
+    res AS (SELECT image_id, y, x, c, (v + 128) // 257 AS v, opaque FROM pix JOIN f USING (image_id) WHERE NOT (opaque AND c = 3))
+    SELECT image_id, CAST(8 AS BIGINT) AS width, CAST(8 AS BIGINT) AS height, CASE WHEN opaque THEN 'Rgb8' ELSE 'Rgba8' END AS color_type,
+           string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY y, x, c) AS px FROM res GROUP BY image_id, opaque""",
+)(lambda spark, sf_dir: shown(raster.rgb8_maybe_alpha(wide(spark, sf_dir))))
+
+# --- codecs: what is read from the bytes that were written ------------------------
+
+
+def through(kind: str) -> Callable[[DataFrame], DataFrame]:
+    """Encodes images as ``kind`` and decodes those bytes."""
+
+    def work(df: DataFrame) -> DataFrame:
+        made = files.encoded(df, kind).select("image_id", "seq", "filename", "content")
+        back = files.decoded(made.select("seq", "filename", "content"))
+        return back.withColumn("image_id", F.col("seq"))
+
+    return work
+
+
+GRAY_AS = {
+    "L8": "SELECT * FROM pix", "Rgb8": "SELECT image_id, y, x, k AS c, v FROM pix CROSS JOIN range(3) r(k)",
+    "Rgba8": "SELECT image_id, y, x, k AS c, CASE WHEN k = 3 THEN 255 ELSE v END AS v FROM pix CROSS JOIN range(4) r(k)",
+    "Rgba16": "SELECT image_id, y, x, k AS c, CASE WHEN k = 3 THEN 65535 ELSE v * 257 END AS v FROM pix CROSS JOIN range(4) r(k)",
+}
+CODECS = {"png": "L8", "tiff": "L8", "pnm": "L8", "tga": "L8", "gif": "Rgba8", "qoi": "Rgb8", "bmp": "Rgb8", "pcx": "Rgb8", "ico": "Rgba8", "ff": "Rgba16"}
+for _format, _kind in CODECS.items():
+    pixel_query(f"codec_{_format}", through(_format), listed(GRAY_AS[_kind], kind=f"'{_kind}'"))
+pixel_query("codec_tiff_rgba", through("tiff"), listed("SELECT * FROM pix", kind=RGB_OR_RGBA, source=pix_of(4)), rgba)
+
+
+@query("codec_jpeg_error", "SELECT vec_id AS image_id, true AS close FROM embeddings")
+def codec_jpeg_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each cell of a JPEG of quality 100 is within 3 of what was written."""
+    own = images(spark, sf_dir)
+    back = files.decoded(files.encoded(own, "jpeg", 100.0).select("seq", "filename", "content")).select("seq", F.col("px").alias("read"))
+    off = F.exists(F.zip_with("px", "read", lambda a, b: F.abs(a - b)), lambda d: d > 3)
+    return own.join(back, "seq").select("image_id", (~off).alias("close"))
+
+
 # --- kernels ---------------------------------------------------------------------
 
 RESIZES = {"scale_box": ("3x5!", "Box"), "resize_triangle": ("5x3!", "Bilinear"), "resize_mitchell": ("12x10!", "MitchellNetravalli"), "resize_lanczos3": ("4x4!", "Lanczos3"), "resize_catmull": ("6x9!", "CatmullRom"), "resize_hamming": ("7x2!", "Hamming")}
@@ -378,6 +449,19 @@ for _name, (_geom, _kernel) in RESIZES.items():
 _lanczos = kernels.resample_weights(8, 4, "Lanczos3")
 pixel_query("resize_default_filter", lambda d: kernels.resize(d, ResizeTarget.parse("50%")), separable_sql([(_lanczos, _lanczos)], w=4, h=4))
 pixel_query("thumbnail", lambda d: kernels.thumbnail(d, ResizeTarget.parse("4x4")), separable_sql([(_lanczos, _lanczos)], w=4, h=4))
+# Colours are weighed by alpha where alpha varies.
+_mitchell = kernels.resample_weights(8, 11, "MitchellNetravalli")
+pixel_query(
+    "resize_rgba", lambda d: kernels.resize(d, ResizeTarget.parse("11x11!"), "MitchellNetravalli"),
+    separable_sql(
+        [(_mitchell, _mitchell)], w=11, h=11, kind=RGB_OR_RGBA,
+        source=pix_of(4).replace("pix AS", "raw AS") + """,
+        alpha AS (SELECT image_id, y, x, v AS a, min(v) OVER (PARTITION BY image_id) <> max(v) OVER (PARTITION BY image_id) AS mix FROM raw WHERE c = 3),
+        pix AS (SELECT image_id, y, x, c, CASE WHEN mix AND c < 3 THEN (v * a + 127) // 255 ELSE v END AS v FROM raw LEFT JOIN alpha USING (image_id, y, x))""",
+        after="""SELECT o.image_id, o.y, o.x, o.c, CASE WHEN mixed.image_id IS NULL OR o.c = 3 THEN o.v WHEN a.v > 0 THEN least((o.v * 255 + a.v // 2) // a.v, 255) ELSE 0 END AS v
+        FROM {last} o LEFT JOIN {last} a ON a.image_id = o.image_id AND a.y = o.y AND a.x = o.x AND a.c = 3
+        LEFT JOIN (SELECT DISTINCT image_id FROM alpha WHERE mix) mixed ON mixed.image_id = o.image_id"""), rgba,
+)
 _gauss = kernels.gaussian_weights(1.5, 8)
 pixel_query("gaussian_blur", lambda d: kernels.gaussian_blur(d, 1.5), separable_sql([(_gauss, _gauss)]))
 _box = kernels.box_weights(kernels.box_radius(2.0), 8)
@@ -426,10 +510,42 @@ pixel_query(
         "SELECT image_id, y, x, c, CASE WHEN high - low < 1 THEN v ELSE floor(least(greatest((v - low) / (high - low) * 255.0, 0), 255)) END AS v FROM pix JOIN cen USING (image_id)",
         source=f"{PIX}, {CENTROIDS}").replace("WITH", "WITH RECURSIVE", 1),
 )
+
+
+def monochrome_sql() -> str:
+    """Diffusion cell by cell, in the same 32-bit steps; the noise is the tile's upper left."""
+    noise = (monochrome.noise_tile()[:8, :8].astype("float32") / np.float32(255) - np.float32(0.5)).ravel()
+    listed_noise = ", ".join(f"CAST('{x!r}' AS FLOAT)" for x in map(float, noise))
+    f = lambda x: f"CAST({x} AS FLOAT)"
+    jitter = f"n[k + 1] * {f(100)} * ({f(1)} - least({f(1)}, abs(CAST(px[k + 1] AS FLOAT) - {f(127.5)}) / {f(127.5)}))"
+    return f"""WITH RECURSIVE {PIX}, {CENTROIDS},
+    rem AS (SELECT image_id, y, x, CAST(CASE WHEN high - low < 1 THEN v ELSE floor(least(greatest((v - low) / (high - low) * 255.0, 0), 255)) END AS INTEGER) AS v FROM pix JOIN cen USING (image_id)),
+    start AS (SELECT image_id, list(v ORDER BY y, x) AS px, [{listed_noise}] AS n FROM rem GROUP BY image_id),
+    d AS (SELECT image_id, px, n, 0 AS k, list_transform(range(91), lambda z: {f(0)}) AS e, CAST([] AS INTEGER[]) AS o FROM start UNION ALL
+        SELECT image_id, px, n, k + 1, list_transform(e, lambda q, z: CASE z WHEN place + 1 THEN q + rest * {f(0.5)} WHEN place + 9 THEN q + rest * {f(0.25)} WHEN place + 10 THEN q + rest * {f(0.25)} ELSE q END),
+            list_append(o, new)
+        FROM (SELECT *, here - CAST(new AS FLOAT) AS rest FROM (SELECT *, CASE WHEN here > edge THEN 255 ELSE 0 END AS new FROM (
+            SELECT *, CAST(px[k + 1] AS FLOAT) + e[place] AS here, {f(127.5)} + {jitter} AS edge FROM (SELECT *, (k // 8) * 10 + k % 8 + 2 AS place FROM d WHERE k < 64))))),
+    out AS (SELECT image_id, o FROM d WHERE k = 64)
+    SELECT image_id, CAST(8 AS BIGINT) AS width, CAST(8 AS BIGINT) AS height, 'L8' AS color_type, array_to_string(o, ',') AS px FROM out"""
+
+
 pixel_query("monochrome", monochrome.monochrome, None)
+#: SQL that takes seconds to make, made when it is asked for.
+LATER: dict[str, Callable[[], str]] = {"monochrome": monochrome_sql}
+
 
+def oracles() -> dict[str, str]:
+    """The SQL of every query."""
+    return ORACLES | {k: make() for k, make in LATER.items()}
 
-@query("constant_alpha", f"WITH {pix_of(4)} SELECT image_id, min(v) = max(v) AS steady, min(v) = 255 AS opaque FROM pix WHERE c = 3 GROUP BY image_id")
+
+
+@query(
+    "constant_alpha",
+    f"""WITH {pix_of(4)} SELECT image_id, coalesce(min(v) FILTER (WHERE c = 3) = max(v) FILTER (WHERE c = 3), true) AS steady,
+        coalesce(min(v) FILTER (WHERE c = 3) = 255, true) AS opaque FROM pix GROUP BY image_id""",
+)
 def constant_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rgba(spark, sf_dir).select("image_id", raster.constant_alpha().alias("steady"), raster.is_opaque().alias("opaque"))
 
