@@ -33,6 +33,8 @@ from lumenframe.llm.common import bounded, fresh_path, stored
 
 VERSION, EOL = b"WARC/1.1", b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: An own field: the payload's length, which a revisit would else have to ask of its response.
+LENGTH = "X-Payload-Length"
 #: Records carry a fixed date, so that equal inputs give equal archives.
 DATE = "2024-01-01T00:00:00Z"
 
@@ -59,7 +61,7 @@ def header_value(text: str | None) -> str:
 def page_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     headers = [
         ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"), ("WARC-Date", DATE),
-        ("WARC-Target-URI", header_value(url)), ("WARC-Payload-Digest", f"sha256:{digest}"),
+        ("WARC-Target-URI", header_value(url)), ("WARC-Payload-Digest", f"sha256:{digest}"), (LENGTH, str(len(payload))),
     ]
     if refers_to is None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
@@ -227,11 +229,21 @@ def offset_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STORED).parquet(path).where("kind = 'index'").select("path", "record_id", "type", "offset", "size")
 
 
-def read_pages(archives: DataFrame, index: DataFrame) -> DataFrame:
-    """``page_id, url, type, digest, refers_to, payload`` per page record of ``index``, each
-    read alone at its offset; a response's payload must match its digest."""
-    names = ["page_id", "url", "type", "digest", "refers_to", "payload"]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+def read_pages(archives: DataFrame, index: DataFrame, with_payloads: bool = True) -> DataFrame:
+    """``page_id, url, type, digest, refers_to, payload_bytes, payload`` per page record of
+    ``index``, each read alone at its offset; a response's payload must match its digest.
+    ``payload_bytes`` is the whole payload's, for a revisit as its record says."""
+    names = ["page_id", "url", "type", "digest", "refers_to", "payload_bytes", "payload"]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+
+    if not with_payloads:
+        names, kinds = names[:-1], kinds[:-1]
+
+    def size_of(headers: dict[str, str], payload: bytes | None) -> int | None:
+        said = headers.get(LENGTH.lower())
+        if payload is not None and said not in (None, str(len(payload))):
+            raise Damaged(f"length of {headers['warc-record-id']}")
+        return len(payload) if payload is not None else None if said is None else int(said)
 
     def number(urn: str | None) -> int | None:
         m = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
@@ -248,7 +260,7 @@ def read_pages(archives: DataFrame, index: DataFrame) -> DataFrame:
                     payload = block.partition(EOL + EOL)[2] if kind == "response" else None
                     if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
                         raise Damaged(f"payload of {headers['warc-record-id']}")
-                    rows.append((number(headers["warc-record-id"]), headers["warc-target-uri"], kind, digest, number(headers.get("warc-refers-to")), payload))
+                    rows.append((number(headers["warc-record-id"]), headers["warc-target-uri"], kind, digest, number(headers.get("warc-refers-to")), size_of(headers, payload), *([payload] if with_payloads else [])))
                     if len(rows) >= 1000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                         rows = []
@@ -259,20 +271,16 @@ def read_pages(archives: DataFrame, index: DataFrame) -> DataFrame:
     pages = index.where("type in ('response', 'revisit')")
     seeks = pages.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("offset", "size", "type"))).alias("seeks"))
     own = archives.join(seeks, "path").select("content", "seeks")
-    return own.mapInArrow(run, "page_id long, url string, type string, digest string, refers_to long, payload binary")
+    schema = "page_id long, url string, type string, digest string, refers_to long, payload_bytes long"
+    return own.mapInArrow(run, schema + ", payload binary" * with_payloads)
 
 
 def round_trip(pages: DataFrame, path: str | None = None, how: Archives = Archives()) -> DataFrame:
     """Write, normalise and read back: ``page_id, payload_bytes, payload_digest,
-    record_type, refers_to``. A revisit's length is its response's."""
+    record_type, refers_to``."""
     spark = pages.sparkSession
     where = path or fresh_path(spark, "warc")
     write_archives(pages, f"{where}/streams", how)
     normalise(spark.read.parquet(f"{where}/streams"), f"{where}/records", how.level)
-    read = read_pages(stored_archives(spark, f"{where}/records"), offset_index(spark, f"{where}/records"))
-    short = read.select("page_id", "type", "digest", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"))
-    short.write.parquet(f"{where}/read")
-    short = spark.read.parquet(f"{where}/read")
-    lengths = short.where("type = 'response'").groupBy("digest").agg(F.max("payload_bytes").alias("full"))
-    joined = short.join(lengths, "digest", "left")
-    return joined.select("page_id", F.col("full").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+    read = read_pages(stored_archives(spark, f"{where}/records"), offset_index(spark, f"{where}/records"), with_payloads=False)
+    return read.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
