@@ -1,33 +1,18 @@
-"""Images as rows, and operators that are plain array expressions (no shuffle, no Python)."""
+"""Images as rows, and operators on them; none shuffles. Sizes, types and metadata are
+plain expressions, so what doesn't need pixels doesn't read them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.geometry import Crop, ResizeTarget
-from lumenframe.functions.identify import looked_up
-
-CHANNELS = {"L8": 1, "La8": 2, "Rgb8": 3, "Rgba8": 4, "L16": 1, "La16": 2, "Rgb16": 3, "Rgba16": 4}
-HAS_ALPHA = {"La8": 1, "Rgba8": 1, "La16": 1, "Rgba16": 1}
+from lumenframe.operators import pixels
+from lumenframe.operators.pixels import CHANNELS
 
 COLUMNS = ["image_id", "seq", "filename", "orig_color_type", "format", "width", "height", "color_type", "exif", "icc", "px"]
 
 
-def channels() -> Column:
-    return looked_up(CHANNELS, F.col("color_type")).cast("int")
-
-
-def has_alpha() -> Column:
-    return looked_up(HAS_ALPHA, F.col("color_type"), "0").cast("int") == 1
-
-
-def peak() -> Column:
-    return F.when(F.col("color_type").endswith("16"), 65535).otherwise(255)
-
-
 def from_embeddings(embeddings: DataFrame, side: int = 8) -> DataFrame:
     """8x8 grey images from the embeddings table, in the canonical schema."""
     level = lambda e: F.least(F.greatest(F.floor((e.cast("double") + 1) * 127.5), F.lit(0)), F.lit(255)).cast("int")
@@ -46,27 +31,12 @@ def replaced(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     return df.withColumns(held).withColumns({k: F.col(f"__new_{k}") for k in new}).drop(*held)
 
 
-def gathered(df: DataFrame, width: Column, height: Column, source: Callable[[Column, Column], tuple[Column, Column]]) -> DataFrame:
-    """New images whose place (x, y) is the old image's place source(x, y)."""
-    c, old = channels(), F.col("width")
-    places = F.sequence(F.lit(0).cast("long"), width * height * c - 1)
-
-    def pick(i: Column) -> Column:
-        cell = F.floor(i / c)
-        y = F.floor(cell / width)
-        sx, sy = source(cell - y * width, y)
-        return F.element_at("px", ((sy * old + sx) * c + i % c + 1).cast("int"))
-
-    px = F.when(width * height > 0, F.transform(places, pick)).otherwise(F.array().cast("array<int>"))
-    return replaced(df, {"px": px, "width": width, "height": height})
-
-
 def flip(df: DataFrame) -> DataFrame:
-    return gathered(df, F.col("width"), F.col("height"), lambda x, y: (x, F.col("height") - 1 - y))
+    return df.withColumn("px", pixels.changed(lambda px, bits: px[::-1]))
 
 
 def flop(df: DataFrame) -> DataFrame:
-    return gathered(df, F.col("width"), F.col("height"), lambda x, y: (F.col("width") - 1 - x, y))
+    return df.withColumn("px", pixels.changed(lambda px, bits: px[:, ::-1]))
 
 
 def crop(df: DataFrame, area: Crop) -> DataFrame:
@@ -75,175 +45,83 @@ def crop(df: DataFrame, area: Crop) -> DataFrame:
     h = F.col("height") if area.height is None else F.lit(area.height).cast("long")
     outside = (F.lit(area.x) + w > F.col("width")) | (F.lit(area.y) + h > F.col("height"))
     safe = F.when(outside, F.raise_error(F.lit("crop leaves the image")).cast("long")).otherwise(w)
-    return gathered(df, safe, h, lambda x, y: (x + area.x, y + area.y))
+    px = pixels.changed(lambda px, bits, width, height: pixels.cropped(px, bits, area.x, area.y, width, height), w, h)
+    return replaced(df, {"px": px, "width": safe, "height": h})
 
 
 def sample(df: DataFrame, target: ResizeTarget) -> DataFrame:
     """Nearest neighbour: the source cell under the middle of each new cell."""
     w, h = target.size(F.col("width"), F.col("height"))
-    near = lambda i, n, old: F.floor(((2 * i + 1) * old) / (2 * n))
-    sized = df.withColumns({"__w": w, "__h": h})
-    out = gathered(sized, F.col("__w"), F.col("__h"), lambda x, y: (near(x, F.col("__w"), F.col("width")), near(y, F.col("__h"), F.col("height"))))
-    return out.drop("__w", "__h")
-
-
-#: For each EXIF orientation: (x, y) of the new image to the old one's.
-ORIENTATIONS: dict[int, Callable[[Column, Column, Column, Column], tuple[Column, Column]]] = {
-    1: lambda x, y, w, h: (x, y),
-    2: lambda x, y, w, h: (w - 1 - x, y),
-    3: lambda x, y, w, h: (w - 1 - x, h - 1 - y),
-    4: lambda x, y, w, h: (x, h - 1 - y),
-    5: lambda x, y, w, h: (y, x),
-    6: lambda x, y, w, h: (y, h - 1 - x),
-    7: lambda x, y, w, h: (w - 1 - y, h - 1 - x),
-    8: lambda x, y, w, h: (w - 1 - y, x),
-}
-
-
-def unsigned(data: Column, at: Column, size: int, big: Column) -> Column:
-    """The number in ``size`` bytes of a binary column, from the 0-based place ``at``."""
-    byte = lambda k: F.conv(F.hex(F.substring(data, (at + 1 + k).cast("int"), F.lit(1))), 16, 10).cast("long")
-    high, low = (sum(byte(k) * 256 ** (size - 1 - k if order else k) for k in range(size)) for order in (True, False))
-    return F.when(big, high).otherwise(low)
-
-
-def orientation_place(exif: Column) -> Column:
-    """Where the value of tag 0x0112 stands in an EXIF block (0-based), or null. The
-    first directory is read entry by entry; only one short number counts."""
-    big = F.substring(exif, 1, 4) == F.lit(b"MM\x00\x2a")
-    known = big | (F.substring(exif, 1, 4) == F.lit(b"II\x2a\x00"))
-    first = F.least(unsigned(exif, F.lit(4), 4, big), F.octet_length(exif).cast("long"))
-    n = F.least(unsigned(exif, first, 2, big), F.floor((F.octet_length(exif) - first - 2) / 12))
-    places = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda k: first + 2 + 12 * k)
-    fits = lambda p: (unsigned(exif, p, 2, big) == 0x0112) & (unsigned(exif, p + 2, 2, big) == 3) & (unsigned(exif, p + 4, 4, big) == 1)
-    return F.when(known & (n > 0), F.get(F.filter(places, fits), F.lit(0)) + 8)
+    return replaced(df, {"px": pixels.changed(pixels.sampled, w, h), "width": w, "height": h})
 
 
 def exif_orientation(exif: Column) -> Column:
     """Orientation 1 to 8 of an EXIF block; 1 where it has none that is valid."""
-    value = unsigned(exif, orientation_place(exif), 2, F.substring(exif, 1, 2) == F.lit(b"MM"))
-    return F.when(value.between(1, 8), value.cast("int")).otherwise(1)
-
-
-def upright(exif: Column) -> Column:
-    """The block with orientation 1, all its other tags as they are."""
-    at = orientation_place(exif).cast("int")
-    one = F.when(F.substring(exif, 1, 2) == F.lit(b"MM"), F.lit(b"\x00\x01")).otherwise(F.lit(b"\x01\x00"))
-    return F.when(at.isNull(), exif).otherwise(F.concat(F.substring(exif, F.lit(1), at), one, F.substring(exif, at + 3, F.octet_length(exif))))
+    return pixels.read_exif(exif)["orientation"]
 
 
 def orient(df: DataFrame, orientation: Column) -> DataFrame:
     """Applies an orientation of 1 to 8; 5 to 8 swap the sides."""
-    turned = orientation >= 5
-    w, h = F.col("width"), F.col("height")
-
-    def source(x: Column, y: Column) -> tuple[Column, Column]:
-        sx, sy = x, y
-        for k, f in ORIENTATIONS.items():
-            a, b = f(x, y, w, h)
-            sx, sy = F.when(orientation == k, a).otherwise(sx), F.when(orientation == k, b).otherwise(sy)
-        return sx, sy
-
-    return gathered(df, F.when(turned, h).otherwise(w), F.when(turned, w).otherwise(h), source)
+    turned, w, h = orientation >= 5, F.col("width"), F.col("height")
+    return replaced(df, {"px": pixels.changed(pixels.oriented, orientation), "width": F.when(turned, h).otherwise(w), "height": F.when(turned, w).otherwise(h)})
 
 
 def auto_orient(df: DataFrame) -> DataFrame:
     """Applies the EXIF orientation and sets it to 1 in the block, which else stays as it is."""
-    held = df.withColumn("__o", exif_orientation(F.col("exif")))
-    out = orient(held, F.col("__o"))
-    return out.withColumn("exif", F.when(F.col("__o") > 1, upright(F.col("exif"))).otherwise(F.col("exif"))).drop("__o")
+    held = df.withColumn("__e", pixels.read_exif("exif"))
+    return orient(held, F.col("__e.orientation")).withColumn("exif", F.col("__e.exif")).drop("__e")
 
 
 def negate(df: DataFrame) -> DataFrame:
     """Inverts all channels but alpha."""
-    c, alpha, top = channels(), has_alpha(), peak()
-    return df.withColumn("px", F.transform("px", lambda v, i: F.when(alpha & (i % c == c - 1), v).otherwise(top - v).cast("int")))
-
-
-def luma(r: Column, g: Column, b: Column) -> Column:
-    """BT.709 weights in integers."""
-    return F.floor((r * 2126 + g * 7152 + b * 722) / 10000).cast("int")
+    return df.withColumn("px", pixels.changed(pixels.inverted))
 
 
 def grayscale(df: DataFrame) -> DataFrame:
     """Rec. 709 luma; alpha stays."""
-    c, alpha = channels(), has_alpha()
-    cells = F.sequence(F.lit(0), F.floor(F.size("px") / c).cast("int") - 1)
-    at = lambda i, k: F.element_at("px", (i * c + k + 1).cast("int"))
-    one = lambda i: F.when(c >= 3, luma(at(i, 0), at(i, F.least(F.lit(1), c - 1)), at(i, F.least(F.lit(2), c - 1)))).otherwise(at(i, 0))
-    px = F.flatten(F.transform(cells, lambda i: F.when(alpha, F.array(one(i), at(i, c - 1))).otherwise(F.array(one(i)))))
     kind = F.regexp_replace(F.regexp_replace("color_type", "^Rgba", "La"), "^Rgb", "L")
-    return replaced(df, {"px": px, "color_type": kind})
+    return replaced(df, {"px": pixels.changed(pixels.grayed), "color_type": kind})
+
+
+def flags() -> Column:
+    """Struct ``opaque, gray, eight, steady`` of an image."""
+    return pixels.flags(*pixels.OF_IMAGE)
 
 
 def is_opaque() -> Column:
-    c, top = channels(), peak()
-    own = F.filter("px", lambda v, i: i % c == c - 1)
-    return ~has_alpha() | ~F.exists(own, lambda a: a != top)
+    return flags()["opaque"]
 
 
 def constant_alpha() -> Column:
-    c = channels()
-    own = F.filter("px", lambda v, i: i % c == c - 1)
-    return ~has_alpha() | (F.size("px") == 0) | (F.array_min(own) == F.array_max(own))
+    return flags()["steady"]
 
 
 def is_gray() -> Column:
     """Whether red, green and blue are equal everywhere."""
-    c = channels()
-    differs = lambda i: (F.element_at("px", i + 1) != F.element_at("px", i + 2)) | (F.element_at("px", i + 1) != F.element_at("px", i + 3))
-    starts = F.filter(F.sequence(F.lit(0), F.size("px") - 1), lambda i: i % c == 0)
-    return (c < 3) | (F.size("px") == 0) | ~F.exists(starts, differs)
+    return flags()["gray"]
 
 
 def is_8bit() -> Column:
-    return F.col("color_type").endswith("16") & F.forall("px", lambda v: v % 257 == 0)
+    """Whether 16-bit samples repeat their high byte."""
+    return flags()["eight"]
 
 
-def narrow(df: DataFrame, precision: bool | Column = False, wanted: bool | Column = True) -> DataFrame:
+def narrow(df: DataFrame, precision: bool = False) -> DataFrame:
     """Drops what a lossless writer needn't store: opaque alpha, equal colours and,
-    with ``precision``, the low byte of samples that repeat the high one; all of it
-    only where ``wanted``."""
-    deep, on = (x if isinstance(x, Column) else F.lit(x) for x in (precision, wanted))
-    flags = df.withColumns({"__8": on & deep & is_8bit(), "__g": on & is_gray(), "__o": on & is_opaque() & has_alpha()})
-    c, alpha = channels(), has_alpha()
-    keep = lambda i: ~((F.col("__g") & (c >= 3) & (i % c > 0) & (i % c < 3)) | (F.col("__o") & alpha & (i % c == c - 1)))
-    px = F.filter("px", lambda v, i: keep(i))
-    px = F.when(F.col("__8"), F.transform(px, lambda v: F.floor(v / 257).cast("int"))).otherwise(px)
-    kind = F.col("color_type")
-    kind = F.when(F.col("__g"), F.regexp_replace(F.regexp_replace(kind, "^Rgba", "La"), "^Rgb", "L")).otherwise(kind)
-    kind = F.when(F.col("__o"), F.regexp_replace(F.regexp_replace(kind, "^Rgba", "Rgb"), "^La", "L")).otherwise(kind)
-    kind = F.when(F.col("__8"), F.regexp_replace(kind, "16$", "8")).otherwise(kind)
-    return replaced(flags, {"px": px, "color_type": kind}).drop("__8", "__g", "__o")
+    with ``precision``, the low byte of samples that repeat the high one."""
+    held = df.withColumn("__n", pixels.narrow_udf(precision)(*pixels.OF_IMAGE))
+    return held.withColumns({"px": F.col("__n.px"), "color_type": F.col("__n.color_type")}).drop("__n")
 
 
 def converted(df: DataFrame, kind: Column) -> DataFrame:
-    """The images as ``kind``: grey to colour by repeating, colour to grey by luma, missing
-    alpha opaque, 8 to 16 bits by v * 257 and back to the nearest. Each cell's samples
-    are made from the old cell's."""
-    old, c = channels(), looked_up(CHANNELS, kind).cast("int")
-    was_deep, deep = F.col("color_type").endswith("16"), kind.endswith("16")
-    top = peak()
-    at = lambda i, k: F.element_at("px", (i * old + k + 1).cast("int"))
-
-    def cell(i: Column) -> Column:
-        r, g, b = (at(i, F.lit(k)) if k == 0 else F.when(old >= 3, at(i, F.least(F.lit(k), old - 1))).otherwise(at(i, F.lit(0))) for k in range(3))
-        gray = F.when(old >= 3, luma(r, g, b)).otherwise(r)
-        alpha = F.when(has_alpha(), at(i, old - 1)).otherwise(top)
-        return F.when(c == 1, F.array(gray)).when(c == 2, F.array(gray, alpha)).when(c == 3, F.array(r, g, b)).otherwise(F.array(r, g, b, alpha))
-
-    cells = F.sequence(F.lit(0), F.floor(F.size("px") / old).cast("int") - 1)
-    px = F.when(F.size("px") > 0, F.flatten(F.transform(cells, cell))).otherwise(F.array().cast("array<int>"))
-    scaled = F.when(was_deep & ~deep, F.transform(px, lambda v: F.floor((v + 128) / 257).cast("int"))).when(~was_deep & deep, F.transform(px, lambda v: v * 257)).otherwise(px)
-    px = F.when(kind == F.col("color_type"), F.col("px")).otherwise(scaled)
-    return replaced(df, {"px": px, "color_type": kind})
-
-
-def rgb8_maybe_alpha(df: DataFrame, wanted: bool | Column = True) -> DataFrame:
-    """Rgba8 where some cell is transparent, else Rgb8; images of either kind, or that
-    aren't ``wanted`` so, stay as they are."""
-    kind, on = F.col("color_type"), wanted if isinstance(wanted, Column) else F.lit(wanted)
-    own = F.when(~on | kind.isin("Rgb8", "Rgba8"), kind).when(has_alpha() & ~is_opaque(), F.lit("Rgba8")).otherwise(F.lit("Rgb8"))
+    """The images as ``kind`` (see ``pixels.converted``)."""
+    return replaced(df, {"px": pixels.changed(pixels.converted, kind), "color_type": kind})
+
+
+def rgb8_maybe_alpha(df: DataFrame) -> DataFrame:
+    """Rgba8 where some cell is transparent, else Rgb8; images of either kind stay as they are."""
+    kind = F.col("color_type")
+    own = F.when(kind.isin("Rgb8", "Rgba8"), kind).when(~is_opaque(), F.lit("Rgba8")).otherwise(F.lit("Rgb8"))
     held = df.withColumn("__kind", own)
     return converted(held, F.col("__kind")).drop("__kind")
 

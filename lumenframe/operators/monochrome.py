@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.functions.raster import grayscale
+from lumenframe.functions.raster import replaced
+from lumenframe.operators import pixels
 
 ROUNDS = 20
 JITTER = 100.0
-PIXELS = T.ArrayType(T.IntegerType())
 BINS = np.arange(256)
 
 
@@ -139,7 +139,7 @@ def noise_tile(side: int = 256, sigma: float = 1.9, seed: int = 1993) -> np.ndar
     return (rank * 256 // n).astype(np.uint8).reshape(side, side)
 
 
-BAND = T.StructType([T.StructField("hist", PIXELS), *(T.StructField(n, T.DoubleType()) for n in ("p25", "p75", "low", "high"))])
+BAND = T.StructType([T.StructField("hist", pixels.PIXELS), *(T.StructField(n, T.DoubleType()) for n in ("p25", "p75", "low", "high"))])
 
 
 @F.pandas_udf(BAND)
@@ -148,7 +148,7 @@ def bands(px: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["hist", "p25", "p75", "low", "high"])
 
 
-@F.pandas_udf(PIXELS)
+@F.pandas_udf(pixels.PIXELS)
 def stretched(px: pd.Series) -> pd.Series:
     return pd.Series([stretch(np.asarray(v, np.int32)) for v in px], dtype=object)
 
@@ -169,13 +169,8 @@ def monochrome(df: DataFrame) -> DataFrame:
     The noise tile is made once, on the driver, and travels with the function (64 kB)."""
     tile = noise_tile()
 
-    @F.pandas_udf(PIXELS)
-    def black_and_white(px: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
-        made = [diffuse(stretch(np.asarray(v, np.int32)).reshape(int(y), int(x)), tile).ravel() if len(v) else np.zeros(0, np.int32) for v, x, y in zip(px, w, h, strict=True)]
-        return pd.Series(made, dtype=object)
+    def black_and_white(px: np.ndarray, bits: int) -> np.ndarray:
+        gray = pixels.converted(px, bits, "L8")[..., 0]
+        return diffuse(stretch(gray.ravel()).reshape(gray.shape), tile) if gray.size else gray
 
-    step = F.when(F.col("color_type").startswith("La"), 2).otherwise(1)
-    deep = F.col("color_type").endswith("16")
-    gray = grayscale(df).withColumn("px", F.filter("px", lambda v, i: i % step == 0))
-    gray = gray.withColumn("px", F.when(deep, F.transform("px", lambda v: F.floor((v * 255 + 32767) / 65535).cast("int"))).otherwise(F.col("px")))
-    return gray.withColumn("color_type", F.lit("L8")).withColumn("px", black_and_white("px", "width", "height"))
+    return replaced(df, {"px": pixels.changed(black_and_white), "color_type": F.lit("L8")})

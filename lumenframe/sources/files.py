@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.functions.output import png_settings
-from lumenframe.functions.raster import CHANNELS, narrow, rgb8_maybe_alpha
+from lumenframe.operators import pixels
 from lumenframe.sources import codecs
 
 DECODED = "orig_color_type string, format string, width long, height long, color_type string, exif binary, icc binary, px array<int>"
@@ -75,29 +75,31 @@ def blank(spark: SparkSession, first: int = 0) -> DataFrame:
     )
 
 
-def encoded(df: DataFrame, target: str | Column, quality: float | None = None, strip_exif: bool = False, strip_icc: bool = False) -> DataFrame:
-    """Adds ``content``, the file's bytes, in the format ``target`` (of each row).
-
-    PNG is narrowed with its precision, WebP gets three or four 8-bit channels, TIFF and
+def stored_pixels(px: np.ndarray, bits: int, target: str) -> tuple[np.ndarray, int]:
+    """PNG is narrowed with its precision, WebP gets three or four 8-bit channels, TIFF and
     GIF are given the pixels as they are, and all others losslessly narrowed ones."""
-    held = df.withColumn("__target", F.lit(target) if isinstance(target, str) else target)
-    kind = F.col("__target")
+    if target in ("tiff", "gif"):
+        return px, bits
+    if target == "webp":
+        kind = "Rgba8" if pixels.has_alpha(px) and (px.shape[2] == 4 and bits == 8 or not pixels.opaque(px, bits)) else "Rgb8"
+        return pixels.converted(px, bits, kind), 8
+    return pixels.narrowed(px, bits, target == "png")
+
+
+def encoded(df: DataFrame, target: str | Column, quality: float | None = None, strip_exif: bool = False, strip_icc: bool = False) -> DataFrame:
+    """Adds ``content``, the file's bytes, in the format ``target`` (of each row)."""
+    kind = F.lit(target) if isinstance(target, str) else target
     if quality is not None and quality < 0:
-        held = held.withColumn("__target", F.when(kind == "png", F.raise_error(F.lit("PNG quality cannot be negative")).cast("string")).otherwise(kind))
-    ready = narrow(held, precision=kind == "png", wanted=~kind.isin("tiff", "gif", "webp"))
-    if not isinstance(target, str) or target == "webp":
-        ready = rgb8_maybe_alpha(ready, kind == "webp")
+        kind = F.when(kind == "png", F.raise_error(F.lit("PNG quality cannot be negative")).cast("string")).otherwise(kind)
     png = png_settings(F.lit(None if quality is None else max(0.0, float(quality))).cast("double"))
 
     @F.pandas_udf("binary")
     def written(px: pd.Series, w: pd.Series, h: pd.Series, kind: pd.Series, exif: pd.Series, icc: pd.Series, target: pd.Series, level: pd.Series, row_filter: pd.Series) -> pd.Series:
         out = []
         for values, x, y, k, e, i, t, n, f in zip(px, w, h, kind, exif, icc, target, level, row_filter, strict=True):
-            image = np.asarray(values, np.int64).reshape(int(y), int(x), CHANNELS[k])
-            settings = codecs.Settings(1 if n == "fast" else int(n), f, quality, e, i)
-            out.append(codecs.encode(t, image, 16 if k.endswith("16") else 8, settings))
+            cells, bits = stored_pixels(pixels.image(values, x, y, k), pixels.bits_of(k), t)
+            out.append(codecs.encode(t, cells.astype(np.int64), bits, codecs.Settings(1 if n == "fast" else int(n), f, quality, e, i)))
         return pd.Series(out, dtype=object)
 
     kept = lambda c, gone: F.lit(None).cast("binary") if gone else F.col(c)
-    content = written("px", "width", "height", "color_type", kept("exif", strip_exif), kept("icc", strip_icc), "__target", png["level"], png["row_filter"])
-    return ready.withColumn("content", content).drop("__target")
+    return df.withColumn("content", written(*pixels.OF_IMAGE, kept("exif", strip_exif), kept("icc", strip_icc), kind, png["level"], png["row_filter"]))
