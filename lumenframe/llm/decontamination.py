@@ -1,19 +1,18 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-All steps are DataFrame functions. The test set's vocabulary is counted over the
-whole corpus; each distinct test window is then looked up from its rarest term. The
-index stores the positional postings of those terms, ``term, row, doc_id, pos, before,
-after``: the places around a posting, which are the other terms' postings shifted by
-their offsets, so that lists are intersected where they lie and no posting of a
-frequent term is ever moved. A phrase match is a window that fits around its rarest
-term; a proximity match is all of a window's terms within a distance, in any order.
-
-The corpus is read twice, both times narrow: counts are summed before the one
-shuffle of at most a row a term and task, and the index takes only postings of
-rarest terms. Equal windows are one, however many items share them; items are put to
-the matches afterwards. The test side is broadcast while its bytes are counted to be
-at most ``broadcast_bytes``, and joined by shuffle beyond that; then a document's
-words stay in its one row and only places travel.
+All steps are DataFrame functions. The index is one table of postings ``t, row, pos``
+of all terms of the test set's vocabulary, written in one narrow pass over the
+corpus and used by each step from there. A test window is looked up from its rarest
+term: that term's postings, less its offset in the window, are the candidates' begins;
+they are intersected with the postings of the second rarest term, less its offset,
+which leaves little but matches, and then with those of all other terms. A phrase
+match is a begin that is in all lists; a proximity match is a posting of the rarest
+term with all of the window's terms within a distance, in any order.
+
+Only postings of windows' two rarest terms are shuffled; the last intersection
+streams over the index where it lies while the candidates are counted to be at most
+``broadcast_bytes``, and is a join by place beyond that. Equal windows are one,
+however many items share them; items are put to the matches afterwards.
 
 Defined results: null or blank texts have no words and no hits; a text of any length
 is read whole; repeated rows are judged one by one (``row`` tells them apart); test
@@ -34,7 +33,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words: ASCII but digits and letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Stands after a document's last word in the exploded list; no word is like it.
-END = "\x00"
+END, END_T = "\x00", -1
 
 
 @dataclass(frozen=True)
@@ -74,96 +73,89 @@ def test_words(benchmark: DataFrame) -> DataFrame:
     return stored(own.where(F.size("words") > 0), "test-words")
 
 
-def term_counts(docs: DataFrame, tests: DataFrame, how: Phrases) -> DataFrame:
-    """``term, tf`` over the corpus, of the test set's vocabulary."""
-    vocabulary = stored(tests.select(F.explode("words").alias("term")).distinct(), "vocabulary")
-    words = docs.select(F.explode(word_list(F.col("text"))).alias("word")).select(ascii_lower(F.col("word")).alias("term"))
-    return stored(words.join(small(vocabulary, how), "term").groupBy("term").agg(F.count("*").alias("tf")), "term-counts")
+@dataclass(frozen=True)
+class Index:
+    """``postings``: t, row, pos, and doc_id beside END, whose place is the document's
+    number of words. ``vocabulary``: t, term."""
+
+    postings: DataFrame
+    vocabulary: DataFrame
+
+    def places(self) -> DataFrame:
+        return self.postings.where(F.col("t") != END_T).select("t", "row", "pos")
+
+    def documents(self) -> DataFrame:
+        return self.postings.where(F.col("t") == END_T).select("row", "doc_id", F.col("pos").cast("long").alias("n_words"))
+
+
+def positional_index(docs: DataFrame, tests: DataFrame, how: Phrases) -> Index:
+    """The stored postings in ``docs`` of the terms of ``tests``."""
+    spark = docs.sparkSession
+    vocabulary = stored(tests.select(F.explode("words").alias("term")).distinct().select(F.monotonically_increasing_id().alias("t"), "term"), "vocabulary")
+    listed = vocabulary.unionByName(spark.range(1).select(F.lit(END_T).cast("long").alias("t"), F.lit(END).alias("term")))
+    own = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", word_list(F.col("text")).alias("words"))
+    each = own.select("row", "doc_id", F.posexplode(F.array_append("words", F.lit(END))).alias("pos", "word"))
+    each = each.select("row", "doc_id", "pos", ascii_lower(F.col("word")).alias("term"))
+    met = each.join(F.broadcast(listed) if fits(vocabulary, how) else listed, "term")
+    doc_id = F.when(F.col("t") == END_T, F.col("doc_id")).alias("doc_id")
+    return Index(stored(met.select("t", "row", "pos", doc_id), "postings"), vocabulary)
 
 
 @dataclass(frozen=True)
 class Windows:
-    """``rare``: term, w, before, after of each distinct window, ``before`` running backwards
-    from its rarest term; ``items``: w, item_id."""
+    """``ranked``: w, need and terms, structs ``tf, term, t, at`` from the rarest on, of each
+    distinct window that can stand somewhere; ``items``: w, item_id."""
 
-    rare: DataFrame
+    ranked: DataFrame
     items: DataFrame
 
 
-def rarest_terms(tests: DataFrame, counts: DataFrame, how: Phrases) -> Windows:
-    """The distinct windows of the test items from their rarest terms. Windows with a
-    term that the corpus lacks are left out, as they stand nowhere in it."""
-    n = F.size("words")
-    begins = F.explode(F.sequence(F.lit(0), F.greatest(n - how.window, F.lit(0))))
+def ranked_windows(tests: DataFrame, index: Index, how: Phrases) -> Windows:
+    """Windows with a term that the corpus lacks are left out."""
+    begins = F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - how.window, F.lit(0))))
     each = tests.select("item_id", "words", begins.alias("begin")).select("item_id", F.expr(f"slice(words, begin + 1, {how.window})").alias("words"))
     each = stored(each.distinct(), "item-windows")
-    found = each.select("words").distinct().select(F.monotonically_increasing_id().alias("w"), "words")
-    windows = stored(found, "windows")
-    known = windows.select("w", F.posexplode("words").alias("at", "term")).join(counts, "term", "left")
-    rare = known.groupBy("w").agg(F.min(F.struct(F.coalesce("tf", F.lit(0)).alias("tf"), "term", "at")).alias("rare")).where("rare.tf > 0")
-    whole = windows.join(rare, "w").select("w", "words", F.col("rare.term").alias("term"), F.col("rare.at").alias("at"))
-    before, after = F.reverse(F.expr("slice(words, 1, at)")), F.expr("slice(words, at + 2, size(words))")
-    chosen = stored(whole.select("term", "w", before.alias("before"), after.alias("after")), "rarest-terms")
-    return Windows(chosen, stored(each.join(windows, "words").select("w", "item_id"), "windows-of-items"))
-
-
-def positional_index(docs: DataFrame, terms: DataFrame, how: Phrases, reach: int) -> DataFrame:
-    """The stored postings of ``terms`` (and of END, one a document, whose place is
-    the document's number of words)."""
-    listed = stored(terms.select("term").distinct().unionByName(docs.sparkSession.range(1).select(F.lit(END).alias("term"))), "terms")
-    own = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", word_list(F.col("text")).alias("words"))
-    if fits(listed, how):
-        each = own.select("row", "doc_id", "words", F.posexplode(F.array_append("words", F.lit(END))).alias("pos", "word"))
-        postings = each.withColumn("term", ascii_lower(F.col("word"))).join(F.broadcast(listed), "term")
-    else:
-        # Only places travel to the terms; back at their document they find its words.
-        own = stored(own, "words")
-        each = own.select("row", F.posexplode(F.array_append("words", F.lit(END))).alias("pos", "word"))
-        places = each.select("row", "pos", ascii_lower(F.col("word")).alias("term")).join(listed, "term")
-        places = places.groupBy("row").agg(F.collect_list(F.struct("pos", "term")).alias("places"))
-        postings = own.join(places, "row").select("row", "doc_id", "words", F.inline("places"))
-    before = F.expr(f"slice(words, greatest(pos - {reach}, 0) + 1, least(pos, {reach}))")
-    after = F.expr(f"slice(words, pos + 2, {reach})")
-    is_end = F.col("term") == END
-    nothing = F.array().cast("array<string>")
-    return stored(
-        postings.select("term", "row", "doc_id", "pos", F.when(is_end, nothing).otherwise(before).alias("before"), F.when(is_end, nothing).otherwise(after).alias("after")),
-        "postings",
-    )
-
-
-def phrase_matches(index: DataFrame, windows: Windows, how: Phrases) -> DataFrame:
+    windows = stored(each.select("words").distinct().select(F.monotonically_increasing_id().alias("w"), "words"), "windows")
+    counts = index.postings.groupBy("t").agg(F.count("*").alias("tf"))
+    known = windows.select("w", F.posexplode("words").alias("at", "term")).join(index.vocabulary, "term").join(counts, "t", "left")
+    ranks = known.groupBy("w").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("tf", F.lit(0)).alias("tf"), "term", "t", "at"))).alias("terms"))
+    ranks = ranks.where(F.col("terms")[0]["tf"] > 0).select("w", F.size("terms").alias("need"), "terms")
+    return Windows(stored(ranks, "ranked-windows"), stored(each.join(windows, "words").select("w", "item_id"), "windows-of-items"))
+
+
+def phrase_matches(index: Index, windows: Windows, how: Phrases) -> DataFrame:
     """``row, w, begin, end``: places of a document where a whole test window stands."""
-    test = windows.rare.select("term", "w", F.col("before").alias("left"), F.col("after").alias("right"))
-    met = index.where(F.col("term") != END).join(small(test, how), "term")
-    # Most postings fail at their neighbours, which are compared before whole sides.
-    next_ = (F.size("right") == 0) | F.coalesce(ascii_lower(F.get("after", F.lit(0))) == F.get("right", F.lit(0)), F.lit(False))
-    last = F.element_at("before", -1)
-    previous = (F.size("left") == 0) | F.coalesce(ascii_lower(F.when(F.size("before") > 0, last)) == F.get("left", F.lit(0)), F.lit(False))
-    lowered = lambda c: F.transform(c, ascii_lower)
-    behind = lowered(F.slice(F.reverse("before"), F.lit(1), F.size("left"))) == F.col("left")
-    ahead = lowered(F.slice("after", F.lit(1), F.size("right"))) == F.col("right")
-    hits = met.where(next_ & previous).where(behind & ahead)
-    begin = F.col("pos") - F.size("left")
-    return hits.select("row", "w", begin.alias("begin"), (F.col("pos") + F.size("right") + 1).alias("end"))
+    places, ranked = index.places(), windows.ranked
+    term = lambda k, f: F.get("terms", F.lit(k))[f]
+    first = ranked.select("w", "need", term(0, "t").alias("t"), term(0, "at").alias("at"), term(1, "t").alias("t2"), term(1, "at").alias("at2"))
+    begun = places.join(small(stored(first, "rarest-terms"), how), "t").select("row", "w", "need", (F.col("pos") - F.col("at")).alias("begin"), "t2", "at2")
+    begun = stored(begun.where("begin >= 0"), "begins")
+    seconds = places.join(small(stored(first.select("t2").where("t2 is not null").distinct().toDF("t"), "second-terms"), how), "t")
+    asked = begun.where("need > 1").select("row", F.col("t2").alias("t"), (F.col("begin") + F.col("at2")).alias("pos"), "w", "need", "begin")
+    both = stored(asked.join(seconds, ["row", "t", "pos"]).select("row", "w", "need", "begin"), "begins-of-two")
+    others = both.where("need > 2").join(small(ranked.select("w", F.expr("slice(terms, 3, need)").alias("others")), how), "w")
+    others = others.select("row", "w", "need", "begin", F.explode("others").alias("o"))
+    others = stored(others.select("row", F.col("o.t").alias("t"), (F.col("begin") + F.col("o.at")).alias("pos"), "w", "need", "begin"), "other-places")
+    found = places.join(small(others, how), ["row", "t", "pos"]).groupBy("row", "w", "need", "begin").count()
+    whole = found.where("count = need - 2").select("row", "w", "need", "begin")
+    short = begun.where("need = 1").select("row", "w", "need", "begin").unionByName(both.where("need = 2"))
+    return whole.unionByName(short).select("row", "w", "begin", (F.col("begin") + F.col("need")).alias("end"))
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, distance: int, how: Phrases = Phrases()) -> DataFrame:
     """``doc_id, item_id, pos``: postings of a window's rarest term that have all of
     the window's other terms within ``distance`` words, in any order."""
     tests = test_words(benchmark)
-    size = how.window
-    n = F.size("words")
-    begins = tests.select("item", "item_id", "words", F.explode(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)))).alias("begin"))
-    windows = begins.select("item_id", F.array_distinct(F.expr(f"slice(words, begin + 1, {size})")).alias("wanted"), F.struct("item", "begin").alias("w"))
-    counts = term_counts(docs, tests, how)
-    rare = windows.select("w", F.explode("wanted").alias("term")).join(counts, "term").groupBy("w").agg(F.min(F.struct("tf", "term")).alias("rare"))
-    wanted = windows.join(rare, "w").select(F.col("rare.term").alias("term"), "item_id", "wanted")
-    wanted = stored(wanted, "wanted")
-    index = positional_index(docs, wanted, how, distance)
-    near = F.concat(F.transform("before", ascii_lower), F.array("term"), F.transform("after", ascii_lower))
-    met = index.join(small(wanted, how), "term")
-    return met.where(F.size(F.array_except("wanted", near)) == 0).select("doc_id", "item_id", "pos").distinct()
+    index = positional_index(docs, tests, how)
+    windows = ranked_windows(tests, index, how)
+    rare = windows.ranked.select("w", F.col("terms")[0]["t"].alias("t"))
+    begun = stored(index.places().join(small(stored(rare, "rarest-terms"), how), "t").select("row", "pos", "w"), "begins")
+    around = begun.select("row", F.col("pos").alias("centre"), "w", F.explode(F.sequence(F.col("pos") - distance, F.col("pos") + distance)).alias("pos"))
+    near = index.places().join(small(stored(around, "places-around"), how), ["row", "pos"]).groupBy("row", "centre", "w").agg(F.collect_set("t").alias("near"))
+    wanted = windows.ranked.select("w", F.array_distinct(F.transform("terms", lambda x: x["t"])).alias("wanted"))
+    met = near.join(small(stored(wanted, "wanted"), how), "w").where(F.size(F.array_except("wanted", "near")) == 0)
+    told = met.select("row", "w", F.col("centre").alias("pos")).join(small(windows.items, how), "w").join(index.documents(), "row")
+    return told.select("doc_id", "item_id", "pos").distinct()
 
 
 def covered(spans: Column) -> Column:
@@ -180,13 +172,12 @@ def covered(spans: Column) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame, how: Phrases = Phrases()) -> DataFrame:
     """``row, doc_id, n_words, n_hit, items`` per row of ``docs``; items are sorted ids."""
     tests = test_words(benchmark)
-    windows = rarest_terms(tests, term_counts(docs, tests, how), how)
-    index = positional_index(docs, windows.rare, how, how.window - 1)
+    index = positional_index(docs, tests, how)
+    windows = ranked_windows(tests, index, how)
     hits = stored(phrase_matches(index, windows, how), "hits")
     spans = hits.groupBy("row").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     items = hits.select("row", "w").distinct().join(small(windows.items, how), "w").groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    every = index.where(F.col("term") == END).select("row", "doc_id", F.col("pos").cast("long").alias("n_words"))
-    return every.join(spans.join(items, "row"), "row", "left").select(
+    return index.documents().join(spans.join(items, "row"), "row", "left").select(
         "row", "doc_id", "n_words", F.coalesce(covered(F.col("spans")), F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
