@@ -10,8 +10,9 @@ The trees are fitted on pages that ``training_page`` writes: bounded by
 ``Extraction.training_pages``, with a fixed seed, so every process has the same
 model. Nothing is learned from the corpus.
 
-Defined results: a null or empty page gives the empty text; repeated rows are read
-each; extra columns are not read.
+Defined results: a null or empty page gives the empty text; a page of any length is
+read whole, in time that grows with its length, even with markup that is never closed;
+repeated rows are read each; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations

@@ -5,8 +5,10 @@ one that it hardly shrinks is noise. Both the whole text and its fixed chunks
 are compressed, and each length class has its own allowed band of ratios, of
 which there is one set for Latin and one for other scripts.
 
-Defined results: a null or blank text has no words and fails the base rules;
-repeated rows are judged one by one; extra columns are not read.
+Defined results: a null or blank text has no words and fails the base rules; a text
+of any length is compressed whole, one at a time, and what stands behind its last full
+chunk counts in the whole ratio only; equal texts have equal verdicts and repeated
+rows are judged one by one; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations

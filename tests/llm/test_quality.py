@@ -124,3 +124,24 @@ def test_wide_scripts_have_their_own_bands(spark):
     noise = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) + (" " if k % 9 == 8 else "") for k in range(600))
     df = spark.createDataFrame(list(enumerate([*texts, noise])), "doc_id long, text string")
     assert [r.kept for r in judge(df).orderBy("doc_id").collect()] == [True] * 4 + [False]
+
+
+def test_very_long_and_empty(spark):
+    rng = random.Random(8)
+    vocab = ["".join(rng.choices("abcdefghi", k=rng.randint(2, 9))) for _ in range(20_000)]
+    long = " ".join(rng.choice(vocab) for _ in range(300_000))
+    rows = [(1, long), (2, "same line\n" * 200_000)]
+    got = {r.doc_id: r for r in judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].n_words == 300_000 and got[1].n_chunks == len(long) // 2048 and got[1].kept == judged_by_definition_of_long(long)
+    assert (got[2].n_words, got[2].n_dup_lines, got[2].base_failed, got[2].kept) == (400_000, 199_999, True, False)
+
+
+def judged_by_definition_of_long(text):
+    import zstandard
+
+    from lumenframe.llm.quality import NARROW
+
+    raw, press = text.encode(), zstandard.ZstdCompressor(level=3)
+    ratios = [2048 / len(press.compress(raw[k : k + 2048])) for k in range(0, len(raw) - 2047, 2048)]
+    bad = sum(not 1.58 <= r <= 4.0 for r in ratios)
+    return NARROW[-1].low <= len(raw) / len(press.compress(raw)) <= NARROW[-1].high and 10 * bad <= 3 * len(ratios)

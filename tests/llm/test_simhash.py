@@ -141,3 +141,10 @@ def test_near_duplicates(spark):
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string, fp string")).collect() == []
+
+
+def test_very_long_texts(spark):
+    long = "Word " * 400_000 + "end"
+    rows = [(3, long), (1, long.lower()), (2, "other")]
+    got = {r.doc_id: (r.fp % (1 << 64), r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[3] == got[1] and got[1][1] == 1 and got[3][0] == brute_fingerprint(long)

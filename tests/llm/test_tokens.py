@@ -233,3 +233,15 @@ def test_very_long_texts(spark):
     assert np.frombuffer(b"".join(p.ids for p in pieces), "<u4").tolist() == [*want, 1]
     back = {r.doc_id: r for r in token_store.round_trip(docs, default_tokenizer()).collect()}
     assert np.frombuffer(back[1].ids, "<u4").tolist() == [*want, 2] and back[2].start == len(want) + 1
+
+
+def test_store_orders_missing_and_equal_ids(spark, tmp_path):
+    """Documents without an id come first; rows of one id stand together, by their roots."""
+    rows = [(5, "five"), (None, "no id"), (2, "two"), (2, "two again"), (None, None), (2, "two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(token_store.round_trip(docs, default_tokenizer(), str(tmp_path / "s")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, 2, 2, 2, 5]
+    want = sorted((i is not None, i or 0, np.array([*library(t), 2], "<u4").tobytes()) for i, t in rows)
+    assert sorted((r.doc_id is not None, r.doc_id or 0, bytes(r.ids)) for r in got) == want
+    assert [r.start for r in got] == list(np.cumsum([0] + [r.n_tokens for r in got])[:-1])
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 for r in got)
