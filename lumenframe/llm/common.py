@@ -82,3 +82,13 @@ def shuffle_width(spark: SparkSession) -> int:
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the columns an operator needs, so that extra ones cannot clash."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def beside_group(rows: DataFrame, grouped: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` joined with the row of their group, of a table that was grouped by ``keys``.
+
+    The keys' hash is joined too. The grouping isn't partitioned by it, so both sides
+    of the join are plain shuffles, and adaptive execution splits those where a group
+    is hot; it can't where a grouping stands between shuffle and join."""
+    mark = F.xxhash64(*keys)
+    return rows.withColumn("__mark", mark).join(grouped.withColumn("__mark", mark), [*keys, "__mark"]).drop("__mark")

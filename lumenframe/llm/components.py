@@ -1,63 +1,46 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Each round is two grouped minima and two joins; both only replace edges by edges
-to smaller nodes, so the table never grows beyond its first size. The minima are
-stored before they are joined: both sides of a join are then plain shuffles, which
-adaptive execution splits where a node has a large part of all edges. Rounds are
-stored in the shared folder, each in place of the one before; the driver sees one
-count and one checksum a round.
+to smaller nodes, so the table never grows beyond its first size. A node that has a
+large part of all edges is split in the joins (``beside_group``). Rounds are stored
+in the shared folder, each in place of the one before; the driver sees one count
+and one checksum a round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import fresh_path, removed
+from lumenframe.llm.common import beside_group, fresh_path, removed
 
 
-class Round:
-    """The tables that one round stores."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
-
-    def kept(self, df: DataFrame, label: str) -> DataFrame:
-        self.paths.append(fresh_path(self.spark, label))
-        df.write.parquet(self.paths[-1])
-        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
-
-    def forget(self) -> None:
-        for path in self.paths:
-            removed(self.spark, path)
-
-
-def large_star(edges: DataFrame, now: Round) -> DataFrame:
+def large_star(edges: DataFrame) -> DataFrame:
     """Each node links its larger neighbours to the least of its neighbours and itself."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = now.kept(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    return beside_group(both, least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def small_star(edges: DataFrame, now: Round) -> DataFrame:
+def small_star(edges: DataFrame) -> DataFrame:
     """Each node links itself and its smaller neighbours to the least of those."""
-    down = now.kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "large-stars")
-    least = now.kept(down.groupBy("a").agg(F.min("b").alias("m")), "least")
-    moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    moved = beside_group(down, least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (longs ``a, b``) but the roots,
     where root is the least node that can be reached."""
-    before, mark = Round(edges.sparkSession), None
-    held = before.kept(edges.where("a <> b").select("a", "b").distinct(), "stars")
+    spark, now, mark, last = edges.sparkSession, edges.where("a <> b").select("a", "b").distinct(), None, None
     while True:
+        path = fresh_path(spark, "stars")
+        now.write.parquet(path)
+        held = spark.read.schema("a long, b long").parquet(path)
+        if last is not None:
+            removed(spark, last)  # the round before is read no more
         found = held.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == found:
             return held.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        now, inner = Round(edges.sparkSession), Round(edges.sparkSession)
-        mark, held = found, now.kept(small_star(large_star(held, inner), inner), "stars")
-        inner.forget()
-        before.forget()
-        before = now
+        mark, last, now = found, path, small_star(large_star(held))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import shuffle_width, stored
+from lumenframe.llm.common import beside_group, shuffle_width, stored
 from lumenframe.llm.components import components
 
 
@@ -307,9 +307,8 @@ def classified(each: DataFrame, how: SimHash) -> DataFrame:
     fps = stored(each.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
     roots = components(near_links(fps.select("fp"), how))
     labelled = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    # Stored first, so that a component of many fingerprints can be split in the join.
-    least = stored(labelled.groupBy("root").agg(F.min("least").alias("component_id")), "components")
-    return stored(labelled.join(least, "root").select("fp", "component_id"), "classes")
+    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    return stored(beside_group(labelled, least, "root").select("fp", "component_id"), "classes")
 
 
 def near_duplicates(docs: DataFrame, how: SimHash = SimHash()) -> DataFrame:

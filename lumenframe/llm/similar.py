@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import bounded, stored
+from lumenframe.llm.common import beside_group, bounded, stored
 from lumenframe.llm.components import components
 from lumenframe.llm.simhash import SimHash, fingerprint, near_links, shingle_hashes
 
@@ -87,9 +87,8 @@ def sketches(docs: DataFrame, how: Similar) -> DataFrame:
 def candidates(texts: DataFrame, how: Similar) -> DataFrame:
     """Edges ``a, b`` over the nodes of ``node, fp, keys``."""
     members = texts.select("node", F.explode("keys").alias("key"))
-    # Stored first, like the other groupings here, so that a hot key can be split in the join.
-    hubs = stored(members.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b"), "hubs")
-    banded = members.join(hubs, "key").select(F.col("node").alias("a"), "b")
+    hubs = members.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
+    banded = beside_group(members, hubs, "key").select(F.col("node").alias("a"), "b")
     fps = stored(texts.groupBy("fp").agg(F.min("node").alias("hub")), "distinct-fingerprints")
     same = texts.join(fps, "fp").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     end = lambda x: fps.select(F.col("fp").alias(x), F.col("hub").alias(f"{x}_hub"))
@@ -145,7 +144,7 @@ def verified(groups: DataFrame, texts: DataFrame, own: DataFrame, how: Similar)
     """Edges ``a, b`` that connect the similar texts of each group of ``node, root``."""
     held = groups.join(texts.select("node", "size"), "node")
     parts = held.groupBy("root").agg(F.ceil(F.sum("size") / how.group_bytes).cast("int").alias("parts"))
-    held = held.join(stored(parts.select("root", F.greatest("parts", F.lit(1)).alias("parts")), "parts"), "root")
+    held = beside_group(held, parts.select("root", F.greatest("parts", F.lit(1)).alias("parts")), "root")
     held = held.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     met = held.select("node", "root", "parts", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     met = met.where("parts = 1 or part <> other")
@@ -181,7 +180,7 @@ def representatives(docs: DataFrame, how: Similar = Similar()) -> DataFrame:
     classes = components(verified(groups, texts, own, how))
     named = firsts.join(classes, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     rows = stored(each.select("__row", "doc_id", "digest").join(named, "digest").select("__row", "doc_id", "root"), "classes")
-    least = stored(rows.groupBy("root").agg(F.min("doc_id").alias("least")), "least")
-    gone = rows.join(least, "root").where(~F.col("doc_id").eqNullSafe(F.col("least"))).select("__row")
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("least"))
+    gone = beside_group(rows, least, "root").where(~F.col("doc_id").eqNullSafe(F.col("least"))).select("__row")
     stays = whole.join(gone, "__row", "left_anti")
     return stays.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import bounded, fresh_path, stored
+from lumenframe.llm.common import beside_group, bounded, fresh_path
 
 VERSION, EOL = b"WARC/1.1", b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -144,8 +144,7 @@ def deduplicated(pages: DataFrame, how: Archives) -> DataFrame:
     # payloads travel by page, so that no key holds a group of copies.
     ids = own.where("large").select("digest", "page_id")
     first = ids.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("first is not null and n > 1")
-    # Stored first, so that a digest of many copies can be split in the join.
-    later = ids.distinct().join(stored(first, "first-copies"), "digest").where("page_id is null or page_id > first")
+    later = beside_group(ids.distinct(), first, "digest").where("page_id is null or page_id > first")
     later = later.select(F.col("digest").alias("later_digest"), F.col("page_id").alias("later_id"), "first")
     joined = own.join(later, F.col("page_id").eqNullSafe(F.col("later_id")) & (F.col("digest") == F.col("later_digest")), "left")
     return joined.select("page_id", "url", "payload", "digest", F.col("first").alias("refers_to"))
