@@ -9,9 +9,9 @@ which leaves little but matches, and then with those of all other terms. A phras
 match is a begin that is in all lists; a proximity match is a posting of the rarest
 term with all of the window's terms within a distance, in any order.
 
-Only postings of windows' two rarest terms are shuffled; the last intersection
-streams over the index where it lies while the candidates are counted to be at most
-``broadcast_bytes``, and is a join by place beyond that. Equal windows are one,
+Postings of windows' two rarest terms are shuffled, and of the others those of rows
+that still have a candidate while these rows are counted to be at most
+``broadcast_bytes``; beyond that all are, in one join by place. Equal windows are one,
 however many items share them; items are put to the matches afterwards.
 
 Defined results: null or blank texts have no words and no hits; a text of any length
@@ -117,8 +117,9 @@ def ranked_windows(tests: DataFrame, index: Index, how: Phrases) -> Windows:
     each = stored(each.distinct(), "item-windows")
     windows = stored(each.select("words").distinct().select(F.monotonically_increasing_id().alias("w"), "words"), "windows")
     counts = index.postings.groupBy("t").agg(F.count("*").alias("tf"))
-    known = windows.select("w", F.posexplode("words").alias("at", "term")).join(index.vocabulary, "term").join(counts, "t", "left")
-    ranks = known.groupBy("w").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("tf", F.lit(0)).alias("tf"), "term", "t", "at"))).alias("terms"))
+    told = index.vocabulary.join(counts, "t", "left").select("t", "term", F.coalesce("tf", F.lit(0)).alias("tf"))
+    known = windows.select("w", F.posexplode("words").alias("at", "term")).join(small(stored(told, "term-counts"), how), "term")
+    ranks = known.groupBy("w").agg(F.array_sort(F.collect_list(F.struct("tf", "term", "t", "at"))).alias("terms"))
     ranks = ranks.where(F.col("terms")[0]["tf"] > 0).select("w", F.size("terms").alias("need"), "terms")
     return Windows(stored(ranks, "ranked-windows"), stored(each.join(windows, "words").select("w", "item_id"), "windows-of-items"))
 
@@ -136,6 +137,9 @@ def phrase_matches(index: Index, windows: Windows, how: Phrases) -> DataFrame:
     others = both.where("need > 2").join(small(ranked.select("w", F.expr("slice(terms, 3, need)").alias("others")), how), "w")
     others = others.select("row", "w", "need", "begin", F.explode("others").alias("o"))
     others = stored(others.select("row", F.col("o.t").alias("t"), (F.col("begin") + F.col("o.at")).alias("pos"), "w", "need", "begin"), "other-places")
+    rows = stored(both.select("row").distinct(), "rows-of-two")
+    if fits(rows, how):
+        places = places.join(F.broadcast(rows), "row")
     found = places.join(small(others, how), ["row", "t", "pos"]).groupBy("row", "w", "need", "begin").count()
     whole = found.where("count = need - 2").select("row", "w", "need", "begin")
     short = begun.where("need = 1").select("row", "w", "need", "begin").unionByName(both.where("need = 2"))
