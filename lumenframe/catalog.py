@@ -410,7 +410,7 @@ def through(kind: str) -> Callable[[DataFrame], DataFrame]:
     """Encodes images as ``kind`` and decodes those bytes."""
 
     def work(df: DataFrame) -> DataFrame:
-        made = files.encoded(df, kind).select("image_id", "seq", "filename", "content")
+        made = files.encoded(df, kind, 100.0 if kind == "webp" else None).select("image_id", "seq", "filename", "content")
         back = files.decoded(made.select("seq", "filename", "content"))
         return back.withColumn("image_id", F.col("seq"))
 
@@ -422,7 +422,7 @@ GRAY_AS = {
     "Rgba8": "SELECT image_id, y, x, k AS c, CASE WHEN k = 3 THEN 255 ELSE v END AS v FROM pix CROSS JOIN range(4) r(k)",
     "Rgba16": "SELECT image_id, y, x, k AS c, CASE WHEN k = 3 THEN 65535 ELSE v * 257 END AS v FROM pix CROSS JOIN range(4) r(k)",
 }
-CODECS = {"png": "L8", "tiff": "L8", "pnm": "L8", "tga": "L8", "gif": "Rgba8", "qoi": "Rgb8", "bmp": "Rgb8", "pcx": "Rgb8", "ico": "Rgba8", "ff": "Rgba16"}
+CODECS = {"png": "L8", "tiff": "L8", "pnm": "L8", "tga": "L8", "gif": "Rgba8", "qoi": "Rgb8", "bmp": "Rgb8", "pcx": "Rgb8", "ico": "Rgba8", "ff": "Rgba16", "webp": "Rgb8"}
 for _format, _kind in CODECS.items():
     pixel_query(f"codec_{_format}", through(_format), listed(GRAY_AS[_kind], kind=f"'{_kind}'"))
 pixel_query("codec_tiff_rgba", through("tiff"), listed("SELECT * FROM pix", kind=RGB_OR_RGBA, source=pix_of(4)), rgba)

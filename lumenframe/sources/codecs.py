@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from lumenframe.sources import gif, jpeg, png, simple, tiff
+from lumenframe.sources import gif, jpeg, png, simple, tiff, webp
 from lumenframe.sources.image import CodecError, Decoded, Settings, eight, narrowed
 
 __all__ = ["CodecError", "Decoded", "Settings", "decode", "encode", "register", "sniff"]
@@ -35,7 +35,7 @@ def sniff(data: bytes) -> str | None:
 
 DECODERS: dict[str, Callable[[bytes], Decoded]] = {
     "png": png.decode, "jpeg": jpeg.decode, "gif": gif.decode, "tiff": tiff.decode, "pnm": simple.decode_pnm, "ff": simple.decode_ff,
-    "bmp": simple.decode_bmp, "qoi": simple.decode_qoi, "tga": simple.decode_tga, "pcx": simple.decode_pcx, "ico": simple.decode_ico,
+    "bmp": simple.decode_bmp, "qoi": simple.decode_qoi, "tga": simple.decode_tga, "pcx": simple.decode_pcx, "ico": simple.decode_ico, "webp": webp.decode,
 }
 
 
@@ -51,12 +51,19 @@ def write_jpeg(px: np.ndarray, bits: int, how: Settings) -> bytes:
     return jpeg.encode(narrowed(px, bits), jpeg_quality(how.quality), how.exif, how.icc)
 
 
+def write_webp(px: np.ndarray, bits: int, how: Settings) -> bytes:
+    """Without loss at quality 100, as asked for; there is no lossy writer here."""
+    if how.quality != 100.0:
+        raise CodecError("no encoder for lossy WEBP here; quality 100 is lossless")
+    return webp.encode(eight(px, bits), px.shape[2] in (2, 4))
+
+
 ENCODERS: dict[str, Callable[[np.ndarray, int, Settings], bytes]] = {
     "png": lambda px, bits, how: png.encode(px, bits, how.level, how.row_filter, how.exif, how.icc),
     "jpeg": write_jpeg, "gif": lambda px, bits, how: gif.encode(eight(px, bits)), "tiff": lambda px, bits, how: tiff.encode(px, bits, how.icc),
     "pnm": lambda px, bits, how: simple.encode_pnm(px, bits), "ff": lambda px, bits, how: simple.encode_ff(px, bits),
     "bmp": lambda px, bits, how: simple.encode_bmp(px, bits), "qoi": lambda px, bits, how: simple.encode_qoi(px, bits),
-    "tga": lambda px, bits, how: simple.encode_tga(px, bits), "pcx": lambda px, bits, how: simple.encode_pcx(px, bits), "ico": lambda px, bits, how: simple.encode_ico(px, bits),
+    "webp": write_webp, "tga": lambda px, bits, how: simple.encode_tga(px, bits), "pcx": lambda px, bits, how: simple.encode_pcx(px, bits), "ico": lambda px, bits, how: simple.encode_ico(px, bits),
 }
 
 

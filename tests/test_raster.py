@@ -134,8 +134,8 @@ def test_codecs_round_trip():
         wide = widened(px, bits)
         assert (codecs.decode(codecs.encode("ff", px, bits))[1].pixels == wide).all()
         full = eight(px, bits)
-        for name in ("qoi", "tga", "ico", "bmp", "pcx"):
-            got = codecs.decode(codecs.encode(name, px, bits))
+        for name in ("qoi", "tga", "ico", "bmp", "pcx", "webp"):
+            got = codecs.decode(codecs.encode(name, px, bits, codecs.Settings(quality=100.0)))
             assert got[0] == name
             want = full if got[1].pixels.shape[2] == 4 else full[..., :1] if got[1].pixels.shape[2] == 1 else full[..., :3]
             assert (got[1].pixels == want).all(), (name, px.shape, bits)
@@ -147,6 +147,58 @@ def test_codecs_round_trip():
             assert (soft.exif, soft.icc) == (b"MM", b"p") and np.abs(soft.pixels - (px if bits == 8 else (px + 128) // 257)).max() <= 3
 
 
+def test_webp_of_other_writers():
+    """Parts of the format that our writer doesn't use, put together by hand."""
+    from lumenframe.sources import webp
+
+    def file(*pairs, cells):
+        out = webp.Writer()
+        out.put(*pairs)
+        cells(out)
+        body = b"\x2f" + out.bytes()
+        chunk = b"VP8L" + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) % 2)
+        return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
+
+    single = lambda s: ((1, 1), (0, 1), (1, 1), (s, 8))
+    size = lambda w, h: ((w - 1, 14), (h - 1, 14), (0, 1), (0, 3))
+
+    # Two colours packed eight to a cell: 0b00010110 of ten cells in a row, then 0b10.
+    def indexed(out):
+        table = np.array([[[255, 10, 20, 30], [0, 5, 6, 7]]])  # the second is a difference
+        out.put((0, 1))
+        out.cells(table)
+        out.put((0, 1), (0, 1), (0, 1))
+        out.cells(np.array([[[255, 0, 0b00010110, 0], [255, 0, 0b10, 0]]]))
+
+    got = webp.decode(file(*size(10, 1), (1, 1), (3, 2), (1, 8), cells=indexed)).pixels[0]
+    one, two = [10, 20, 30], [15, 26, 37]
+    assert got.tolist() == [two if b == "1" else one for b in "0110100001"]
+
+    # A literal, then a copy of five cells at distance 1: length prefix 4 with one extra bit 0 is 5.
+    def copied(out):
+        out.put((0, 1), (0, 1))
+        lengths = [1 if s in (9, 256 + 4) else 0 for s in range(280)]
+        out.put((0, 1), (15, 4), *[(4 if s < 16 else 0, 3) for s in webp.LENGTH_ORDER], (0, 1))
+        four = webp.canonical([4] * 16)
+        out.put(*[(four[n], 4) for n in lengths])
+        out.put(*single(8), *single(7), *single(255), *single(1))
+        out.put((0, 1), (1, 1), (0, 1))  # green 9; the copy, no extra bit set; distance code 2 is the left cell
+
+    assert webp.decode(file(*size(6, 1), (0, 1), cells=copied)).pixels.tolist() == [[[8, 9, 7]] * 6]
+
+    # Every prediction mode undoes what it did, cell by cell.
+    rng = np.random.default_rng(2)
+    px = rng.integers(0, 256, (9, 8, 4))
+    for mode in range(14):
+        rows, rest = px.tolist(), np.zeros_like(px)
+        for y in range(9):
+            for x in range(8):
+                right = rows[y - 1][x + 1] if x < 7 else rows[y][0]
+                guess = [255, 0, 0, 0] if x == y == 0 else rows[0][x - 1] if y == 0 else rows[y - 1][0] if x == 0 else webp.predicted(mode, rows[y][x - 1], rows[y - 1][x], rows[y - 1][x - 1], right)
+                rest[y, x] = (px[y, x] - guess) % 256
+        assert (webp.unpredicted(rest.copy(), np.full((3, 2), mode), 2) == px).all(), mode
+
+
 def test_gif_of_many_colors():
     y, x = np.mgrid[0:200, 0:300]
     px = np.stack([x * 255 // 299, y * 255 // 199, (x + y) % 256], axis=2)
@@ -216,8 +268,8 @@ def test_we_read_other_programs_files(spark):
 
 def test_damaged_files_are_errors():
     px = np.arange(60).reshape(4, 5, 3)
-    for name in ("png", "jpeg", "gif", "tiff", "qoi", "tga", "pcx", "ico"):
-        data = codecs.encode(name, px, 8)
+    for name in ("png", "jpeg", "gif", "tiff", "qoi", "tga", "pcx", "ico", "webp"):
+        data = codecs.encode(name, px, 8, codecs.Settings(quality=100.0))
         with pytest.raises(Exception):  # noqa: B017  each format has its own
             codecs.decode(data[: len(data) // 2], name)
     with pytest.raises(codecs.CodecError):
