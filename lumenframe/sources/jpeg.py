@@ -1,10 +1,12 @@
-"""Baseline JPEG in NumPy. Encoding is vectorised over all blocks; Huffman decoding
-reads symbol by symbol. Progressive and arithmetic files are not read."""
+"""JPEG in NumPy: baseline is written, baseline and progressive are read. Encoding is
+vectorised over all blocks; Huffman decoding reads symbol by symbol. Arithmetic,
+lossless and 12-bit files are not read."""
 
 from __future__ import annotations
 
 import heapq
 import struct
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -213,13 +215,17 @@ class Bits:
         self.n -= length
         return table[1][peek]
 
-    def number(self, size: int) -> int:
-        if not size:
-            return 0
+    def raw(self, size: int) -> int:
         if self.n < size:
             self.fill()
         self.n -= size
-        v = self.held >> self.n & ((1 << size) - 1)
+        return self.held >> self.n & ((1 << size) - 1)
+
+    def number(self, size: int) -> int:
+        """A signed number: the lower half of its bits' values stands for negative ones."""
+        if not size:
+            return 0
+        v = self.raw(size)
         return v if v >> (size - 1) else v - (1 << size) + 1
 
 
@@ -243,14 +249,139 @@ def read_block(bits: Bits, dc: tuple, ac: tuple, out: list[int], at: int, before
     return before
 
 
+class Plane:
+    """One component: its sampling, blocks (a padded grid) and their coefficients in zigzag order."""
+
+    def __init__(self, name: int, nx: int, ny: int, quant: int, frame: tuple[int, int, int, int]):
+        h, w, most_x, most_y = frame
+        self.name, self.nx, self.ny, self.quant = name, nx, ny, quant
+        self.across, self.down = -(-w // (8 * most_x)) * nx, -(-h // (8 * most_y)) * ny
+        self.own_across, self.own_down = -(-(-(-w * nx // most_x)) // 8), -(-(-(-h * ny // most_y)) // 8)
+        self.cells = [0] * (64 * self.across * self.down)
+
+
+@dataclass
+class Scan:
+    """The state of one scan: tables by plane, band, bit positions, and the run of finished blocks."""
+
+    dc: list
+    ac: list
+    first: int
+    last: int
+    high: int
+    low: int
+    progressive: bool
+    run: int = 0
+
+    def block(self, bits: Bits, plane: Plane, k: int, at: int, before: list[int]) -> None:
+        out = plane.cells
+        if not self.progressive:
+            before[k] = read_block(bits, self.dc[k], self.ac[k], out, at, before[k])
+        elif self.first == 0 and self.high == 0:
+            before[k] += bits.number(bits.symbol(self.dc[k]))
+            out[at] = before[k] * (1 << self.low)
+        elif self.first == 0:
+            out[at] |= bits.raw(1) << self.low
+        elif self.high == 0:
+            self.band(bits, self.ac[k], out, at)
+        else:
+            self.refine(bits, self.ac[k], out, at)
+
+    def band(self, bits: Bits, ac: tuple, out: list[int], at: int) -> None:
+        if self.run:
+            self.run -= 1
+            return
+        k = self.first
+        while k <= self.last:
+            s = bits.symbol(ac)
+            zeros, size = s >> 4, s & 15
+            if size:
+                k += zeros
+                if k > 63:
+                    raise CodecError("a block is too long")
+                out[at + k] = bits.number(size) * (1 << self.low)
+                k += 1
+            elif zeros == 15:
+                k += 16
+            else:
+                self.run = (1 << zeros) - 1 + bits.raw(zeros)
+                return
+
+    def corrected(self, bits: Bits, v: int) -> int:
+        if bits.raw(1) and not abs(v) >> self.low & 1:
+            return v + (1 << self.low) if v > 0 else v - (1 << self.low)
+        return v
+
+    def refine(self, bits: Bits, ac: tuple, out: list[int], at: int) -> None:
+        k = self.first
+        while k <= self.last and not self.run:
+            s = bits.symbol(ac)
+            zeros, size = s >> 4, s & 15
+            if not size and zeros < 15:
+                self.run = (1 << zeros) + bits.raw(zeros)
+                break
+            value = 0 if not size else (1 if bits.raw(1) else -1) * (1 << self.low)
+            while k <= self.last:
+                v = out[at + k]
+                if v:
+                    out[at + k] = self.corrected(bits, v)
+                elif zeros:
+                    zeros -= 1
+                else:
+                    break
+                k += 1
+            if value and k <= self.last:
+                out[at + k] = value
+            k += 1
+        if self.run:
+            for j in range(at + k, at + self.last + 1):
+                if out[j]:
+                    out[j] = self.corrected(bits, out[j])
+            self.run -= 1
+
+
+def read_scan(data: bytes, planes: list[Plane], scan: Scan, restart: int) -> None:
+    """All blocks of a scan. One plane alone has only its own blocks, without padding."""
+    if len(planes) == 1:
+        p = planes[0]
+        units = [[(0, 64 * (y * p.across + x))] for y in range(p.own_down) for x in range(p.own_across)]
+    else:
+        wide, high = planes[0].across // planes[0].nx, planes[0].down // planes[0].ny
+        inner = [(c, y, x) for c, p in enumerate(planes) for y in range(p.ny) for x in range(p.nx)]
+        units = [[(c, 64 * ((v * planes[c].ny + y) * planes[c].across + u * planes[c].nx + x)) for c, y, x in inner] for v in range(high) for u in range(wide)]
+    stretches = split_restarts(data) if restart else [data]
+    per = restart or len(units)
+    for k, stretch in enumerate(stretches):
+        bits, before = Bits(stretch.replace(b"\xff\0", b"\xff")), [0] * len(planes)
+        scan.run = 0
+        for unit in units[k * per : (k + 1) * per]:
+            for c, at in unit:
+                scan.block(bits, planes[c], c, at, before)
+
+
+def entropy_end(data: bytes, at: int) -> int:
+    """Where the next mark stands that is neither stuffing nor a restart."""
+    while (at := data.find(b"\xff", at)) >= 0:
+        after = data[at + 1] if at + 1 < len(data) else 0
+        if after and not 0xD0 <= after <= 0xD7:
+            return at
+        at += 2
+    return len(data)
+
+
 def decode(data: bytes) -> Decoded:
-    at, quant, huff, frame, restart, exif, icc, adobe = 2, {}, {}, None, 0, None, [], None
+    at, quant, huff, planes, restart, exif, icc, adobe = 2, {}, {}, [], 0, None, [], None
+    h = w = scans = 0
+    progressive = False
     while True:
         while data[at : at + 1] == b"\xff" and data[at + 1 : at + 2] == b"\xff":
             at += 1
-        if at + 4 > len(data) or data[at] != 0xFF:
+        mark = data[at + 1] if at + 1 < len(data) and data[at] == 0xFF else None
+        if mark == 0xD9 or (mark is None and scans):
+            break
+        if mark is None or at + 4 > len(data):
             raise CodecError("the JPEG's segments end early")
-        mark, size = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]
+        size = struct.unpack(">H", data[at + 2 : at + 4])[0]
         body, at = data[at + 4 : at + 2 + size], at + 2 + size
         if mark == 0xDB:
             k = 0
@@ -264,12 +395,18 @@ def decode(data: bytes) -> Decoded:
                 n = sum(body[k + 1 : k + 17])
                 huff[body[k]] = lookup(body[k + 1 : k + 17], body[k + 17 : k + 17 + n])
                 k += 17 + n
-        elif mark in (0xC0, 0xC1):
+        elif mark in (0xC0, 0xC1, 0xC2):
             if body[0] != 8:
                 raise CodecError("only JPEG of 8 bits is read")
-            frame = (*struct.unpack(">HH", body[1:5]), [(body[k], body[k + 1] >> 4, body[k + 1] & 15, body[k + 2]) for k in range(6, 6 + 3 * body[5], 3)])
-        elif 0xC2 <= mark <= 0xCF and mark != 0xC8 and mark != 0xCC:
-            raise CodecError("only baseline JPEG is read")
+            progressive, (h, w) = mark == 0xC2, struct.unpack(">HH", body[1:5])
+            parts = [(body[k], body[k + 1] >> 4, body[k + 1] & 15, body[k + 2]) for k in range(6, 6 + 3 * body[5], 3)]
+            if len(parts) not in (1, 3) or not h or not w:
+                raise CodecError("only JPEG of one or three planes is read")
+            parts = [(p[0], 1, 1, p[3]) for p in parts] if len(parts) == 1 else parts
+            frame = (h, w, max(p[1] for p in parts), max(p[2] for p in parts))
+            planes = [Plane(*p, frame) for p in parts]
+        elif 0xC3 <= mark <= 0xCF and mark not in (0xC8, 0xCC):
+            raise CodecError("only baseline and progressive JPEG is read")
         elif mark == 0xDD:
             restart = struct.unpack(">H", body)[0]
         elif mark == 0xE1 and body.startswith(b"Exif\0\0"):
@@ -279,52 +416,32 @@ def decode(data: bytes) -> Decoded:
         elif mark == 0xEE and body.startswith(b"Adobe"):
             adobe = body[11]
         elif mark == 0xDA:
-            break
-    if frame is None:
-        raise CodecError("a scan without a frame")
-    h, w, parts = frame
-    if len(parts) not in (1, 3) or body[0] != len(parts):
-        raise CodecError("only JPEG of one or three planes in one scan is read")
-    chosen = {body[1 + 2 * k]: body[2 + 2 * k] for k in range(body[0])}
-    most_x, most_y = max(p[1] for p in parts), max(p[2] for p in parts)
-    if len(parts) == 1:
-        parts, most_x, most_y = [(parts[0][0], 1, 1, parts[0][3])], 1, 1
-    wide, high = -(-w // (8 * most_x)), -(-h // (8 * most_y))
-    end = at
-    while True:  # the entropy-coded data ends at the next mark that isn't a restart
-        end = data.find(b"\xff", end)
-        if end < 0:
-            end = len(data)
-            break
-        if data[end + 1 : end + 2] == b"\0" or 0xD0 <= (data[end + 1] if end + 1 < len(data) else 0) <= 0xD7:
-            end += 2
-            continue
-        break
-    stretches = split_restarts(data[at:end]) if restart else [data[at:end]]
-    coefficients = [[0] * (64 * wide * high * x * y) for _, x, y, _ in parts]
-    per = restart or wide * high
-    for k, stretch in enumerate(stretches):
-        bits, before = Bits(stretch.replace(b"\xff\0", b"\xff")), [0] * len(parts)
-        for unit in range(k * per, min((k + 1) * per, wide * high)):
-            for c, (name, nx, ny, _) in enumerate(parts):
-                dc, ac = huff[chosen[name] >> 4], huff[0x10 | chosen[name] & 15]
-                for inner in range(nx * ny):
-                    place = 64 * (((unit // wide) * ny + inner // nx) * wide * nx + (unit % wide) * nx + inner % nx)
-                    before[c] = read_block(bits, dc, ac, coefficients[c], place, before[c])
-    planes = []
-    for own, (_, nx, ny, number) in zip(coefficients, parts, strict=True):
-        zz = np.array(own, np.float64).reshape(-1, 64) * quant[number]
+            named = {p.name: p for p in planes}
+            chosen = [(named.get(body[1 + 2 * k]), body[2 + 2 * k]) for k in range(body[0])]
+            if not chosen or any(p is None for p, _ in chosen):
+                raise CodecError("a scan without its frame")
+            first, last, bit = body[1 + 2 * len(chosen) : 4 + 2 * len(chosen)]
+            scan = Scan([huff.get(t >> 4) for _, t in chosen], [huff.get(0x10 | t & 15) for _, t in chosen], first, min(last, 63), bit >> 4, bit & 15, progressive)
+            end = entropy_end(data, at)
+            read_scan(data[at:end], [p for p, _ in chosen], scan, restart)
+            at, scans = end, scans + 1
+    if not scans:
+        raise CodecError("a JPEG without a scan")
+    made = []
+    most_x, most_y = max(p.nx for p in planes), max(p.ny for p in planes)
+    for p in planes:
+        zz = np.array(p.cells, np.float64).reshape(-1, 64) * quant[p.quant]
         flat = np.empty_like(zz)
         flat[:, ZIGZAG] = zz
         blocks = BASIS.T @ flat.reshape(-1, 8, 8) @ BASIS
-        plane = blocks.reshape(high * ny, wide * nx, 8, 8).transpose(0, 2, 1, 3).reshape(high * ny * 8, wide * nx * 8) + 128.0
-        planes.append(plane.repeat(most_y // ny, axis=0).repeat(most_x // nx, axis=1)[:h, :w])
-    if len(planes) == 3 and adobe != 0:
-        y, cb, cr = planes[0], planes[1] - 128.0, planes[2] - 128.0
-        planes = [y + 1.402 * cr, y - 0.344136286 * cb - 0.714136286 * cr, y + 1.772 * cb]
-    px = np.clip(np.rint(np.stack(planes, axis=2)), 0, 255).astype(np.int64)
+        plane = blocks.reshape(p.down, p.across, 8, 8).transpose(0, 2, 1, 3).reshape(p.down * 8, p.across * 8) + 128.0
+        made.append(plane.repeat(most_y // p.ny, axis=0).repeat(most_x // p.nx, axis=1)[:h, :w])
+    if len(made) == 3 and adobe != 0:
+        y, cb, cr = made[0], made[1] - 128.0, made[2] - 128.0
+        made = [y + 1.402 * cr, y - 0.344136286 * cb - 0.714136286 * cr, y + 1.772 * cb]
+    px = np.clip(np.rint(np.stack(made, axis=2)), 0, 255).astype(np.int64)
     profile = b"".join(p for _, p in sorted(icc)) or None
-    return Decoded(px, 8, "L8" if len(planes) == 1 else "Rgb8", exif, profile)
+    return Decoded(px, 8, "L8" if len(made) == 1 else "Rgb8", exif, profile)
 
 
 def split_restarts(data: bytes) -> list[bytes]:

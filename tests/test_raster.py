@@ -262,8 +262,14 @@ def test_we_read_other_programs_files(spark):
     assert (codecs.decode(gif_data)[1].pixels[..., :3] == java_image(spark, gif_data)[..., :3]).all()
     smooth = px.copy()
     smooth[..., 2] = 128 + 50 * np.sin((x + y) / 20)
-    data = java_file(spark, smooth, "jpeg")  # has halved chroma planes
-    assert np.abs(codecs.decode(data)[1].pixels - java_image(spark, data)[..., :3]).mean() < 3
+    for progressive in (False, True):  # both have halved chroma planes
+        data = java_file(spark, smooth, "jpeg", progressive)
+        assert (b"\xff\xc2" in data) == progressive
+        assert np.abs(codecs.decode(data)[1].pixels - java_image(spark, data)[..., :3]).mean() < 3
+        rough = java_file(spark, px, "jpeg", progressive)
+        assert np.abs(codecs.decode(rough)[1].pixels[..., 1] - java_image(spark, rough)[..., 1]).mean() < 8
+    straight, waves = (codecs.decode(java_file(spark, px, "jpeg", p))[1].pixels for p in (False, True))
+    assert (straight == waves).all()  # the same coefficients, sent in another order
 
 
 def test_damaged_files_are_errors():
