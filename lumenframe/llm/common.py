@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,9 +62,30 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Paths that ``fresh_path`` gave in this process, for those who tidy up (``made_by``).
+PATHS: list[str] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder, for a table that cuts lineage."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    PATHS.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return PATHS[-1]
+
+
+def made_by(work: Callable[[], DataFrame]) -> tuple[DataFrame, list[str]]:
+    """What ``work`` returns, and the paths of the tables it stored meanwhile. They are
+    needed until the result has been written."""
+    before = len(PATHS)
+    out = work()
+    return out, PATHS[before:]
+
+
+def tidy(spark: SparkSession, paths: list[str], reader: DataFrame) -> None:
+    """Deletes stored tables, but none that ``reader`` still reads."""
+    read = "\n".join(reader.inputFiles()) if paths else ""
+    for path in paths:
+        if path.rpartition("/")[2] not in read:
+            removed(spark, path)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -31,7 +31,7 @@ LETTERS = re.compile(r"[^\W\d_]+").match
 #: Longer pieces aren't kept, so that a number of entries bounds the bytes.
 KEPT_CHARS = 48
 #: Texts are cut and looked up in slices of about so many bytes.
-PART_BYTES = 4 << 20
+PART_BYTES = 8 << 20
 
 #: The library's byte-level pattern, a fixed value.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -46,10 +46,10 @@ def byte_alphabet() -> dict[int, str]:
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
-    Holds at most ``room`` words and half as many pieces and rests each, some
-    150 bytes an entry and 600 at most: with the default some 40 MB."""
+    Holds at most ``room`` words (and those of one slice) and half as many pieces and rests each, some
+    150 bytes an entry and 600 at most: with the default some 60 MB."""
 
-    def __init__(self, path: str, room: int = 150_000):
+    def __init__(self, path: str, room: int = 250_000):
         self.path, self.room = path, room
         self.words: dict[str, bytes] = {}  # ids of words that follow one space
         self.pieces: dict[str, bytes] = {}
@@ -157,9 +157,9 @@ class Encoder:
                 ids = self.cut(" " + word)
             out[k] = ids
             if often[k] and len(word) <= KEPT_CHARS:
-                if len(words) >= self.room:
-                    words.clear()
                 words[word] = ids
+        if len(words) > self.room:  # the words of this slice are the likeliest to come again
+            self.words = {w: ids for w, ids, many in zip(names, out, often, strict=True) if many and ids is not None and len(w) <= KEPT_CHARS}
         return out
 
     def _cut(self, texts: pa.Array) -> tuple[bytes, np.ndarray]:
