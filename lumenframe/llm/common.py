@@ -80,12 +80,16 @@ def made_by(work: Callable[[], DataFrame]) -> tuple[DataFrame, list[str]]:
     return out, PATHS[before:]
 
 
-def tidy(spark: SparkSession, paths: list[str], reader: DataFrame) -> None:
-    """Deletes stored tables, but none that ``reader`` still reads."""
+def tidy(spark: SparkSession, paths: list[str], reader: DataFrame) -> list[str]:
+    """Deletes stored tables, but none that ``reader`` still reads; those are returned."""
     read = "\n".join(reader.inputFiles()) if paths else ""
+    left = []
     for path in paths:
-        if path.rpartition("/")[2] not in read:
+        if path.rpartition("/")[2] in read:
+            left.append(path)
+        else:
             removed(spark, path)
+    return left
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

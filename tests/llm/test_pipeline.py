@@ -99,3 +99,23 @@ def test_against_brute_force(spark, tmp_path):
     tokenizer = Tokenizer.from_file(located(default_tokenizer()))
     total = sum(len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in want)
     assert sum(r.length for r in got[4]) == total and {r.doc_id for r in got[4]} == {i for i, _ in want}
+
+
+def test_stages_tidy_up(spark, tmp_path):
+    """What a stage stored is gone once the next one has begun, but nothing that is still read."""
+    import os
+
+    import corpus_pipeline
+    from lumenframe.llm.common import shared_dir
+
+    kept = lambda: {n for n in os.listdir(shared_dir(spark)) if n.startswith("numbered-")}
+    before = kept()
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 3)], FIELDS)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    lazy = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    own = kept() - before
+    assert own
+    chained = corpus_pipeline.benchmark_passages(spark, lazy, str(tmp_path))  # not written in between
+    assert own <= kept() and chained.count() == 1
+    corpus_pipeline.packed_sequences(spark, docs, str(tmp_path))
+    assert kept() <= before
