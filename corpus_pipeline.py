@@ -22,9 +22,8 @@ from lumenframe.llm import decontamination, packing, quality, similar, substring
 from lumenframe.llm.common import fresh_path, made_by, table, tidy
 from lumenframe.llm.encoding import default_tokenizer
 
-
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Tables that the stage before has stored.
+#: Tables that stages have stored and that may still be read.
 LEFT: list[str] = []
 
 
@@ -33,8 +32,9 @@ def stage(f: Stage) -> Stage:
 
     @wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        tidy(spark, LEFT, docs)
-        out, LEFT[:] = made_by(lambda: f(spark, docs, sf_dir))
+        still = tidy(spark, LEFT, docs)
+        out, made = made_by(lambda: f(spark, docs, sf_dir))
+        LEFT[:] = still + made
         return out
 
     return run
