@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import beside_group, bounded, fresh_path
+from lumenframe.llm.common import beside_group, bounded, fresh_path, removed
 
 VERSION, EOL = b"WARC/1.1", b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -276,10 +276,13 @@ def read_pages(archives: DataFrame, index: DataFrame, with_payloads: bool = True
 
 def round_trip(pages: DataFrame, path: str | None = None, how: Archives = Archives()) -> DataFrame:
     """Write, normalise and read back: ``page_id, payload_bytes, payload_digest,
-    record_type, refers_to``."""
+    record_type, refers_to``. Without a ``path`` the whole-file streams are deleted once
+    they are normalised."""
     spark = pages.sparkSession
     where = path or fresh_path(spark, "warc")
     write_archives(pages, f"{where}/streams", how)
     normalise(spark.read.parquet(f"{where}/streams"), f"{where}/records", how.level)
+    if path is None:  # nothing reads the streams any more
+        removed(spark, f"{where}/streams")
     read = read_pages(stored_archives(spark, f"{where}/records"), offset_index(spark, f"{where}/records"), with_payloads=False)
     return read.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
